@@ -96,8 +96,19 @@ counted AS (SELECT *, epochs + (2 * before + size <= 2 * rest)::BIGINT AS times
 SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken, times FROM counted
 """
 
+OP9 = """
+WITH r AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, payload_bytes, max(page_id) AS kept FROM r WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT r.page_id, r.payload_bytes::BIGINT AS payload_bytes, r.payload_digest,
+  CASE WHEN k.kept IS DISTINCT FROM r.page_id AND k.kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k.kept IS DISTINCT FROM r.page_id THEN k.kept END AS refers_to
+FROM r LEFT JOIN k USING (payload_digest, payload_bytes)
+"""
+
 ORACLE_SQL = {
     "op1_url_filter": OP1,
     "op3_line_dedup": OP3,
     "op8_mixing": OP8,
+    "op9_warc": OP9,
 }

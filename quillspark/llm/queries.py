@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import line_spread, mixing, sharding, url_rules
+from quillspark.llm import line_spread, mixing, sharding, url_rules, warc
 from quillspark.llm.common import table
 from quillspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -32,9 +32,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_line_dedup": op3_line_dedup,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
 }
