@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import line_spread, mixing, sharding, url_rules, warc
+from quillspark.llm import line_spread, mixing, sharding, toxicity, url_rules, warc
 from quillspark.llm.common import table
 from quillspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -38,10 +38,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    labels = toxicity.single_labels(table(spark, sf_dir, "labels").where(~held_out))
+    model = toxicity.train(*toxicity.training_sample(docs, labels))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_line_dedup": op3_line_dedup,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
