@@ -50,3 +50,10 @@ def mapped(uri: str, dtype, length: int):
             copy.write(chunk)
         copy.flush()
         return np.memmap(copy, dtype, "r", shape=(length,))
+
+
+def size_of(uri: str) -> int:
+    if path := local_path(uri):
+        return os.path.getsize(path)
+    store, path = _store(uri)
+    return store.get_file_info(path).size
