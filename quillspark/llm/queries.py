@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import kneser_ney, line_spread, mixing, sharding, toxicity, url_rules, warc
+from quillspark.llm import kneser_ney, line_spread, mixing, quality, sharding, toxicity, url_rules, warc
 from quillspark.llm.common import table
 from quillspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -35,6 +35,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "capacity")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "times")
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
