@@ -14,12 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import drop_path, fresh_path, materialize, utf8
 from quillspark.llm.shared_files import mapped, size_of, write_bytes
+from quillspark.llm.tokens import batch, joined, mix, word_hashes
 
 #: Hashes of the marks before and behind a text; no word contains a space.
 START, END = (int(x) for x in pd.util.hash_array(np.array(["start of text", "end of text"], object), categorize=False))
@@ -33,15 +33,7 @@ WORD_STATS = "bucket int, n1 long, n2 long, n3 long, n4 long, words long, known
 
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words followed by END, and the number of tokens of each text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.flatten()
-    keep = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # leading white space makes an empty word
-    before = np.concatenate([[0], np.cumsum(keep)])
-    offsets = before[offsets - offsets[0]]
-    encoded = flat.filter(pa.array(keep)).dictionary_encode()
-    types = pd.util.hash_array(encoded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(encoded.dictionary) else np.empty(0, np.uint64)
-    words = types[encoded.indices.to_numpy(zero_copy_only=False)] if len(encoded) else np.empty(0, np.uint64)
+    words, offsets = word_hashes(texts)
     return np.insert(words, offsets[1:], np.uint64(END)), np.diff(offsets) + 1
 
 
@@ -53,15 +45,6 @@ def contexts_of(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer of splitmix64, a bijection."""
-    x = x ^ x >> np.uint64(30)
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def gram_hash(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(contexts + mix(words + np.uint64(0x9E3779B97F4A7C15)))
 
@@ -93,14 +76,6 @@ def gram_rows(contexts: np.ndarray, words: np.ndarray, bits: int):
     return rows
 
 
-def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
-
-
-def _joined(column, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in column]) if len(column) else np.empty(0, dtype)
-
-
 def write_sorted(path: str, keys: np.ndarray, **values: np.ndarray) -> None:
     write_bytes(f"{path}.keys", keys.tobytes())
     for name, v in values.items():
@@ -142,12 +117,12 @@ def train(texts: DataFrame, column: str = "text") -> Model:
 
         def flush():
             if held:
-                yield _batch(gram_rows(*(np.concatenate(x) for x in zip(*held)), bits), names, types)
+                yield batch(gram_rows(*(np.concatenate(x) for x in zip(*held)), bits), names, types)
                 held.clear()
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                tokens, lengths = tokenize(batch.column(0).slice(lo, 512))
+        for part in batches:
+            for lo in range(0, part.num_rows, 512):
+                tokens, lengths = tokenize(part.column(0).slice(lo, 512))
                 held.append((contexts_of(tokens, lengths), tokens))
                 if sum(len(t) for _, t in held) >= FLUSH:
                     yield from flush()
@@ -155,8 +130,8 @@ def train(texts: DataFrame, column: str = "text") -> Model:
 
     def close_grams(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        contexts = np.repeat(_joined(table["contexts"], np.uint64), _joined(table["runs"], np.uint32))
-        words, counts = _joined(table["words"], np.uint64), _joined(table["counts"], np.uint32).astype(np.int64)
+        contexts = np.repeat(joined(table["contexts"], np.uint64), joined(table["runs"], np.uint32))
+        words, counts = joined(table["words"], np.uint64), joined(table["counts"], np.uint32).astype(np.int64)
         keys, at, counts = summed(gram_hash(contexts, words), counts)
         contexts, words = contexts[at], words[at]
         write_sorted(f"{path}/grams/{bucket:06d}", keys, counts=counts.astype(np.uint32))
@@ -172,15 +147,15 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         tally = [int((counts == c).sum()) for c in (1, 2, 3, 4)]
         rows.append((-1, b"", b"", b"", *tally, len(keys), int(counts.sum()), bucket))
         names = ["bucket", "words", "lefts", "counts", "n1", "n2", "n3", "n4", "grams", "tokens", "known"]
-        return pa.Table.from_batches([_batch(rows, names, [pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 6, pa.int32()])])
+        return pa.Table.from_batches([batch(rows, names, [pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 6, pa.int32()])])
 
     def close_words(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        keys, _, lefts, counts = summed(_joined(table["words"], np.uint64), _joined(table["lefts"], np.uint32).astype(np.int64), _joined(table["counts"], np.int64))
+        keys, _, lefts, counts = summed(joined(table["words"], np.uint64), joined(table["lefts"], np.uint32).astype(np.int64), joined(table["counts"], np.int64))
         write_sorted(f"{path}/words/{bucket:06d}", keys, lefts=lefts, counts=counts)
         tally = [int((lefts == c).sum()) for c in (1, 2, 3, 4)]
         names = ["bucket", "n1", "n2", "n3", "n4", "words", "known"]
-        return pa.Table.from_batches([_batch([(bucket, *tally, len(keys), bucket)], names, [pa.int32(), *[pa.int64()] * 5, pa.int32()])])
+        return pa.Table.from_batches([batch([(bucket, *tally, len(keys), bucket)], names, [pa.int32(), *[pa.int64()] * 5, pa.int32()])])
 
     grams = texts.select(utf8(F.col(column)).alias("text")).mapInArrow(count, GRAM_ROWS)
     spread = materialize(grams.groupBy("bucket").applyInArrow(close_grams, WORD_ROWS), "kneser-ney-words")
@@ -254,9 +229,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches):
         lookup = Lookup(model)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                part = whole.slice(lo, 512)
                 found = score_texts(lookup, part.column("text"))
                 found["perplexity"] = 10.0 ** np.minimum(300, -found["score"] / found["n_tokens"])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])

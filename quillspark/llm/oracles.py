@@ -66,6 +66,21 @@ cleaned AS (
 SELECT doc_id, n_lines, n_removed, length(kept)::BIGINT AS kept_chars, md5(kept) AS kept_md5 FROM cleaned
 """
 
+OP5 = rf"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '{W}') AS ws FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s
+  FROM rows),
+flat AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM flat a JOIN flat b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reach ON s.r = reach.a JOIN sets o ON o.r = reach.b GROUP BY s.r, s.doc_id, s.s
+"""
+
 OP8 = rf"""
 WITH quality AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 base AS (
@@ -109,6 +124,7 @@ FROM r LEFT JOIN k USING (payload_digest, payload_bytes)
 ORACLE_SQL = {
     "op1_url_filter": OP1,
     "op3_line_dedup": OP3,
+    "op5_jaccard_join": OP5,
     "op8_mixing": OP8,
     "op9_warc": OP9,
 }
