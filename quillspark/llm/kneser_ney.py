@@ -86,6 +86,7 @@ def write_sorted(path: str, keys: np.ndarray, **values: np.ndarray) -> None:
 class Model:
     path: str
     bits: int
+    word_bits: int
     gram_shards: frozenset[int]
     word_shards: frozenset[int]
     gram_discounts: tuple[float, float, float]
@@ -109,6 +110,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
     each time. Without rows the model knows nothing and gives every token probability 1 / (0 + 1)."""
     spark = texts.sparkSession
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 - 1).bit_length()
+    word_bits = max(0, bits - 4)  # every gram bucket has a row for every word bucket
     path = fresh_path(spark, "kneser-ney")
 
     def count(batches):
@@ -138,7 +140,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         heads, _, totals, one, two, more = summed(contexts, counts, *((counts == c).astype(np.int64) for c in (1, 2)), (counts > 2).astype(np.int64))
         write_sorted(f"{path}/contexts/{bucket:06d}", heads, followers=np.stack([totals, one, two, more], 1))
         words, _, lefts, sums = summed(words, np.ones(len(words), np.int64), counts)
-        rows, target = [], bucket_of(words, bits)
+        rows, target = [], bucket_of(words, word_bits)
         order = np.argsort(target, kind="stable")
         cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
         for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
@@ -166,7 +168,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
     drop_path(spark, spread.inputFiles()[0].rsplit("/", 1)[0]) if spread.inputFiles() else None
     d = discounts(low.n1, low.n2, low.n3, low.n4)
     gamma = (d[0] * low.n1 + d[1] * low.n2 + d[2] * (low.words - low.n1 - low.n2)) / high.grams if high.grams else 1.0
-    return Model(path, bits, frozenset(high.known), frozenset(low.known), discounts(high.n1, high.n2, high.n3, high.n4), d, gamma, high.grams, low.words, high.tokens)
+    return Model(path, bits, word_bits, frozenset(high.known), frozenset(low.known), discounts(high.n1, high.n2, high.n3, high.n4), d, gamma, high.grams, low.words, high.tokens)
 
 
 class Lookup:
@@ -209,7 +211,7 @@ def score_texts(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     tokens, lengths = tokenize(texts)
     contexts = contexts_of(tokens, lengths)
     types, where = np.unique(tokens, return_inverse=True)
-    word = lookup.find("words", bucket_of(types, m.bits), types, m.word_shards, lefts=(np.int64, 1), counts=(np.int64, 1))
+    word = lookup.find("words", bucket_of(types, m.word_bits), types, m.word_shards, lefts=(np.int64, 1), counts=(np.int64, 1))
     low = (discounted(word["lefts"], m.word_discounts) / max(1, m.n_grams) + m.word_gamma / (m.n_words + 1))[where]
     base = np.log10((word["counts"] + 1) / (m.n_tokens + m.n_words + 1))[where]
     heads, place = np.unique(contexts, return_inverse=True)
