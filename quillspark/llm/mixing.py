@@ -86,3 +86,19 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, max_epochs
     outside = rows.where(F.col("slice") != F.col("end_slice")).withColumn("more", (F.col("slice") < F.col("end_slice")).cast("int"))
     times = F.col("epochs") + F.col("more")
     return outside.unionByName(inside).select("doc_id", "text_hash", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as mix() takes it. Rows equal in doc_id, text and source
+    share what the mix takes of them as evenly as can be. Other columns may have any name."""
+    taken = mix(docs.select("doc_id", "text", "source"), labels, **parameters)
+    keys = taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).alias("k")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("key_text")).alias("d")
+    same = (F.col("d.key_text") == F.col("k.text_hash")) & F.col("d.row.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("d.row.source").eqNullSafe(F.col("k.source"))
+    met = join_small(rows, materialize(keys.select("doc_id", "text_hash", "source", "times", "rows").where("times > 0"), "mix-times").alias("k"), same)
+    met = met.select("row", "key_text", "k.times", "k.rows")
+    alone = met.where("rows = 1").select("row", "times")
+    shared = met.where("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("key_text", "row.doc_id", "row.source").orderBy("key_text")))
+    shared = shared.select("row", (F.floor(F.col("times") / F.col("rows")) + (F.col("nth") <= F.col("times") % F.col("rows")).cast("long")).alias("times"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))
+    return alone.unionByName(shared).select("row", copies.alias("copy")).select("row.*")
