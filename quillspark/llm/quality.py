@@ -21,7 +21,7 @@ MAX_REPEAT_PERCENT = 50
 
 #: Statistics of the vector and the least standard deviation that each is given: the log of the mean word length, of the
 #: symbols in 1000 word characters, of the repeated lines, the logit of the repeated words, the log of the words.
-DIMENSIONS = (("log_word_length", 0.1), ("log_symbols", 0.5), ("log_dup_lines", 1.0), ("logit_repeats", 1.0), ("log_words", 0.5))
+DIMENSIONS = (("log_word_length", 0.1), ("log_symbols", 0.5), ("log_dup_lines", 1.0), ("logit_repeats", 1.0), ("log_words", 1.5))
 #: Share of the rows that a C-step keeps, and their number.
 COVERAGE_4 = 3  # quarters
 STEPS = 4
