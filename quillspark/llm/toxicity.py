@@ -26,11 +26,13 @@ ORDER, DECAY = 4, 0.75
 WINDOW = 32
 #: Bound of the training sample: so many labelled documents a class, by hash of their id.
 TRAIN_DOCS = 1000
-TOXIC_LANDMARKS, PLAIN_LANDMARKS = 28, 28
+TOXIC_LANDMARKS, PLAIN_LANDMARKS = 26, 20
 #: Landmarks of a class are less alike than this.
 ALIKE = 0.5
 RIDGE = 0.05
-ROUNDS = 3
+#: Log odds times the root of the count that make a unit a toxic landmark.
+MIN_STRENGTH = 7.0
+ROUNDS = 6
 #: Entries of a worker's cache of unit scores; it starts anew beyond that.
 CACHE = 400_000
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -168,8 +170,10 @@ def train(texts: list[str], toxic: list[int]) -> Model | Constant:
         if ORDER <= len(units[t]) <= WINDOW:
             (in_toxic if y[d] else in_plain)[units[t]] += 1
     odds = {u: np.log((n + 0.1) / (y.sum() + 0.2)) - np.log((in_plain[u] + 0.1) / (len(y) - y.sum() + 0.2)) for u, n in in_toxic.items()}
-    toxic_like = sorted((u for u in odds if odds[u] > 1), key=lambda u: (-odds[u] * in_toxic[u] ** 0.5, u))
+    strength = {u: odds[u] * in_toxic[u] ** 0.5 for u in odds if odds[u] > 1}
+    toxic_like = sorted((u for u in strength if strength[u] >= MIN_STRENGTH), key=lambda u: (-strength[u], u))
     landmarks = unlike(toxic_like, TOXIC_LANDMARKS)
+    hints = np.array([strength[u] for u in landmarks])
     if not landmarks:
         return Constant(float(y.mean()))
     # Plain words nearest to the toxic landmarks, so that what they share with them can be weighed down.
@@ -185,6 +189,7 @@ def train(texts: list[str], toxic: list[int]) -> Model | Constant:
             features[i] = similarities(pieces(u), landmarks).max(0)
     short = [i for i, u in enumerate(units) if len(u) <= WINDOW]
     features[short] = similarities([units[i] for i in short], landmarks)
+    hint = (np.minimum(features[:, : len(hints)], 1) * hints).max(1)
     features = features @ whiten.astype(np.float32)
     sentence, owner = sentence_bounds(type_ends[tokens], lengths)
     x = np.zeros((len(owner), features.shape[1]))
@@ -192,8 +197,9 @@ def train(texts: list[str], toxic: list[int]) -> Model | Constant:
         part = sentence[lo : lo + (1 << 17)]
         new = np.flatnonzero(np.diff(part, prepend=-1))
         x[part[new]] += np.add.reduceat(features[tokens[lo : lo + (1 << 17)]], new, axis=0)
-    weight_of = np.array([max(odds.get(u, 0), 0) for u in units])
-    decision = np.bincount(sentence, weight_of[tokens], len(owner)) if len(owner) else np.empty(0)
+    # At first a sentence counts as its unit nearest to a toxic landmark, each by how strongly it tells the classes apart.
+    decision = np.zeros(len(owner))
+    np.maximum.at(decision, sentence, hint[tokens])
     plain = y[owner] == 0
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(ROUNDS):
