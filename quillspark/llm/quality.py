@@ -35,7 +35,8 @@ BINS = 64
 
 
 def text_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of column text."""
+    """The carried columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of column text. Write the result
+    out before filtering by a count: Spark would push the filter down with a copy of the whole expression."""
     visible = F.filter(F.split(utf8(F.col("text")), "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
     out = docs.select(
         *carry,
