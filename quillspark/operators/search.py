@@ -53,14 +53,16 @@ def nearest_batch(records: DataFrame, queries: DataFrame, k: int, corpus_block:
         for batch in batches:
             for ck, cd, qk, qd in zip(*[batch.column(c) for c in range(4)]):
                 ck, qk = np.frombuffer(ck.as_buffer(), np.int64), np.frombuffer(qk.as_buffer(), np.int64)
-                c = np.frombuffer(cd.as_buffer(), np.float32).reshape(len(ck), -1).astype(np.float64)
-                q = np.frombuffer(qd.as_buffer(), np.float32).reshape(len(qk), -1).astype(np.float64)
-                rough = (q * q).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * q @ c.T
-                # A margin for rounding: the direct form decides among all within it.
+                c = np.frombuffer(cd.as_buffer(), np.float32).reshape(len(ck), -1)
+                q = np.frombuffer(qd.as_buffer(), np.float32).reshape(len(qk), -1)
+                qq, cc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+                rough = qq[:, None] + cc[None] - 2 * q @ c.T
+                # The product is rounded; all within twice its error bound are measured directly in double precision.
                 most = min(k, len(ck))
-                limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-9
+                error = 4 * (q.shape[1] + 4) * 2.0**-24 * (qq + cc.max()) + 1e-12
+                limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + error
                 at, of = np.nonzero(rough <= limit[:, None])
-                distance = ((q[at] - c[of]) ** 2).sum(1)
+                distance = ((q[at].astype(np.float64) - c[of]) ** 2).sum(1)
                 order = np.lexsort((ck[of], distance, at))
                 at, of, distance = at[order], of[order], distance[order]
                 first = np.searchsorted(at, np.arange(len(qk)))
