@@ -15,6 +15,8 @@ from quillspark.llm.common import SPACES, join_small, materialize, utf8
 MIN_SITES = 5
 #: HyperLogLog buckets as a power of two: a relative standard error of 1.04 / 2 ** (LG_K / 2).
 LG_K = 12
+#: The removed lines of all texts are broadcast if they are at most so many hashes, else shuffled with the texts.
+BROADCAST_HASHES = 500_000
 
 
 def line_hashes(text: Column) -> Column:
@@ -48,7 +50,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     hits = join_small(lines, common, ["line_hash"]).groupBy("text_hash").agg(F.collect_set("line_hash").alias("bad"))
     hits = materialize(hits, "line-hits")
     bad = F.coalesce(F.col("bad"), F.array().cast("array<bigint>"))
-    rows = join_small(base, hits, ["text_hash"], "left").select("doc_id", "source", F.split("text", "\n").alias("lines"), line_hashes(F.col("text")).alias("hashes"), bad.alias("bad"))
+    few = (hits.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_HASHES
+    rows = base.join(F.broadcast(hits) if few else hits, ["text_hash"], "left").select("doc_id", "source", F.split("text", "\n").alias("lines"), line_hashes(F.col("text")).alias("hashes"), bad.alias("bad"))
     kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("bad", F.get("hashes", i)), F.lit(False)))
     rows = rows.select("doc_id", "source", "lines", kept.alias("kept"), F.size(F.filter("hashes", lambda h: h.isNotNull())).alias("n_lines"))
     return rows.select("doc_id", "source", F.array_join("kept", "\n").alias("text"), F.col("n_lines").cast("long"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"))
