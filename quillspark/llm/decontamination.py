@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units behind numbers and names inside sentences become typed placeholders; what is left is lower-cased and loses
-its ASCII punctuation. Windows of the template are hashed and joined with those of the benchmark. Where enough windows of
-an item lie in one alignment, the values in the slots decide: each value of the item must stand for one value of the
-document throughout, as in a question whose numbers and names were exchanged.
+Numbers, units behind numbers and names become typed placeholders; what is left is lower-cased and loses its ASCII
+punctuation. As a capital that opens a sentence may be a name or not, a text has three templates: names inside sentences
+only, all capitalised words, and none, which also meets texts in capitals or title case. Windows of each template are
+hashed and joined with those of the benchmark. Where enough windows of an item lie in one alignment, the values in the
+slots decide: each value of the item must stand for one value of the document throughout, as in a question whose numbers
+and names were exchanged.
 """
 
 from __future__ import annotations
@@ -34,16 +36,24 @@ _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
 NUMBER_TOKEN = rf"(?<!{WORD[:-1]}){_EDGE}[0-9][0-9.,:/\-]*{_EDGE}(?!{WORD[:-1]})"
 MEASURE_TOKEN = rf"(?i)(?<!{WORD[:-1]}){_EDGE}[0-9][0-9.,]*-?{_UNIT}{_EDGE}(?!{WORD[:-1]})"
 UNIT_TOKEN = rf"(?i)(?<={NUMBER}{_SPACE}){_UNIT}{_EDGE}(?!{WORD[:-1]})"
+#: Names of the kinds of template: capitalised words inside sentences, all capitalised words, none (letters' case does not count).
 NAME_TOKEN = rf"(?<=[^\x20\x09-\x0D.!?:][\x20\x09])[\p{{Lu}}][\p{{L}}'’\-]*{_EDGE}(?!{WORD[:-1]})"
+CAPITAL_TOKEN = rf"(?<!{WORD[:-1]}){_EDGE}[\p{{Lu}}][\p{{L}}'’\-]*{_EDGE}(?!{WORD[:-1]})"
+NAMES = (NAME_TOKEN, CAPITAL_TOKEN, None)
 
 
-def with_template(rows: DataFrame, text: str, into: str) -> DataFrame:
-    """rows with array column `into`: the template's tokens of column text. Each replacement puts one token for one."""
+def with_numbers(rows: DataFrame, text: str, into: str) -> DataFrame:
+    """rows with column `into`: the text with its numbers and their units as placeholders, one token for one."""
     t = F.col(into)
     rows = rows.withColumn(into, utf8(F.col(text)))
     rows = rows.withColumn(into, F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT), NUMBER_TOKEN, NUMBER)).otherwise(t))
-    rows = rows.withColumn(into, F.when(F.contains(t, F.lit(NUMBER)), F.regexp_replace(t, UNIT_TOKEN, UNIT)).otherwise(t))
-    rows = rows.withColumn(into, F.regexp_replace(t, NAME_TOKEN, NAME))
+    return rows.withColumn(into, F.when(F.contains(t, F.lit(NUMBER)), F.regexp_replace(t, UNIT_TOKEN, UNIT)).otherwise(t))
+
+
+def with_template(rows: DataFrame, typed: str, into: str, kind: int) -> DataFrame:
+    """rows with array column `into`: the tokens of one kind of template, from what with_numbers() gives."""
+    t = F.col(into)
+    rows = rows.withColumn(into, F.col(typed) if NAMES[kind] is None else F.regexp_replace(typed, NAMES[kind], NAME))
     return rows.withColumn(into, F.regexp_extract_all(F.lower(F.translate(t, PUNCTUATION, "")), F.lit(WORD), F.lit(0)))
 
 
@@ -56,69 +66,96 @@ def is_slot(token: Column) -> Column:
     return token.startswith(NUMBER) | token.startswith(UNIT) | token.startswith(NAME)
 
 
-def with_windows(rows: DataFrame, tokens: str, length: int, into: str) -> DataFrame:
-    """rows with array column `into`: the hash of each window of so many tokens; null if there are fewer. Explode it with an
-    outer generator: for others Spark infers a filter that holds the whole expression once for each window."""
-    rows = rows.withColumn(into, F.transform(tokens, lambda w: F.xxhash64(w)))
-    h = F.col(into)
-    n = F.size(h)
-    at = lambda i: F.xxhash64(F.lit(length), *[F.get(h, i + k) for k in range(length)])
-    return rows.withColumn(into, F.when(n >= length, F.transform(F.sequence(F.lit(0), F.greatest(n - length, F.lit(0))), at)))
+def with_windows(rows: DataFrame, tokens: str, lengths: list[int], kind: int, into: str) -> DataFrame:
+    """rows with array column `into`: for each length the array of the hashes of all windows of so many tokens; null if
+    there are fewer. Explode it with an outer generator: for others Spark infers a filter that holds the whole expression
+    once for each window. Spans of 1, 2, 4 and 8 tokens are hashed once for all lengths."""
+    spans = {1: f"{into}_1"}
+    rows = rows.withColumn(spans[1], F.transform(tokens, lambda w: F.xxhash64(w)))
+    size = F.size(tokens)
 
+    def at_all(length, seed, parts):
+        one = lambda i: F.xxhash64(*seed, *[F.get(F.col(spans[w]), i + k) for w, k in parts])
+        return F.when(size >= length, F.transform(F.sequence(F.lit(0), F.greatest(size - length, F.lit(0))), one))
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(items, windows, lengths): item_key, item_id, template, raw; item_key, item_pos, hash, of; the windows' lengths.
-    An item with fewer tokens than window is one window of its own length. Windows with too few literals are left out."""
-    items = with_template(benchmark.select("item_id", F.xxhash64("text").alias("item_key"), "text").distinct(), "text", "template")
-    items = items.select("item_id", "item_key", "template", raw_tokens(F.col("text")).alias("raw")).where(F.size("template") > 0)
-    items = materialize(items, "bench-items")
+    while 2 * max(spans) <= max(lengths, default=0):
+        w = max(spans)
+        spans[2 * w] = f"{into}_{2 * w}"
+        rows = rows.withColumn(spans[2 * w], at_all(2 * w, [], [(w, 0), (w, w)]))
     found = []
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("template"), F.lit(window))).distinct().collect())  # window values at most
     for length in lengths:
-        mine = items.where(F.least(F.size("template"), F.lit(window)) == length).select("item_key", "template").distinct()
-        mine = with_windows(mine, "template", length, "windows").select("item_key", "template", F.posexplode_outer("windows").alias("item_pos", "hash"))
-        literals = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, length), lambda w: ~is_slot(w)))
-        mine = mine.where(F.col("hash").isNotNull() & (literals >= min(min_literals, (length + 1) // 2))).select("item_key", "item_pos", "hash")
-        found.append(mine.withColumn("of", F.count("*").over(Window.partitionBy("item_key"))))
-    windows = found[0] if found else items.select("item_key", F.lit(0).alias("item_pos"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("of"))
-    for more in found[1:]:
-        windows = windows.unionByName(more)
+        parts, k = [], 0
+        for w in sorted(spans, reverse=True):
+            while length - k >= w:
+                parts.append((w, k))
+                k += w
+        found.append(at_all(length, [F.lit(kind), F.lit(length)], parts))
+    return rows.withColumn(into, F.array(*found)).drop(*spans.values())
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> tuple[DataFrame, DataFrame, dict[int, list[int]]]:
+    """(items, windows, lengths): item_key, item_id, kind, template, raw, length; item_key, kind, length, item_pos, hash, of;
+    the windows' lengths by kind.
+    An item with fewer tokens than window is one window of its own length. Windows with too few literals are left out."""
+    typed = with_numbers(benchmark.select("item_id", F.xxhash64("text").alias("item_key"), "text").distinct(), "text", "typed")
+    items = None
+    for kind in range(len(NAMES)):
+        mine = with_template(typed, "typed", "template", kind).select("item_id", "item_key", F.lit(kind).alias("kind"), "template", raw_tokens(F.col("text")).alias("raw"))
+        items = mine if items is None else items.unionByName(mine)
+    items = items.where(F.size("template") > 0).withColumn("length", F.least(F.size("template"), F.lit(window)))
+    items = materialize(items, "bench-items")
+    lengths: dict[int, list[int]] = {}
+    for kind, length in sorted(tuple(r) for r in items.select("kind", "length").distinct().collect()):  # window values a kind at most
+        lengths.setdefault(kind, []).append(length)
+    windows = None
+    for kind, some in lengths.items():
+        for length in some:
+            mine = items.where((F.col("kind") == kind) & (F.col("length") == length)).select("item_key", "kind", "length", "template").distinct()
+            mine = with_windows(mine, "template", [length], kind, "windows").select("item_key", "kind", "length", "template", F.posexplode_outer(F.get("windows", F.lit(0))).alias("item_pos", "hash"))
+            literals = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, length), lambda w: ~is_slot(w)))
+            mine = mine.where(F.col("hash").isNotNull() & (literals >= min(min_literals, (length + 1) // 2))).select("item_key", "kind", "length", "item_pos", "hash")
+            mine = mine.withColumn("of", F.count("*").over(Window.partitionBy("item_key")))
+            windows = mine if windows is None else windows.unionByName(mine)
+    if windows is None:
+        windows = items.select("item_key", "kind", "length", F.lit(0).alias("item_pos"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("of"))
     return items, materialize(windows, "bench-windows"), lengths
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, text_hash, item_id, matched, of, slots, changed: one row for each document and item it leaks.
 
-    matched of the item's windows lie in one alignment with the document; slots of the item's tokens there are
-    placeholders and changed of them stand for another value. Null and empty texts and items leak nothing. Repeated
-    rows, and rows of equal doc_id and text, give one row an item; a null doc_id is kept. Equal items each are reported.
-    Items without a window of enough literals can't be found. An empty table gives no rows; other columns are not read.
+    matched of the item's windows lie in one alignment with the document, by the kind of template that matches best; slots
+    of the item's tokens there are placeholders and changed of them stand for another value. Null and empty texts and items
+    leak nothing. Repeated rows, and rows of equal doc_id and text, give one row an item; a null doc_id is kept. Equal items
+    each are reported. Items without a window of enough literals can't be found. An empty table gives no rows; other
+    columns are not read.
     """
     items, windows, lengths = benchmark_windows(benchmark, window, min_literals)
-    rows = with_template(docs.select(F.xxhash64("text").alias("text_hash"), "text"), "text", "template")
-    hits = None
-    for length in lengths:
-        mine = with_windows(rows.select("text_hash", "template"), "template", length, "windows").select("text_hash", F.posexplode_outer("windows").alias("doc_pos", "hash"))
-        mine = join_small(mine, windows, ["hash"]).select("text_hash", "item_key", "item_pos", "of", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
-        hits = mine if hits is None else hits.unionByName(mine)
-    if hits is None:
+    if not lengths:
         nothing = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[F.lit(0).cast("long").alias(c) for c in ("matched", "of", "slots", "changed")])
         return items.join(nothing, F.lit(False)).select("doc_id", "text_hash", "item_id", "matched", "of", "slots", "changed")
+    rows = with_numbers(docs.select(F.xxhash64("text").alias("text_hash"), "text"), "text", "typed").drop("text")
+    for kind, some in lengths.items():
+        rows = with_windows(with_template(rows, "typed", "template", kind), "template", some, kind, f"windows_{kind}").drop("template")
+    rows = rows.select("text_hash", F.explode_outer(F.concat(*[f"windows_{kind}" for kind in lengths])).alias("windows"))
+    rows = rows.select("text_hash", F.posexplode_outer("windows").alias("doc_pos", "hash"))
+    key = ["text_hash", "item_key", "kind", "length", "of"]
+    hits = join_small(rows, windows, ["hash"]).select(*key, "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
     # Copies of a text match the same windows; distinct positions count once.
-    aligned = hits.groupBy("text_hash", "item_key", "shift", "of").agg(F.count_distinct("item_pos").alias("matched")).where(F.col("matched") >= F.lit(min_share) * F.col("of"))
-    aligned = materialize(aligned, "bench-aligned")
+    aligned = hits.groupBy(*key, "shift").agg(F.collect_set("item_pos").alias("positions"))
+    aligned = aligned.withColumn("hits", F.transform("positions", lambda p: F.struct(p.alias("i"), (p + F.col("shift")).alias("d")))).select(*key, "hits")
+    aligned = materialize(aligned.where(F.size("hits") >= F.lit(min_share) * F.col("of")), "bench-aligned")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    met = join_small(texts, aligned, ["text_hash"])
-    met = with_template(met, "text", "doc_template").withColumn("doc_raw", raw_tokens(F.col("text"))).drop("text")
-    met = join_small(met, items, ["item_key"])
-    i, shift = F.col("item_pos_all"), F.col("shift")
-    met = met.withColumn("item_pos_all", F.sequence(F.lit(0), F.size("template") - 1))
-    both = F.filter(i, lambda p: is_slot(F.get("template", p)) & (F.get("template", p) == F.get("doc_template", p + shift)))
+    met = join_small(texts, aligned, ["text_hash"]).withColumn("doc_raw", raw_tokens(F.col("text"))).drop("text")
+    met = join_small(met, items.drop("length"), ["item_key", "kind"])
+    # Only what the matched windows cover is held against the slots.
+    both = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.struct((h["i"] + k).alias("i"), (h["d"] + k).alias("d"))))))
+    met = met.withColumn("both", F.filter(both, lambda x: is_slot(F.get("template", x["i"]))))
     plain = lambda w: F.lower(F.translate(w, PUNCTUATION, ""))
-    met = met.withColumn("pairs", F.transform(both, lambda p: F.struct(plain(F.get("raw", p)).alias("a"), plain(F.get("doc_raw", p + shift)).alias("b"))))
+    met = met.withColumn("pairs", F.transform("both", lambda x: F.struct(plain(F.get("raw", x["i"])).alias("a"), plain(F.get("doc_raw", x["d"])).alias("b"))))
     functional = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     changed = F.size(F.filter("pairs", lambda x: x["a"] != x["b"]))
-    met = met.where(functional).select("doc_id", "text_hash", "item_id", F.struct("matched", (-changed).alias("kept"), F.size("pairs").alias("slots"), "of").alias("best"))
+    met = met.where(functional).select("doc_id", "text_hash", "item_id", F.struct((F.size("hits") / F.col("of")).alias("share"), F.size("hits").cast("long").alias("matched"), (-changed).alias("kept"), F.size("pairs").alias("slots"), "of").alias("best"))
     best = met.groupBy("doc_id", "text_hash", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "text_hash", "item_id", "best.matched", "best.of", F.col("best.slots").cast("long").alias("slots"), (-F.col("best.kept")).cast("long").alias("changed"))
 

@@ -49,6 +49,21 @@ def test_reparameterised_questions_are_found(spark, documents):
     assert decontamination.find_leaks(documents(docs), bench.limit(0)).count() == 0
 
 
+PASSAGE = "the river rises in the hills and runs past three old mills before it meets the sea near a small and quiet harbour where boats lie"
+OPENERS = "Tom has 5 apples in a basket by the door. Anna gives him 3 more before they leave for the market. Ben takes 2 of them home and eats one on the way."
+
+
+def test_names_that_open_sentences_and_capitals_are_found(spark, documents):
+    bench = spark.createDataFrame([(1, OPENERS), (2, PASSAGE)], BENCH)
+    swapped = OPENERS.replace("Tom", "Jim").replace("Anna", "Mia").replace("Ben", "Sam").replace("5", "7")
+    pad = "some words that come before the question and mean nothing at all. "
+    docs = [(1, pad + swapped, "en", "s"), (2, pad + PASSAGE.upper(), "en", "s"), (3, PASSAGE.title() + " " + pad, "en", "s"), (4, pad * 4, "en", "s"), (5, OPENERS[:60] + pad, "en", "s")]
+    rows = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(documents(docs), bench).collect()}
+    assert set(rows) == {(1, 1), (2, 2), (3, 2)}
+    assert rows[1, 1].matched == rows[1, 1]["of"] and rows[1, 1].changed == 4 and rows[2, 2].matched == rows[2, 2]["of"]
+    assert {r.doc_id for r in decontamination.drop_leaks(documents(docs), bench).collect()} == {4, 5}
+
+
 def shingles(text, width=5):
     w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
