@@ -3,7 +3,8 @@
 Numbers, units behind numbers and names become typed placeholders; what is left is lower-cased and loses its ASCII
 punctuation. As a capital that opens a sentence may be a name or not, a text has three templates: names inside sentences
 only, all capitalised words, and none, which also meets texts in capitals or title case. Windows of each template are
-hashed and joined with those of the benchmark. Where enough windows of an item lie in one alignment, the values in the
+hashed and joined with those of the benchmark. A number with its unit and a run of names are one token.
+Where enough windows of an item lie at one shift, or at neighbouring ones as where a word was put in, the values in the
 slots decide: each value of the item must stand for one value of the document throughout, as in a question whose numbers
 and names were exchanged.
 """
@@ -18,11 +19,13 @@ from quillspark.llm.common import WORD, join_small, materialize, utf8
 
 #: Tokens of a window, and how many of them must be no slots.
 WINDOW, MIN_LITERALS = 8, 4
+#: Tokens of a window of items with fewer than three windows' tokens.
+SHORT = 5
 #: Share of an item's windows that must match in one alignment.
 MIN_SHARE = 0.5
 
-#: Placeholders, which no text has, punctuation that templates lose, units.
-NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
+#: A mark between words of one token and placeholders, which no text has, punctuation that templates lose, units.
+JOIN, NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002", "\ue003"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 UNITS = (
     "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "yd", "yards", "mi", "mile", "miles", "meter", "meters", "metre", "metres",
@@ -33,33 +36,47 @@ UNITS = (
 _SPACE = r"[\x20\x09-\x0D]"
 _EDGE = r"[\p{Punct}£€]*"
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
-NUMBER_TOKEN = rf"(?<!{WORD[:-1]}){_EDGE}[0-9][0-9.,:/\-]*{_EDGE}(?!{WORD[:-1]})"
-MEASURE_TOKEN = rf"(?i)(?<!{WORD[:-1]}){_EDGE}[0-9][0-9.,]*-?{_UNIT}{_EDGE}(?!{WORD[:-1]})"
-UNIT_TOKEN = rf"(?i)(?<={NUMBER}{_SPACE}){_UNIT}{_EDGE}(?!{WORD[:-1]})"
-#: Names of the kinds of template: capitalised words inside sentences, all capitalised words, none (letters' case does not count).
-NAME_TOKEN = rf"(?<=[^\x20\x09-\x0D.!?:][\x20\x09])[\p{{Lu}}][\p{{L}}'’\-]*{_EDGE}(?!{WORD[:-1]})"
-CAPITAL_TOKEN = rf"(?<!{WORD[:-1]}){_EDGE}[\p{{Lu}}][\p{{L}}'’\-]*{_EDGE}(?!{WORD[:-1]})"
-NAMES = (NAME_TOKEN, CAPITAL_TOKEN, None)
+_NUMBER = r"[0-9](?:[0-9.,:/\-]*[0-9])?"
+#: The edge behind a number stays, as it may end a sentence; templates lose it later.
+NUMBER_TOKEN = rf"(?<!{WORD[:-1]}){_EDGE}{_NUMBER}({_EDGE})(?!{WORD[:-1]})"
+MEASURE_TOKEN = rf"(?i)(?<!{WORD[:-1]}){_EDGE}{_NUMBER}{_EDGE}{JOIN}?{_UNIT}({_EDGE})(?!{WORD[:-1]})"
+#: A number and the space before its unit, which becomes JOIN: '80 km' is one token, as '80km' is.
+UNIT_SPACE = rf"(?i)((?<!{WORD[:-1]}){_EDGE}{_NUMBER}{_EDGE}){_SPACE}(?={_UNIT}{_EDGE}(?!{WORD[:-1]}))"
+_INSIDE, _ANYWHERE = r"(?<=[^\x20\x09-\x0D.!?:][\x20\x09])", rf"(?<!{WORD[:-1]}){_EDGE}"
+_NAME, _END = rf"\p{{Lu}}[\p{{L}}'’\-{JOIN}]*", rf"{_EDGE}(?!{WORD[:-1]})"
+#: By kind of template, names and the spaces between names that follow one another: names inside sentences, all
+#: capitalised words, none (letters' case does not count). 'Mary Ann' is one token, as 'Tom' is.
+NAMES = (_INSIDE + _NAME + _END, _ANYWHERE + _NAME + _END, None)
+NAME_SPACES = (rf"({_INSIDE}{_NAME})[\x20\x09]+(?={_NAME}{_END})", rf"({_ANYWHERE}{_NAME})[\x20\x09]+(?={_NAME}{_END})", None)
+
+
+def join_names(text: Column, kind: int) -> Column:
+    return text if NAMES[kind] is None else F.regexp_replace(text, NAME_SPACES[kind], "$1" + JOIN)
+
+
+def join_units(text: Column) -> Column:
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, UNIT_SPACE, "$1" + JOIN)).otherwise(text)
 
 
 def with_numbers(rows: DataFrame, text: str, into: str) -> DataFrame:
-    """rows with column `into`: the text with its numbers and their units as placeholders, one token for one."""
+    """rows with column `into`: the text with its numbers and their units as placeholders."""
     t = F.col(into)
     rows = rows.withColumn(into, utf8(F.col(text)))
-    rows = rows.withColumn(into, F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT), NUMBER_TOKEN, NUMBER)).otherwise(t))
-    return rows.withColumn(into, F.when(F.contains(t, F.lit(NUMBER)), F.regexp_replace(t, UNIT_TOKEN, UNIT)).otherwise(t))
+    rows = rows.withColumn(into, join_units(t))
+    return rows.withColumn(into, F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT + "$1"), NUMBER_TOKEN, NUMBER + "$1")).otherwise(t))
 
 
 def with_template(rows: DataFrame, typed: str, into: str, kind: int) -> DataFrame:
     """rows with array column `into`: the tokens of one kind of template, from what with_numbers() gives."""
     t = F.col(into)
-    rows = rows.withColumn(into, F.col(typed) if NAMES[kind] is None else F.regexp_replace(typed, NAMES[kind], NAME))
+    rows = rows.withColumn(into, F.col(typed) if NAMES[kind] is None else F.regexp_replace(join_names(F.col(typed), kind), NAMES[kind], NAME))
     return rows.withColumn(into, F.regexp_extract_all(F.lower(F.translate(t, PUNCTUATION, "")), F.lit(WORD), F.lit(0)))
 
 
-def raw_tokens(text: Column) -> Column:
-    """The words behind a template's tokens: those that hold more than punctuation."""
-    return F.filter(F.regexp_extract_all(utf8(text), F.lit(WORD), F.lit(0)), lambda w: F.translate(w, PUNCTUATION, "") != "")
+def raw_tokens(text: Column, kind: int) -> Column:
+    """The words behind a template's tokens: those that hold more than punctuation. Joined words are one."""
+    words = F.regexp_extract_all(join_names(join_units(utf8(text)), kind), F.lit(WORD), F.lit(0))
+    return F.filter(words, lambda w: F.translate(w, PUNCTUATION, "") != "")
 
 
 def is_slot(token: Column) -> Column:
@@ -75,8 +92,12 @@ def with_windows(rows: DataFrame, tokens: str, lengths: list[int], kind: int, in
     size = F.size(tokens)
 
     def at_all(length, seed, parts):
-        one = lambda i: F.xxhash64(*seed, *[F.get(F.col(spans[w]), i + k) for w, k in parts])
-        return F.when(size >= length, F.transform(F.sequence(F.lit(0), F.greatest(size - length, F.lit(0))), one))
+        # Arrays are arguments, never read inside a lambda: a projection that Spark merges would be evaluated for each token.
+        (w, _), *more = parts
+        hashes = F.transform(F.col(spans[w]), lambda x: F.xxhash64(*seed, x))
+        for w, k in more:
+            hashes = F.zip_with(hashes, F.slice(F.col(spans[w]), F.lit(k + 1), size), lambda x, y: F.xxhash64(x, y))
+        return F.when(size >= length, F.slice(hashes, F.lit(1), F.greatest(size - (length - 1), F.lit(0))))
 
     while 2 * max(spans) <= max(lengths, default=0):
         w = max(spans)
@@ -93,16 +114,23 @@ def with_windows(rows: DataFrame, tokens: str, lengths: list[int], kind: int, in
     return rows.withColumn(into, F.array(*found)).drop(*spans.values())
 
 
+def window_length(tokens: Column, window: int) -> Column:
+    """Tokens of an item's windows. A changed word in the middle of an item leaves half of its windows only where they are
+    shorter than a third of it; so some items have windows of SHORT tokens, down to the least length that gives that."""
+    short = tokens.between(3 * SHORT - 1, 3 * window - 2) & F.lit(SHORT < window)
+    return F.when(short, F.lit(SHORT)).otherwise(F.least(tokens, F.lit(window)))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> tuple[DataFrame, DataFrame, dict[int, list[int]]]:
-    """(items, windows, lengths): item_key, item_id, kind, template, raw, length; item_key, kind, length, item_pos, hash, of;
+    """(items, windows, lengths): item_key, item_id, kind, template, raw, length; item_key, kind, length, tokens, item_pos, hash, of;
     the windows' lengths by kind.
-    An item with fewer tokens than window is one window of its own length. Windows with too few literals are left out."""
+    An item with fewer tokens than window is one window of its own length; window_length() has the others. Windows with too few literals are left out."""
     typed = with_numbers(benchmark.select("item_id", F.xxhash64("text").alias("item_key"), "text").distinct(), "text", "typed")
     items = None
     for kind in range(len(NAMES)):
-        mine = with_template(typed, "typed", "template", kind).select("item_id", "item_key", F.lit(kind).alias("kind"), "template", raw_tokens(F.col("text")).alias("raw"))
+        mine = with_template(typed, "typed", "template", kind).select("item_id", "item_key", F.lit(kind).alias("kind"), "template", raw_tokens(F.col("text"), kind).alias("raw"))
         items = mine if items is None else items.unionByName(mine)
-    items = items.where(F.size("template") > 0).withColumn("length", F.least(F.size("template"), F.lit(window)))
+    items = items.where(F.size("template") > 0).withColumn("length", window_length(F.size("template"), window))
     items = materialize(items, "bench-items")
     lengths: dict[int, list[int]] = {}
     for kind, length in sorted(tuple(r) for r in items.select("kind", "length").distinct().collect()):  # window values a kind at most
@@ -113,18 +141,18 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals:
             mine = items.where((F.col("kind") == kind) & (F.col("length") == length)).select("item_key", "kind", "length", "template").distinct()
             mine = with_windows(mine, "template", [length], kind, "windows").select("item_key", "kind", "length", "template", F.posexplode_outer(F.get("windows", F.lit(0))).alias("item_pos", "hash"))
             literals = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, length), lambda w: ~is_slot(w)))
-            mine = mine.where(F.col("hash").isNotNull() & (literals >= min(min_literals, (length + 1) // 2))).select("item_key", "kind", "length", "item_pos", "hash")
+            mine = mine.where(F.col("hash").isNotNull() & (literals >= min(min_literals, (length + 1) // 2))).select("item_key", "kind", "length", F.size("template").alias("tokens"), "item_pos", "hash")
             mine = mine.withColumn("of", F.count("*").over(Window.partitionBy("item_key")))
             windows = mine if windows is None else windows.unionByName(mine)
     if windows is None:
-        windows = items.select("item_key", "kind", "length", F.lit(0).alias("item_pos"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("of"))
+        windows = items.select("item_key", "kind", "length", F.lit(0).alias("tokens"), F.lit(0).alias("item_pos"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("of"))
     return items, materialize(windows, "bench-windows"), lengths
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, text_hash, item_id, matched, of, slots, changed: one row for each document and item it leaks.
 
-    matched of the item's windows lie in one alignment with the document, by the kind of template that matches best; slots
+    matched of the item's windows lie in one alignment with the document, the shifts next to it included, by the kind of template that matches best; slots
     of the item's tokens there are placeholders and changed of them stand for another value. Null and empty texts and items
     leak nothing. Repeated rows, and rows of equal doc_id and text, give one row an item; a null doc_id is kept. Equal items
     each are reported. Items without a window of enough literals can't be found. An empty table gives no rows; other
@@ -139,18 +167,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
         rows = with_windows(with_template(rows, "typed", "template", kind), "template", some, kind, f"windows_{kind}").drop("template")
     rows = rows.select("text_hash", F.explode_outer(F.concat(*[f"windows_{kind}" for kind in lengths])).alias("windows"))
     rows = rows.select("text_hash", F.posexplode_outer("windows").alias("doc_pos", "hash"))
-    key = ["text_hash", "item_key", "kind", "length", "of"]
+    key = ["text_hash", "item_key", "kind", "length", "of", "tokens"]
     hits = join_small(rows, windows, ["hash"]).select(*key, "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
     # Copies of a text match the same windows; distinct positions count once.
     aligned = hits.groupBy(*key, "shift").agg(F.collect_set("item_pos").alias("positions"))
-    aligned = aligned.withColumn("hits", F.transform("positions", lambda p: F.struct(p.alias("i"), (p + F.col("shift")).alias("d")))).select(*key, "hits")
-    aligned = materialize(aligned.where(F.size("hits") >= F.lit(min_share) * F.col("of")), "bench-aligned")
+    aligned = materialize(aligned.withColumn("size", F.size("positions")), "bench-shifts")
+    alone = aligned.withColumn("hits", F.transform("positions", lambda p: F.struct(p.alias("i"), (p + F.col("shift")).alias("d")))).select(*key, "hits")
+    # Shifts no further apart than half an item are one alignment: what stands between them was put in or left out. Whole
+    # copies of an item are further apart. A window that matches at several shifts counts once, at the one with most hits.
+    by = Window.partitionBy("text_hash", "item_key", "kind").orderBy("shift")
+    apart = F.coalesce(F.col("shift") - F.lag("shift").over(by) > F.greatest(F.lit(1), (F.col("tokens") / 2).cast("int")), F.lit(True))
+    near = aligned.withColumn("new", apart.cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = near.select(*key, "island", "size", "shift", F.explode("positions").alias("i")).groupBy(*key, "island", "i").agg(F.max(F.struct("size", "shift")).alias("at"))
+    near = near.groupBy(*key, "island").agg(F.collect_list(F.struct("i", (F.col("i") + F.col("at.shift")).alias("d"))).alias("hits")).select(*key, "hits")
+    aligned = alone.unionByName(near).where(F.size("hits") >= F.lit(min_share) * F.col("of"))
+    aligned = materialize(aligned.withColumn("hits", F.array_sort("hits")).distinct(), "bench-aligned")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    met = join_small(texts, aligned, ["text_hash"]).withColumn("doc_raw", raw_tokens(F.col("text"))).drop("text")
+    by_kind = F.when(F.col("kind") == 0, raw_tokens(F.col("text"), 0)).when(F.col("kind") == 1, raw_tokens(F.col("text"), 1)).otherwise(raw_tokens(F.col("text"), 2))
+    met = join_small(texts, aligned, ["text_hash"]).withColumn("doc_raw", by_kind).drop("text")
     met = join_small(met, items.drop("length"), ["item_key", "kind"])
     # Only what the matched windows cover is held against the slots.
-    both = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.struct((h["i"] + k).alias("i"), (h["d"] + k).alias("d"))))))
-    met = met.withColumn("both", F.filter(both, lambda x: is_slot(F.get("template", x["i"]))))
+    covered = F.flatten(F.transform("hits", lambda h: F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.struct((h["i"] + k).alias("i"), (h["d"] + k).alias("d")))))
+    met = met.withColumn("both", F.array_distinct(F.filter(covered, lambda x: is_slot(F.get("template", x["i"])))))
     plain = lambda w: F.lower(F.translate(w, PUNCTUATION, ""))
     met = met.withColumn("pairs", F.transform("both", lambda x: F.struct(plain(F.get("raw", x["i"])).alias("a"), plain(F.get("doc_raw", x["d"])).alias("b"))))
     functional = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))

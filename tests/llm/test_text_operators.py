@@ -64,6 +64,24 @@ def test_names_that_open_sentences_and_capitals_are_found(spark, documents):
     assert {r.doc_id for r in decontamination.drop_leaks(documents(docs), bench).collect()} == {4, 5}
 
 
+TRIP = "every morning before sunrise the old driver said that Tom covers 80 km along the coast and rests near the bridge until the fog has gone"
+SHORT_ITEM = "the narrow bridge behind our house was built by two brothers from another valley"
+
+
+def test_slots_of_other_lengths_and_single_words_are_bridged(spark, documents):
+    bench = spark.createDataFrame([(1, TRIP), (2, PASSAGE), (3, SHORT_ITEM)], BENCH)
+    pad = "some words that come before the question and mean nothing at all. "
+    cut = PASSAGE.split()
+    docs = [
+        TRIP.replace("80 km", "90km"), TRIP.replace("Tom", "Mary Ann"), " ".join([*cut[:14], "often", *cut[14:]]), " ".join([*cut[:13], *cut[14:]]),
+        SHORT_ITEM.replace("built", "made"), " ".join(cut[:12]), " ".join([*cut[:10], *pad.split() * 5, *cut[20:]]), f"{PASSAGE}. {PASSAGE}",
+    ]
+    rows = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(documents([(i, f"{pad} {t} {pad}", "en", "s") for i, t in enumerate(docs)]), bench).collect()}
+    assert set(rows) == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (7, 2)}
+    assert rows[0, 1].matched == rows[0, 1]["of"] and rows[1, 1].matched == rows[1, 1]["of"] and rows[1, 1].changed == 1
+    assert rows[7, 2].matched == rows[7, 2]["of"]
+
+
 def shingles(text, width=5):
     w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
