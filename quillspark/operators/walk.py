@@ -6,6 +6,7 @@ may form cycles; each round's frontier is small by the limits of a walk.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -37,13 +38,13 @@ def related(records: DataFrame, chunk_id, limit: int = DEFAULT_LIMIT, mode: str
     return search.bands(chosen, ["_all"]).drop("_all")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None, most_rounds: int = MOST_NODES) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """node, depth of all nodes that edges (source, target) reach from roots (node); paths don't go on behind the nodes of
-    stop. Each round is written out, so that plans stay short and lost executors cost one round."""
+    stop. Rounds go on until no node is new. Each is written out, so that plans stay short and lost executors cost one round."""
     spark = edges.sparkSession
     seen = roots.select("node", F.lit(0).alias("depth")).distinct()
     frontier = seen
-    for depth in range(1, most_rounds + 1):
+    for depth in itertools.count(1):
         open_ = frontier.select("node") if stop is None else frontier.select("node").join(stop.select("node"), "node", "left_anti")
         new = edges.join(open_, edges["source"] == open_["node"], "left_semi").select(F.col("target").alias("node")).distinct()
         new = _checkpoint(spark, new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
