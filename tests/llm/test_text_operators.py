@@ -231,17 +231,51 @@ def test_toxic_documents(spark, documents):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["the", "er", "on", "an", "re", "ing", "st"]) for _ in range(rng.randint(1, 4)))
     plain = lambda: " ".join(word() for _ in range(30)) + ". " + " ".join(word() for _ in range(20)) + "."
-    insults = ["imbecile", "blockhead", "dimwit"]
+    insults = ["imbecile", "blockhead", "dimwit", "oaf"]
     toxic = lambda: plain() + f" you {rng.choice(insults)} {word()}. " + plain()
-    texts = [plain() for _ in range(150)] + [toxic() for _ in range(60)]
+    texts = [plain() + f" you {word()}." for _ in range(150)] + [toxic() for _ in range(60)]
     model = toxicity.train(texts, [0] * 150 + [1] * 60)
-    asked = [plain() for _ in range(40)] + [toxic() for _ in range(40)] + [plain() + " what a b.l.o.c.k.h.e.a.d here", plain() + " d i m w i t ", plain() + " imbeciile", None, "", "x" * 5000]
+    asked = [plain() for _ in range(40)] + [toxic() for _ in range(40)] + [plain() + " what a b.l.o.c.k.h.e.a.d here", plain() + " d i m w i t ", plain() + " imbeciile", None, "", "x" * 5000, plain() * 300 + " oaf!"]
     rows = {r.doc_id: r.score for r in toxicity.score_documents(documents([(i, t, None, None) for i, t in enumerate(asked)]), model).collect()}
     assert len(rows) == len(asked) and all(0 <= s <= 1 for s in rows.values())
     assert sum(rows[i] >= 0.5 for i in range(40)) <= 1 and sum(rows[i] >= 0.5 for i in range(40, 80)) >= 39
     assert rows[80] >= 0.5 and rows[81] >= 0.5 and rows[82] >= 0.5
-    assert rows[83] == rows[84] < 0.5
+    assert rows[83] == rows[84] < 0.5 and rows[86] >= 0.5
     assert toxicity.score_documents(documents([]), model).count() == 0
     one = toxicity.train(["a"], [1])
     assert toxicity.score_documents(documents([(1, "x", None, None)]), one).first().score == 1.0
     assert toxicity.train([], []).value == 0.0
+
+
+def test_landmarks_stand_for_stems():
+    """Each kind of insult is found though no form of it is frequent; copies of one toxic text make no landmarks."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me", "ron", "sit"]) for _ in range(rng.randint(2, 4)))
+    plain = lambda: " ".join(word() for _ in range(60))
+    form = lambda stem: stem + "".join(rng.choice("aeiou") for _ in range(2))
+    texts = [plain() for _ in range(200)] + [plain() + " " + form(rng.choice(["gruft", "wezzl"])) + " " + plain() for _ in range(60)]
+    model = toxicity.train(texts, [0] * 200 + [1] * 60)
+    assert any("gruft" in t for t in model.landmarks) and any("wezzl" in t for t in model.landmarks)
+    import pyarrow as pa
+
+    found = toxicity.score_texts(model, pa.array([f"{plain()} {form(s)} {plain()}" for s in ["gruft", "wezzl"] * 20] + [plain() for _ in range(40)]))
+    assert (found[:40] >= 0.5).sum() >= 38 and (found[40:] >= 0.5).sum() <= 1
+
+
+def test_recall_by_language(spark):
+    """Held out labelled rows of the test data, language by language; a few toxic labels there stand on texts without any insult."""
+    import zlib
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pandas()
+    labels = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas().groupby("doc_id").toxic.max()
+    docs = docs[docs.doc_id.isin(labels.index)].assign(toxic=lambda d: d.doc_id.map(labels), held=lambda d: [zlib.crc32(str(i).encode()) % 5 == 0 for i in d.doc_id])
+    fit = docs[~docs.held].groupby("toxic").head(toxicity.TRAIN_DOCS)
+    model = toxicity.train([t or "" for t in fit.text], fit.toxic.astype(int).tolist())
+    held = docs[docs.held]
+    held = held.assign(found=toxicity.score_texts(model, pa.array(held.text)) >= 0.5)
+    recall = held[held.toxic == 1].groupby("lang").found.mean()
+    assert recall.min() >= 0.85 and held[held.toxic == 1].found.mean() >= 0.9
+    assert held[held.toxic == 0].found.mean() <= 0.06
