@@ -6,7 +6,7 @@ W = r"[^\x20\x09-\x0D]+"
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = rf"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, url,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UP}', '{LOW}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
@@ -23,22 +23,20 @@ quality AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS N
 labelled AS (
   SELECT row_number() OVER () AS r, tokens, quality = 0 AS blocked
   FROM tokens JOIN quality ON page_id = doc_id WHERE quality IS NOT NULL AND url IS NOT NULL),
-need AS (SELECT ceil(greatest(0.001 * count(*), 5) - 1e-6) AS need FROM labelled),
-single AS (SELECT r, blocked, unnest(tokens) AS token FROM labelled),
+need AS (SELECT ceil(greatest(0.001 * count(*), 5) - 1e-6) AS need, 1.25::DOUBLE * count(*) FILTER (WHERE blocked) / count(*) AS least FROM labelled),
+single AS (SELECT r, token FROM (SELECT r, unnest(tokens) AS token FROM labelled WHERE blocked) WHERE token IN (SELECT token FROM (SELECT unnest(tokens) AS token FROM labelled WHERE blocked) GROUP BY token HAVING count(*) >= (SELECT need FROM need))),
 sets AS (
-  SELECT [token] AS tokens, blocked FROM single
-  UNION ALL SELECT [a.token, b.token], a.blocked FROM single a JOIN single b ON a.r = b.r AND a.token < b.token
-  UNION ALL SELECT [a.token, b.token, c.token], a.blocked FROM single a JOIN single b ON a.r = b.r AND a.token < b.token
-    JOIN single c ON a.r = c.r AND b.token < c.token),
+  SELECT r, token AS last, [token] AS tokens FROM single
+  UNION ALL SELECT s.r, n.token, list_append(s.tokens, n.token) FROM sets s JOIN single n ON s.r = n.r AND n.token > s.last),
+frequent AS (SELECT tokens, count(*) AS hits FROM sets GROUP BY tokens HAVING count(*) >= (SELECT need FROM need)),
 rules AS (
-  SELECT tokens FROM sets GROUP BY tokens
-  HAVING count(*) FILTER (WHERE blocked) >= (SELECT need FROM need)
-     AND count(*) FILTER (WHERE blocked) >= 0.5 * count(*)),
+  SELECT f.tokens, any_value(hits)::DOUBLE / count(*) AS confidence FROM frequent f JOIN labelled l ON list_has_all(l.tokens, f.tokens)
+  GROUP BY f.tokens HAVING any_value(hits)::DOUBLE / count(*) >= (SELECT least FROM need)),
 found AS (
-  SELECT t.tokens, count(*) AS n FROM (SELECT DISTINCT list_sort(tokens) AS tokens FROM tokens) t JOIN rules u ON list_has_all(t.tokens, u.tokens)
+  SELECT t.tokens, max(confidence) AS mined_confidence FROM (SELECT DISTINCT list_sort(tokens) AS tokens FROM tokens) t JOIN rules u ON list_has_all(t.tokens, u.tokens)
   GROUP BY t.tokens),
 judged AS (
-  SELECT page_id, host, path, coalesce(n, 0)::BIGINT AS mined_rules,
+  SELECT page_id, host, path, mined_confidence,
     CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
          WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
@@ -46,8 +44,8 @@ judged AS (
          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
   FROM tokens LEFT JOIN found ON list_sort(tokens.tokens) = found.tokens)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mined_rules > 0 THEN 'block' ELSE 'allow' END AS verdict,
-  mined_rules
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mined_confidence IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  mined_confidence
 FROM judged
 """
 
