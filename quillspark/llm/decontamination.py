@@ -5,8 +5,8 @@ punctuation. As a capital that opens a sentence may be a name or not, a text has
 only, all capitalised words, and none, which also meets texts in capitals or title case. Windows of each template are
 hashed and joined with those of the benchmark. A number with its unit and a run of names are one token.
 Where enough windows of an item lie at one shift, or at neighbouring ones as where a word was put in, the values in the
-slots decide: each value of the item must stand for one value of the document throughout, as in a question whose numbers
-and names were exchanged.
+slots decide, both ways: each value of the item must stand for one value of the document throughout, and no two names of the
+item for one name, as in a question whose numbers and names were exchanged. Of the numbers, two may meet in one by chance.
 """
 
 from __future__ import annotations
@@ -33,12 +33,22 @@ UNITS = (
     "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "mph", "kmh", "hz", "khz", "mhz", "w", "kw", "v", "j", "kj", "kcal", "pa", "kpa",
 )
+#: English number words.
+SMALL = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+NUMBER_WORDS = (
+    *SMALL, "zero", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "half", "dozen",
+)
+#: Numbers of the item that may meet another one in the document.
+MAX_MET = 1
 _SPACE = r"[\x20\x09-\x0D]"
 _EDGE = r"[\p{Punct}£€]*"
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
-_NUMBER = r"[0-9](?:[0-9.,:/\-]*[0-9])?"
+_SPELLED = "(?:" + "|".join(sorted(NUMBER_WORDS, key=lambda w: (-len(w), w))) + ")"
+_NUMBER = rf"(?:[0-9](?:[0-9.,:/\-]*[0-9])?|{_SPELLED}(?:-{_SPELLED})*)"
+_SOME_NUMBER = rf"(?i)[0-9]|\b{_SPELLED}\b"
 #: The edge behind a number stays, as it may end a sentence; templates lose it later.
-NUMBER_TOKEN = rf"(?<!{WORD[:-1]}){_EDGE}{_NUMBER}({_EDGE})(?!{WORD[:-1]})"
+NUMBER_TOKEN = rf"(?i)(?<!{WORD[:-1]}){_EDGE}{_NUMBER}({_EDGE})(?!{WORD[:-1]})"
 MEASURE_TOKEN = rf"(?i)(?<!{WORD[:-1]}){_EDGE}{_NUMBER}{_EDGE}{JOIN}?{_UNIT}({_EDGE})(?!{WORD[:-1]})"
 #: A number and the space before its unit, which becomes JOIN: '80 km' is one token, as '80km' is.
 UNIT_SPACE = rf"(?i)((?<!{WORD[:-1]}){_EDGE}{_NUMBER}{_EDGE}){_SPACE}(?={_UNIT}{_EDGE}(?!{WORD[:-1]}))"
@@ -55,7 +65,7 @@ def join_names(text: Column, kind: int) -> Column:
 
 
 def join_units(text: Column) -> Column:
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, UNIT_SPACE, "$1" + JOIN)).otherwise(text)
+    return F.when(text.rlike(_SOME_NUMBER), F.regexp_replace(text, UNIT_SPACE, "$1" + JOIN)).otherwise(text)
 
 
 def with_numbers(rows: DataFrame, text: str, into: str) -> DataFrame:
@@ -63,7 +73,7 @@ def with_numbers(rows: DataFrame, text: str, into: str) -> DataFrame:
     t = F.col(into)
     rows = rows.withColumn(into, utf8(F.col(text)))
     rows = rows.withColumn(into, join_units(t))
-    return rows.withColumn(into, F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT + "$1"), NUMBER_TOKEN, NUMBER + "$1")).otherwise(t))
+    return rows.withColumn(into, F.when(t.rlike(_SOME_NUMBER), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT + "$1"), NUMBER_TOKEN, NUMBER + "$1")).otherwise(t))
 
 
 def with_template(rows: DataFrame, typed: str, into: str, kind: int) -> DataFrame:
@@ -155,8 +165,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     matched of the item's windows lie in one alignment with the document, the shifts next to it included, by the kind of template that matches best; slots
     of the item's tokens there are placeholders and changed of them stand for another value. Null and empty texts and items
     leak nothing. Repeated rows, and rows of equal doc_id and text, give one row an item; a null doc_id is kept. Equal items
-    each are reported. Items without a window of enough literals can't be found. An empty table gives no rows; other
-    columns are not read.
+    each are reported, ties included; very long texts are read whole. Items without a window of enough literals can't be
+    found. An empty table gives no rows; other columns are not read.
     """
     items, windows, lengths = benchmark_windows(benchmark, window, min_literals)
     if not lengths:
@@ -190,8 +200,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     covered = F.flatten(F.transform("hits", lambda h: F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.struct((h["i"] + k).alias("i"), (h["d"] + k).alias("d")))))
     met = met.withColumn("both", F.array_distinct(F.filter(covered, lambda x: is_slot(F.get("template", x["i"])))))
     plain = lambda w: F.lower(F.translate(w, PUNCTUATION, ""))
-    met = met.withColumn("pairs", F.transform("both", lambda x: F.struct(plain(F.get("raw", x["i"])).alias("a"), plain(F.get("doc_raw", x["d"])).alias("b"))))
-    functional = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
+    pair = lambda x: F.struct(plain(F.get("raw", x["i"])).alias("a"), plain(F.get("doc_raw", x["d"])).alias("b"), F.get("template", x["i"]).startswith(NAME).alias("named"))
+    met = met.withColumn("pairs", F.transform("both", pair)).withColumn("distinct", F.array_distinct("pairs"))
+    values = lambda side, named: F.size(F.array_distinct(F.transform(F.filter("distinct", lambda x: x["named"] == named), lambda x: x[side])))
+    functional = (F.size("distinct") == values("a", True) + values("a", False)) & (values("b", True) == values("a", True)) & (values("b", False) >= values("a", False) - MAX_MET)
     changed = F.size(F.filter("pairs", lambda x: x["a"] != x["b"]))
     met = met.where(functional).select("doc_id", "text_hash", "item_id", F.struct((F.size("hits") / F.col("of")).alias("share"), F.size("hits").cast("long").alias("matched"), (-changed).alias("kept"), F.size("pairs").alias("slots"), "of").alias("best"))
     best = met.groupBy("doc_id", "text_hash", "item_id").agg(F.max("best").alias("best"))

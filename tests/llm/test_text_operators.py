@@ -30,6 +30,40 @@ def test_listed_and_mined_url_rules(spark):
     assert url_rules.judge_urls(nothing, labelled.limit(0)).count() == 0
 
 
+def brute_rules(labelled, min_support=url_rules.MIN_SUPPORT, min_count=url_rules.MIN_COUNT, min_lift=url_rules.MIN_LIFT):
+    """All sets of tokens of (tokens, blocked) rows that pass support and lift, with their confidence."""
+    from itertools import combinations
+
+    need = max(min_support * len(labelled), min_count)
+    base = sum(b for _, b in labelled) / len(labelled)
+    hits = {}
+    for tokens, blocked in labelled:
+        if blocked:
+            for n in range(1, len(tokens) + 1):
+                for c in combinations(sorted(tokens), n):
+                    hits[c] = hits.get(c, 0) + 1
+    hits = {c: n for c, n in hits.items() if n >= need}
+    found = {c: n / sum(set(c) <= set(t) for t, _ in labelled) for c, n in hits.items()}
+    return {c: x for c, x in found.items() if x >= min_lift * base}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mined_rules_decide_urls(spark, sf):
+    """On the test data rules are found, block some URLs that no listed rule fits, and equal mining by brute force."""
+    from pyspark.sql import functions as F
+
+    pages, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("pages", "labels"))
+    labelled = pages.join(labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max("quality").alias("quality")), "page_id").select("url", (F.col("quality") == 0).alias("blocked"))
+    got = url_rules.judge_urls(pages, labelled).collect()
+    assert sum(r.mined_confidence is not None for r in got) > 0 and any(r.verdict == "block" and r.rule is None for r in got)
+    known = [(tuple(r[0]), r[1]) for r in labelled.where("url is not null and blocked is not null").select(url_rules.url_tokens(F.col("url")), "blocked").collect()]
+    rules = brute_rules(known)
+    tokens = {r[0]: set(r[1]) for r in pages.select("url", url_rules.url_tokens(F.col("url"))).distinct().collect()}
+    for r in got:
+        best = max((x for c, x in rules.items() if set(c) <= tokens[r.url]), default=None)
+        assert r.mined_confidence == (None if best is None else pytest.approx(best))
+
+
 QUESTION = "Last week Tom bought 3 apples and 12 pears for 9 dollars while his sister Anna bought 3 plums, so how many fruits did Tom and Anna carry home together?"
 CHANGED = "Last week Jim bought 5 apples and 40 pears for 7 dollars while his sister Mia bought 5 plums, so how many fruits did Jim and Mia carry home together?"
 BROKEN = "Last week Jim bought 5 apples and 40 pears for 7 dollars while his sister Mia bought 8 plums, so how many fruits did Bob and Mia carry home together?"
@@ -82,6 +116,55 @@ def test_slots_of_other_lengths_and_single_words_are_bridged(spark, documents):
     assert rows[7, 2].matched == rows[7, 2]["of"]
 
 
+LOWERED = QUESTION.lower().replace("3", "three").replace("12", "twelve").replace("9", "nine")
+COLLAPSED = QUESTION.replace("12", "3").replace("9", "3").replace("Anna", "Tom")
+
+
+def test_slots_are_consistent_both_ways(spark, documents):
+    bench = spark.createDataFrame([(1, QUESTION)], BENCH)
+    longer = QUESTION.replace("his sister", "his dear sister")
+    docs = [longer, LOWERED, COLLAPSED, QUESTION.replace("Anna", "Tom")]
+    rows = {r.doc_id for r in decontamination.find_leaks(documents([(i, t, "en", "s") for i, t in enumerate(docs)]), bench).collect()}
+    assert rows == {0, 1}
+
+
+def test_recall_of_reparameterised_items(spark, documents):
+    """Items of random words with numbers and names; copies with other values, a word put in, left out or exchanged."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me", "ron", "sit"]) for _ in range(rng.randint(2, 3)))
+    names = ["Tom", "Anna", "Ben", "Mia", "Jim", "Lea", "Sam", "Eva", "Max", "Ida"]
+
+    def item():
+        words = [word() for _ in range(rng.randint(24, 45))]
+        for at in rng.sample(range(1, len(words)), 3):
+            words[at] = f"{rng.randint(2, 99)}"
+        for name, at in zip(rng.sample(names, 2), rng.sample(range(1, len(words)), 2)):
+            words[at] = name
+        return words
+
+    def change(words, kind):
+        new = {w: str(rng.randint(100, 999)) for w in words if w.isdigit()}
+        new |= dict(zip([n for n in names if n in words], rng.sample([n for n in names if n not in words], 4)))
+        out = [new.get(w, w) for w in words]
+        at = rng.randrange(2, len(out) - 2)
+        if kind == 1:
+            out.insert(at, word())
+        elif kind == 2:
+            del out[at]
+        elif kind == 3:
+            out[at] = word()
+        return out
+
+    items = [item() for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w) + "?") for i, w in enumerate(items)], BENCH)
+    pad = lambda: " ".join(word() for _ in range(40))
+    docs = [(4 * i + kind, f"{pad()}. {' '.join(change(w, kind))}? {pad()}", "en", "s") for i, w in enumerate(items) for kind in range(4)] + [(1000 + i, pad() + ". " + pad(), "en", "s") for i in range(60)]
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(documents(docs), bench).collect()}
+    assert all(d // 4 == i for d, i in found)
+    for kind in range(4):
+        assert sum((4 * i + kind, i) in found for i in range(60)) >= 54, kind
+
+
 def shingles(text, width=5):
     w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
