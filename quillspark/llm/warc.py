@@ -8,19 +8,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import shutil
 import struct
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh_path, utf8
-from quillspark.llm.shared_files import local_path, write_bytes
+from quillspark.llm.common import fresh_path, join_small, materialize, utf8
+from quillspark.llm.shared_files import write_bytes
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -44,6 +42,9 @@ RECORD_SCHEMA = (
 )
 
 
+MANIFEST = "attempt string, n long"
+
+
 class WarcError(ValueError):
     pass
 
@@ -167,7 +168,7 @@ def parse_archive(data: bytes | memoryview) -> Iterator[dict]:
         at = end
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True, strict: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str | list[str], payloads: bool = True, strict: bool = True) -> DataFrame:
     """All records of the archives at path (folders, globs), as RECORD_SCHEMA. Spark's reader opens the files, so any
     store will do. strict: a bad record fails the job; else it is a row whose error says why. payloads=False leaves the
     payload null after it has been checked. Revisits have no payload; their payload_bytes are those of the full one."""
@@ -226,32 +227,41 @@ def page_record_id(page_id: int | None) -> str:
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """page_id, url, html, digest, refers_to. Among payloads that are equal and have min_bytes at least, the largest
-    page_id is kept and the others refer to it. Only digests meet in the aggregation, and only groups of two or more
-    are joined back."""
+    page_id is kept and the others refer to it. Only digests meet in the aggregation; groups of two or more are joined
+    back, by broadcast where they are few. Shorter pages have keys of their own, so they never meet in one task."""
     rows = pages.select("page_id", "url", utf8(F.col("html")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("length", F.octet_length("html"))
-    kept = rows.where(F.col("length") >= min_bytes).groupBy("digest", "length").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(kept, ["digest", "length"], "left")
+    kept = rows.where(F.col("length") >= min_bytes).groupBy("digest", "length").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    kept = materialize(kept.select(F.concat_ws(" ", "digest", "length").alias("key"), "kept"), "warc-kept")
+    key = F.when(F.col("length") >= min_bytes, F.concat_ws(" ", "digest", "length")).otherwise(F.concat(F.lit("short "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    rows = join_small(rows.withColumn("key", key), kept, ["key"], "left")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     return rows.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
+def dictionary_sample(pages: DataFrame, most: int = DICTIONARY_PAGES, size: int = DICTIONARY_BYTES) -> list[bytes]:
+    """The heads, size characters at most, of at most so many pages, by hash of their ids. Ids are chosen first, so no
+    other page is sent anywhere."""
+    some = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") > 0)).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    heads = pages.select("page_id", F.substring("html", 1, size).alias("html")).join(F.broadcast(some), "page_id")  # most rows
+    return [r["html"].encode() for r in heads.groupBy("page_id").agg(F.max("html").alias("html")).orderBy("page_id").collect()]
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Write a record for every row of pages (page_id, url, html) under folder; returns how many.
 
     A null html is an empty payload, a null url leaves its header out, a null page_id is the id <urn:page:none> and never
-    kept for others unless all of its group are null. Payloads under min_bytes are never revisits. Rows repeated with
-    the largest page_id of their group are all responses. An empty table writes no archive. Other columns are not read.
-    Each task writes into a folder of its own attempt and renames it when complete, so repeated tasks leave one copy.
+    kept for others unless all of its group are null. Payloads under min_bytes are never revisits; very long ones are one
+    record each. Rows repeated with the largest page_id of their group are all responses. An empty table writes no archive.
+    Other columns are not read. Each attempt of a task writes under a name of its own; the manifest names those that
+    Spark counts, so lost executors and repeated tasks leave one copy of each record. archives() reads it.
     """
-    sample = pages.select("page_id", "html").where(F.octet_length("html") > 0).orderBy(F.xxhash64("page_id"), "html").limit(DICTIONARY_PAGES).collect()
-    dictionary = train_dictionary([r["html"].encode()[: 64 << 10] for r in sample])
+    dictionary = train_dictionary(dictionary_sample(pages))
 
     def write(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        attempt = f"{folder}/_attempt-{uuid.uuid4().hex}"
+        attempt = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         coder = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary if dictionary else b""
         frames, held, files, n = [], 0, 0, 0
@@ -270,29 +280,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
                 if held >= archive_bytes:
                     flush()
         flush()
-        if files:
-            _publish(attempt, f"{folder}/part-{part:06d}")
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"attempt": pa.array([attempt]), "n": pa.array([n], pa.int64())})
 
-    return plan_records(pages, min_bytes).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    plan_records(pages, min_bytes).mapInArrow(write, MANIFEST).where("n > 0").write.mode("overwrite").parquet(f"{folder}/_manifest")
+    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest").agg(F.sum("n")).first()[0] or 0
 
 
-def _publish(attempt: str, final: str) -> None:
-    """Rename a complete folder; if an earlier attempt has got there first, that one stays."""
-    if path := local_path(attempt):
-        try:
-            Path(path).rename(local_path(final))
-        except OSError:
-            shutil.rmtree(path)
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(attempt)
-    target = fs.FileSystem.from_uri(final)[1]
-    if store.get_file_info(target).type == fs.FileType.NotFound:
-        store.move(path, target)
-    else:
-        store.delete_dir(path)
+def archives(spark: SparkSession, folder: str) -> list[str]:
+    """Where the archives under folder are: one path for each task that wrote any."""
+    return [r["attempt"] for r in spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").orderBy("attempt").collect()]
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
@@ -301,4 +297,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     folder = fresh_path(spark, "warc")
     if not write_archives(pages, folder):
         return spark.createDataFrame([], RECORD_SCHEMA)
-    return read_archives(spark, f"{folder}/part-*/*.warc.zst", payloads=False)
+    return read_archives(spark, archives(spark, folder), payloads=False)
