@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units behind numbers and names become typed placeholders; what is left is lower-cased and loses its ASCII
-punctuation. As a capital that opens a sentence may be a name or not, a text has three templates: names inside sentences
-only, all capitalised words, and none, which also meets texts in capitals or title case. Windows of each template are
-hashed and joined with those of the benchmark. A number with its unit and a run of names are one token.
+punctuation. A text has two templates: in one all capitalised words are names, also those that open a sentence; in the other
+none are, so it also meets texts in capitals, title case or small letters. Windows of each template are hashed and joined
+with those of the benchmark. A number with its unit and a run of names are one token, and English number words are numbers.
 Where enough windows of an item lie at one shift, or at neighbouring ones as where a word was put in, the values in the
 slots decide, both ways: each value of the item must stand for one value of the document throughout, and no two names of the
 item for one name, as in a question whose numbers and names were exchanged. Of the numbers, two may meet in one by chance.
@@ -44,20 +44,17 @@ MAX_MET = 1
 _SPACE = r"[\x20\x09-\x0D]"
 _EDGE = r"[\p{Punct}£€]*"
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
-_SPELLED = "(?:" + "|".join(sorted(NUMBER_WORDS, key=lambda w: (-len(w), w))) + ")"
-_NUMBER = rf"(?:[0-9](?:[0-9.,:/\-]*[0-9])?|{_SPELLED}(?:-{_SPELLED})*)"
-_SOME_NUMBER = rf"(?i)[0-9]|\b{_SPELLED}\b"
-#: The edge behind a number stays, as it may end a sentence; templates lose it later.
-NUMBER_TOKEN = rf"(?i)(?<!{WORD[:-1]}){_EDGE}{_NUMBER}({_EDGE})(?!{WORD[:-1]})"
-MEASURE_TOKEN = rf"(?i)(?<!{WORD[:-1]}){_EDGE}{_NUMBER}{_EDGE}{JOIN}?{_UNIT}({_EDGE})(?!{WORD[:-1]})"
-#: A number and the space before its unit, which becomes JOIN: '80 km' is one token, as '80km' is.
-UNIT_SPACE = rf"(?i)((?<!{WORD[:-1]}){_EDGE}{_NUMBER}{_EDGE}){_SPACE}(?={_UNIT}{_EDGE}(?!{WORD[:-1]}))"
-_INSIDE, _ANYWHERE = r"(?<=[^\x20\x09-\x0D.!?:][\x20\x09])", rf"(?<!{WORD[:-1]}){_EDGE}"
-_NAME, _END = rf"\p{{Lu}}[\p{{L}}'’\-{JOIN}]*", rf"{_EDGE}(?!{WORD[:-1]})"
-#: By kind of template, names and the spaces between names that follow one another: names inside sentences, all
-#: capitalised words, none (letters' case does not count). 'Mary Ann' is one token, as 'Tom' is.
-NAMES = (_INSIDE + _NAME + _END, _ANYWHERE + _NAME + _END, None)
-NAME_SPACES = (rf"({_INSIDE}{_NAME})[\x20\x09]+(?={_NAME}{_END})", rf"({_ANYWHERE}{_NAME})[\x20\x09]+(?={_NAME}{_END})", None)
+_NUMBER = r"[0-9](?:[0-9.,:/\-]*[0-9])?"
+_START, _END = rf"(?<!{WORD[:-1]}){_EDGE}", rf"(?!{WORD[:-1]})"
+#: The edge behind a number stays, as it may end a sentence; templates lose it later. '80 km' is one token, as '80km' is.
+NUMBER_TOKEN = rf"{_START}{_NUMBER}({_EDGE}){_END}"
+MEASURE_TOKEN = rf"(?i){_START}{_NUMBER}{_EDGE}{_SPACE}?{_UNIT}({_EDGE}){_END}"
+#: A number and the space before its unit, which becomes JOIN.
+UNIT_SPACE = rf"(?i)({_START}{_NUMBER}{_EDGE}){_SPACE}(?={_UNIT}{_EDGE}{_END})"
+_NAME = r"\p{Lu}[\p{L}'’\-]*"
+#: By kind of template: runs of names, and the spaces inside them. 'Mary Ann' is one token, as 'Tom' is.
+NAMES = (rf"{_START}{_NAME}(?:[\x20\x09]+{_NAME})*{_EDGE}{_END}", None)
+NAME_SPACES = (rf"((?:{_START}|(?<=[\x20\x09{JOIN}])){_NAME})[\x20\x09]+(?={_NAME}{_EDGE}(?:{_END}|(?=[\x20\x09])))", None)
 
 
 def join_names(text: Column, kind: int) -> Column:
@@ -65,22 +62,22 @@ def join_names(text: Column, kind: int) -> Column:
 
 
 def join_units(text: Column) -> Column:
-    return F.when(text.rlike(_SOME_NUMBER), F.regexp_replace(text, UNIT_SPACE, "$1" + JOIN)).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, UNIT_SPACE, "$1" + JOIN)).otherwise(text)
 
 
 def with_numbers(rows: DataFrame, text: str, into: str) -> DataFrame:
-    """rows with column `into`: the text with its numbers and their units as placeholders."""
+    """rows with column `into`: the text with its numbers in figures and their units as placeholders."""
     t = F.col(into)
     rows = rows.withColumn(into, utf8(F.col(text)))
-    rows = rows.withColumn(into, join_units(t))
-    return rows.withColumn(into, F.when(t.rlike(_SOME_NUMBER), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT + "$1"), NUMBER_TOKEN, NUMBER + "$1")).otherwise(t))
+    return rows.withColumn(into, F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT + "$1"), NUMBER_TOKEN, NUMBER + "$1")).otherwise(t))
 
 
 def with_template(rows: DataFrame, typed: str, into: str, kind: int) -> DataFrame:
     """rows with array column `into`: the tokens of one kind of template, from what with_numbers() gives."""
     t = F.col(into)
-    rows = rows.withColumn(into, F.col(typed) if NAMES[kind] is None else F.regexp_replace(join_names(F.col(typed), kind), NAMES[kind], NAME))
-    return rows.withColumn(into, F.regexp_extract_all(F.lower(F.translate(t, PUNCTUATION, "")), F.lit(WORD), F.lit(0)))
+    rows = rows.withColumn(into, F.col(typed) if NAMES[kind] is None else F.regexp_replace(F.col(typed), NAMES[kind], NAME))
+    rows = rows.withColumn(into, F.regexp_extract_all(F.lower(F.translate(t, PUNCTUATION, "")), F.lit(WORD), F.lit(0)))
+    return rows.withColumn(into, F.transform(t, lambda w: F.when(w.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(w)))
 
 
 def raw_tokens(text: Column, kind: int) -> Column:
@@ -193,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     aligned = alone.unionByName(near).where(F.size("hits") >= F.lit(min_share) * F.col("of"))
     aligned = materialize(aligned.withColumn("hits", F.array_sort("hits")).distinct(), "bench-aligned")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    by_kind = F.when(F.col("kind") == 0, raw_tokens(F.col("text"), 0)).when(F.col("kind") == 1, raw_tokens(F.col("text"), 1)).otherwise(raw_tokens(F.col("text"), 2))
+    by_kind = F.when(F.col("kind") == 0, raw_tokens(F.col("text"), 0)).otherwise(raw_tokens(F.col("text"), 1))
     met = join_small(texts, aligned, ["text_hash"]).withColumn("doc_raw", by_kind).drop("text")
     met = join_small(met, items.drop("length"), ["item_key", "kind"])
     # Only what the matched windows cover is held against the slots.
