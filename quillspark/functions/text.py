@@ -11,12 +11,13 @@ REDACTIONS = (
     (r"(?i)C:\\Users\\[^\\\s]+", "<user-home>"),
     (r"/Users/[^/\s]+", "<user-home>"),
     (r"/home/[^/\s]+", "<user-home>"),
+    (r"([A-Za-z]:\\[^\s\"<>|:*?]+|/[^\s\"<>|:*?]+)", "<path>"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
-    (r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer <token>"),
-    (r"(?i)([?&])(token|key|secret|password|access_token|api_key)=[^&\s]+", "$1$2=<token>"),
-    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
+    (r"(?i)Bearer\s+[a-zA-Z0-9_\-./=]{8,}", "Bearer <token>"),
+    (r"(?i)([?&])(token|api_key|apikey|key|auth|secret|license)=([^&\s]*)", "$1$2=<token>"),
+    (r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
 )
-SENSITIVE = ("license", "token", "secret", "password", "authorization", "email", "apikey", "api_key")
+SENSITIVE = ("license", "token", "secret", "password", "apikey", "api_key", "email", "vaultpath", "basepath", "path")
 REDACTED_LENGTH = 16384
 
 
@@ -57,9 +58,12 @@ def relative_path(path: Column) -> Column:
     return F.when(~bad, p)
 
 
-def redact(text: Column, salt: str = "", root: str | None = None) -> Column:
-    """Known secrets and personal paths become placeholders; files under root keep a salted hash of their path."""
+def redact(text: Column, salt: str = "", root: str | None = None, license_prefix: str | None = None) -> Column:
+    """Known secrets and paths become placeholders; files under root keep a salted hash of their path. license_prefix is
+    what a product's keys begin with."""
     out = text
+    if license_prefix:
+        out = F.regexp_replace(out, "(?i)\\Q" + license_prefix + "\\E-[A-Z0-9_-]{8,}", "<license-key>")
     if root:
         at = F.lit(root.replace("\\", "/"))
         rest = F.regexp_extract(out, "\\Q" + root.replace("\\", "/") + "\\E" + r"([^\s\"'<>|:*?]*)", 1)
@@ -79,9 +83,12 @@ def is_sensitive(field: Column) -> Column:
 
 
 def truncate_utf8(text: Column, limit: int) -> Column:
-    """At most limit bytes of UTF-8, whole characters, with an ellipsis if something went."""
-    kept = F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit - 3), "UTF-8")
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(kept, "\ufffd+$", ""), F.lit("...")))
+    """At most limit bytes of UTF-8, whole characters, and an ellipsis if something went."""
+    cut = F.substring(F.encode(text, "UTF-8"), 1, limit)
+    # What a cut leaves of a character at the end: a leading byte without all of its followers.
+    tail = F.regexp_extract(F.hex(cut), "(?:(?:C|D)[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})$", 0)
+    kept = F.decode(F.substr(cut, F.lit(1), F.octet_length(cut) - (F.length(tail) / 2).cast("int")), "UTF-8")
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(kept, F.lit("…")))
 
 
 def collapse(text: Column, length: int) -> Column:
@@ -94,6 +101,14 @@ def first_line(text: Column) -> Column:
     return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
 
 
+def legacy_id(path: Column, created: Column) -> Column:
+    return F.concat(path, F.lit("::"), created.cast("string"))
+
+
+def chunk_id(doc_id: Column, index: Column) -> Column:
+    return F.concat(doc_id.cast("string"), F.lit("::chunk-"), index.cast("string"))
+
+
 def legacy_chunk_index(chunk_id: Column) -> Column:
     return F.coalesce(F.regexp_extract(chunk_id, r"chunk-(\d+)$", 1).try_cast("int"), F.lit(0))
 

@@ -30,7 +30,8 @@ CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
 
 def nearest(records: DataFrame, vector, k: int) -> DataFrame:
     """The k records nearest to one vector by (distance, seq): a top-k heap in each partition, then their merge."""
-    return records.withColumn("distance", V.squared_l2(F.col("embedding"), V.literal(vector))).orderBy("distance", "seq").limit(k)
+    known = records.where(F.col("embedding").isNotNull())
+    return known.withColumn("distance", V.squared_l2(F.col("embedding"), V.literal(vector))).orderBy("distance", "seq").limit(k)
 
 
 def nearest_batch(records: DataFrame, queries: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -106,21 +107,30 @@ def keyword_query(text: str | None) -> KeywordQuery:
     return KeywordQuery(tuple(terms)[:MAX_TERMS], tuple(short)[:MAX_SHORT_TERMS])
 
 
+def trigram_length() -> Column:
+    """The length of a document in trigrams."""
+    return F.greatest(F.length("document") - 2, F.lit(0)).cast("double")
+
+
 def _occurrences(lowered: Column, term: str) -> Column:
-    return F.regexp_count(lowered, F.lit("(?=\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E)"))
+    """How often a term occurs, overlaps included. A term that can't overlap itself is counted by what its removal takes."""
+    if any(term[:n] == term[-n:] for n in range(1, len(term))):
+        return F.regexp_count(lowered, F.lit("(?=\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E)"))
+    return ((F.length(lowered) - F.length(F.replace(lowered, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
-def bm25(records: DataFrame, terms, k: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """records with score, best first: BM25 over trigram lengths, negative, so smaller is better. Statistics come from
-    records; candidates, a subset of them, limits what is returned. One pass gathers the statistics of all terms."""
-    terms = list(terms)
+def bm25_of(records: DataFrame, sizes: DataFrame, terms, k: int | None = None) -> DataFrame:
+    """records with score, best first: BM25 over trigram lengths, negative, so smaller is better. records must hold every
+    record with any of the terms; sizes is one row: _n records and their mean length _avg. A term's own frequency is
+    counted where it occurs."""
+    terms = [t.lower() for t in terms]
     if not terms:
         return records.where(F.lit(False)).withColumn("score", F.lit(0.0))
     low = F.lower("document")
-    counted = lambda df: df.withColumn("_dl", F.greatest(F.length("document") - 2, F.lit(0)).cast("double")).withColumn("_tf", F.array(*[_occurrences(low, t) for t in terms]))
-    every = counted(records.where(F.col("document").isNotNull()))
-    stats = every.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))]).alias("_df"))
-    rows = (every if candidates is None else counted(candidates.where(F.col("document").isNotNull()))).where(F.exists("_tf", lambda f: f > 0)).crossJoin(F.broadcast(stats))  # one row
+    counted = records.where(F.col("document").isNotNull()).withColumn("_tf", F.array(*[_occurrences(low, t) for t in terms]))
+    found = counted.withColumn("_dl", trigram_length()).where(F.exists("_tf", lambda f: f > 0))
+    stats = found.agg(F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))]).alias("_df")).crossJoin(sizes)  # one row
+    rows = found.crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)
     for i in range(len(terms)):
         f, n = F.col("_tf")[i], F.col("_df")[i]
@@ -131,6 +141,11 @@ def bm25(records: DataFrame, terms, k: int | None = None, candidates: DataFrame
     return ranked if k is None else ranked.limit(k)
 
 
+def bm25(records: DataFrame, terms, k: int | None = None) -> DataFrame:
+    """The same over all records, with their own statistics."""
+    return bm25_of(records, records.where(F.col("document").isNotNull()).agg(F.count("*").alias("_n"), F.avg(trigram_length()).alias("_avg")), terms, k)
+
+
 def short_term_hits(records: DataFrame, terms, k: int) -> DataFrame:
     """id, seq, hits, term, rank: how many short terms a record holds; a term counts for its first k records only."""
     if not terms:
@@ -186,6 +201,30 @@ def hybrid(records: DataFrame, vector, text: str, k: int, weight: float = DEFAUL
     return rows.select("id", "seq", "distance", "fused_score", F.array_compact(F.array("by_vector", "by_keyword")).alias("matched_by"), "position").orderBy("position")
 
 
+def by_tool(near: DataFrame, words: DataFrame, short: DataFrame, limit: int) -> DataFrame:
+    """id, fused_score, matched_by, position: lists of the tool server (id, rank), each of weight 1; without keyword hits
+    the vector list alone."""
+    fused = fuse([(near, 1.0), (words, 1.0), (short, 1.0)]).where(F.col("position") <= limit)
+    hits = words.select("id").unionByName(short.select("id")).distinct().withColumn("by_keyword", F.lit("keyword"))
+    rows = fused.join(near.select("id", F.lit("vector").alias("by_vector")), "id", "left").join(hits, "id", "left")
+    return rows.select("id", "fused_score", F.array_compact(F.array("by_vector", "by_keyword")).alias("matched_by"), "position")
+
+
+def backfilled(records: DataFrame, vector, k: int, muted: list[str] = (), excluded: list[str] = (), chunk_ids: list = (), pool: int | None = 200) -> DataFrame:
+    """The k nearest that may be returned, among the pool nearest of all (None: among all). The pool's size is what an
+    expanding fetch reaches in the end; a first fetch that is enough gives the same rows."""
+    near = records if pool is None else nearest(records, vector, pool)
+    return nearest(visible(near, muted, excluded, chunk_ids), vector, k)
+
+
+def by_document(records: DataFrame, vectors: DataFrame, doc_id, k: int) -> DataFrame:
+    """The k nearest records of other documents to a document's own vector. vectors: doc_id, embedding."""
+    me = vectors.where(F.col("doc_id") == doc_id).select("embedding").first()
+    if me is None:
+        return records.where(F.lit(False)).withColumn("distance", F.lit(0.0))
+    return nearest(records.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))), me["embedding"], k)
+
+
 def visible(records: DataFrame, muted: list[str] = (), excluded: list[str] = (), chunk_ids: list[str] = ()) -> DataFrame:
     """Records that may be returned; filter before a limit, so a search fills up to k."""
     out = records

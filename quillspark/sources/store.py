@@ -1,15 +1,20 @@
-"""A store of collections of chunk records: versioned Parquet snapshots behind a pointer file.
+"""A store of collections of chunk records: versioned Parquet snapshots with commit files.
 
-root/<collection>/v<number> holds a snapshot, root/<collection>/CURRENT names the one that readers see. A write validates
-first, writes a new snapshot and then swaps the pointer, so readers see all of it or nothing. One writer at a time.
+A write validates first, writes a new snapshot under a name of its own and then creates root/<collection>/commits/<number>,
+which holds that name. Readers take the highest number, so they see all of a write or nothing. A commit file is created,
+never replaced: of two writers of the same number one fails. root/meta/<key> holds values in the same way.
+
+Metadata are maps of JSON scalars, so filters by equality are strict about types: 1, "1" and true differ.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,8 +23,10 @@ from quillspark.operators import documents
 
 #: The format's version, names of collections, limits of a batch and of metadata.
 FORMAT_VERSION = 1
-COLLECTION_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{2,255}$"
+COLLECTION_NAME = documents.COLLECTION_NAME
 MAX_ID, MAX_KEYS, MAX_KEY = 2048, 256, 256
+#: New rows are numbered in so many runs of ids.
+RUNS = 256
 RECORD = "seq long, id string, doc_id string, document string, path string, title string, mtime double, chunk_index int, chunk_count int, section_label string, metadata map<string,string>, embedding array<float>"
 COLUMNS = [c.split()[0] for c in re.sub(r"map<[^>]*>", "map", RECORD).split(", ")]
 
@@ -36,13 +43,45 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.join(n, old["id"] == n["_id"], "full")
     columns = [F.when(F.col("_id").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in rest else F.col(c) for c in old.columns if c not in ("id", "seq")]
     both = both.select(F.coalesce("id", "_id").alias("id"), "seq", *columns, F.col("_id").isNotNull().alias("replaced"))
-    added = both.where(F.col("seq").isNull())
-    top = old.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_top"))
-    # Only the new rows are numbered: runs by partition of a range sort would serve larger batches.
-    added = added.drop("seq").join(F.broadcast(top)).withColumn("seq", F.col("_top") + F.row_number().over(Window.orderBy("id"))).drop("_top")
+    top = old.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_top")).first()[0]
+    added = numbered(both.where(F.col("seq").isNull()).drop("seq"), "id", top + 1, "seq")
     return both.where(F.col("seq").isNotNull()).unionByName(added)
 
 
+def numbered(rows: DataFrame, key: str, first: int, into: str) -> DataFrame:
+    """rows with their number in the order of a unique key, from first on. Bounds of runs come from a bounded sample by
+    hash; each run is numbered by itself, behind the sizes of those before it."""
+    bounds = sorted(r[0] for r in rows.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).select(key).limit(RUNS).collect())
+    run = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    rows = rows.withColumn("_run", run)
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # RUNS rows at most
+    sizes = rows.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", (F.lit(first) + F.coalesce(F.sum("_n").over(before), F.lit(0)) - 1).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_run").orderBy(key))
+    return rows.join(F.broadcast(sizes), "_run").withColumn(into, (F.col("_before") + nth).cast("long")).drop("_run", "_before")
+
+
+def json_scalars(metadata: Column, kind: str) -> Column:
+    """Metadata as a map of JSON scalars: from a map of strings, or from the text of a JSON object. Nulls go."""
+    if kind == "string":
+        typed = F.parse_json(metadata).cast("map<string,variant>")
+        return F.transform_values(F.map_filter(typed, lambda k, v: ~F.is_variant_null(v)), lambda k, v: F.to_json(v))
+    return F.transform_values(F.map_filter(metadata, lambda k, v: v.isNotNull()), lambda k, v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1))
+
+
+def is_valid_metadata(metadata: Column) -> Column:
+    """Few enough keys, none too long or empty, and no values but strings, finite numbers and booleans."""
+    keys = F.map_keys(metadata)
+    return (F.size(keys) <= MAX_KEYS) & F.forall(keys, lambda k: F.length(k).between(1, MAX_KEY)) & F.forall(F.map_values(metadata), lambda v: ~v.rlike(r"^[\[{]|^null$"))
+
+
+def has_value(metadata: Column, key: str, value) -> Column:
+    """Strict equality of a metadata value; an absent key never matches."""
+    found = F.try_element_at(metadata, F.lit(key))
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return F.coalesce(found.rlike("^-?[0-9]") & (found.try_cast("double") == float(value)), F.lit(False))
+    return F.coalesce(found == json.dumps(value, ensure_ascii=False), F.lit(False))
+
+
 def without_documents(records: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Records but those of the documents named in column doc_id."""
     return records.join(doc_ids.select("doc_id"), "doc_id", "left_anti")
@@ -60,40 +99,58 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = self._read(f"{self.root}/FORMAT")
-        if found is None:
-            self._swap(f"{self.root}/FORMAT", str(FORMAT_VERSION))
-        elif found != str(FORMAT_VERSION):
-            raise StoreError(f"format {found} is not supported")
-
-    def _read(self, path: str) -> str | None:
-        if not self._fs.exists(self._path(path)):
-            return None
-        with_close = self._fs.open(self._path(path))
+        self._cached: dict[str, tuple[int, DataFrame]] = {}
+        if self.get_meta("format") is None:
+            self.set_meta("format", str(FORMAT_VERSION))
+        elif self.get_meta("format") != str(FORMAT_VERSION):
+            raise StoreError(f"format {self.get_meta('format')} is not supported")
+
+    def _numbers(self, folder: str) -> list[int]:
+        """Numbers of the files that are complete: one is empty until its writer has closed it."""
+        if not self._fs.exists(self._path(folder)):
+            return []
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().isdigit() and s.getLen() > 0)
+
+    def _read(self, path: str) -> str:
+        source = self._fs.open(self._path(path))
         try:
-            return with_close.readLine()
+            return source.readLine() or ""
         finally:
-            with_close.close()
+            source.close()
 
-    def _swap(self, path: str, text: str) -> None:
-        part = self._path(f"{path}.{uuid.uuid4().hex}")
-        out = self._fs.create(part, True)
+    def _commit(self, folder: str, number: int, text: str) -> None:
+        """Create the file of a number; fails where another writer has."""
+        out = self._fs.create(self._path(f"{folder}/{number:012d}"), False)
         try:
-            out.writeBytes(text)
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if self._fs.exists(self._path(path)):
-            self._fs.delete(self._path(path), False)
-        self._fs.rename(part, self._path(path))
+
+    def get_meta(self, key: str) -> str | None:
+        folder = f"{self.root}/meta/{quote(key, '')}"
+        found = self._numbers(folder)
+        return self._read(f"{folder}/{found[-1]:012d}") if found else None
+
+    def set_meta(self, key: str, value: str) -> None:
+        """Set a value of one line; readers see the old one or the new one."""
+        folder = f"{self.root}/meta/{quote(key, '')}"
+        found = self._numbers(folder)
+        self._commit(folder, found[-1] + 1 if found else 0, value)
+        for n in found[:-1]:
+            self._fs.delete(self._path(f"{folder}/{n:012d}"), False)
 
     def collections(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and self.has(s.getPath().getName()))
 
     def has(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/{name}/CURRENT"))
+        return bool(self._numbers(f"{self.root}/{name}/commits"))
+
+    def open(self, name: str) -> DataFrame | None:
+        """An existing collection, never created by asking."""
+        return self.read(name) if self.has(name) else None
 
     def ensure(self, name: str) -> None:
-        if not re.match(COLLECTION_NAME, name):
+        if not re.match(COLLECTION_NAME, name) or name == "meta":
             raise StoreError(f"not a collection name: {name}")
         if not self.has(name):
             self._publish(name, self.spark.createDataFrame([], RECORD))
@@ -105,53 +162,82 @@ class Store:
         return there
 
     def version(self, name: str) -> int:
-        found = self._read(f"{self.root}/{name}/CURRENT")
-        if found is None:
+        found = self._numbers(f"{self.root}/{name}/commits")
+        if not found:
             raise StoreError(f"no collection {name}")
-        return int(found)
+        return found[-1]
 
     def _publish(self, name: str, rows: DataFrame) -> None:
         v = self.version(name) + 1 if self.has(name) else 0
-        rows.select(COLUMNS).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        self._swap(f"{self.root}/{name}/CURRENT", str(v))
+        data = f"v{v}-{uuid.uuid4().hex}"
+        rows.select(COLUMNS).write.parquet(f"{self.root}/{name}/{data}")
+        self._commit(f"{self.root}/{name}/commits", v, data)
 
     def vacuum(self, name: str, keep: int = 2) -> None:
-        """Delete all snapshots but the newest."""
-        for v in range(self.version(name) - keep, -1, -1):
-            if not self._fs.delete(self._path(f"{self.root}/{name}/v{v}"), True):
-                break
+        """Delete all snapshots but the newest, and what failed writes left."""
+        commits = f"{self.root}/{name}/commits"
+        kept = self._numbers(commits)[-keep:]
+        live = {self._read(f"{commits}/{n:012d}") for n in kept}
+        for n in self._numbers(commits):
+            if n not in kept:
+                self._fs.delete(self._path(f"{commits}/{n:012d}"), False)
+        for s in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            found = re.match(r"v(\d+)-", s.getPath().getName())
+            if found and s.getPath().getName() not in live and int(found[1]) <= kept[-1]:
+                self._fs.delete(s.getPath(), True)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(RECORD).parquet(f"{self.root}/{name}/v{self.version(name)}")
-
-    def upsert(self, name: str, rows: DataFrame) -> int:
-        """Replace rows by id in place and append new ones; all or nothing. Missing columns are null."""
+        data = self._read(f"{self.root}/{name}/commits/{self.version(name):012d}")
+        return self.spark.read.schema(RECORD).parquet(f"{self.root}/{name}/{data}")
+
+    def cached(self, name: str) -> DataFrame:
+        """The vectors of a collection (id, seq, doc_id, embedding, norm2), kept in memory until a new version appears."""
+        v = self.version(name)
+        held = self._cached.get(name)
+        if held is None or held[0] != v:
+            if held:
+                held[1].unpersist()
+            rows = self.read(name).select("id", "seq", "doc_id", "embedding", V.dot(F.col("embedding"), F.col("embedding")).alias("norm2"))
+            self._cached[name] = v, rows.cache()
+        return self._cached[name][1]
+
+    def upsert(self, name: str, rows: DataFrame, encoded: bool = False) -> int:
+        """Replace rows by id in place and append new ones; all or nothing. Missing columns are null. metadata is a map of
+        strings or the text of a JSON object; encoded: the map already holds JSON scalars."""
+        old = self.read(name)
         for c in COLUMNS:
             if c not in rows.columns:
-                kind = dict(self.read(name).dtypes)[c]
-                rows = rows.withColumn(c, F.lit(None).cast(kind))
-        old = self.read(name)
+                rows = rows.withColumn(c, F.lit(None).cast(dict(old.dtypes)[c]))
+        if not encoded:
+            rows = rows.withColumn("metadata", json_scalars(F.col("metadata"), dict(rows.dtypes)["metadata"]))
         dimension = old.select(F.size("embedding").alias("n")).first()
         bad = ~V.is_valid(F.col("embedding"), dimension["n"] if dimension else None) | F.col("id").isNull() | ~F.length("id").between(1, MAX_ID)
-        bad = bad | F.coalesce((F.size(F.map_keys("metadata")) > MAX_KEYS) | F.exists(F.map_keys("metadata"), lambda k: F.length(k) > MAX_KEY), F.lit(False))
+        bad = bad | ~F.coalesce(is_valid_metadata(F.col("metadata")), F.lit(True))
         seen = rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(bad).alias("bad"), F.count_distinct(F.size("embedding")).alias("dimensions")).first()
         if seen["bad"] or seen["n"] != seen["ids"] or seen["dimensions"] > 1:
             raise StoreError(f"{seen['bad']} invalid records, {seen['n'] - seen['ids']} repeated ids, {seen['dimensions']} dimensions")
         self._publish(name, merged(old, rows.select([c for c in COLUMNS if c != "seq"])))
         return seen["n"]
 
-    def delete_document(self, name: str, doc_id: str) -> int:
+    def delete_documents(self, name: str, doc_ids: DataFrame) -> int:
+        """Delete the records of all documents named in column doc_id; how many there were."""
         old = self.read(name)
-        n = old.where(F.col("doc_id") == doc_id).count()
+        gone = doc_ids.select("doc_id").distinct()
+        n = old.join(gone, "doc_id", "left_semi").count()
         if n:
-            self._publish(name, old.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))))
+            self._publish(name, without_documents(old, gone))
         return n
 
+    def delete_document(self, name: str, doc_id: str) -> int:
+        return self.delete_documents(name, self.spark.createDataFrame([(doc_id,)], "doc_id string"))
+
     def count(self, name: str) -> int:
         return self.read(name).count()
 
     def get(self, name: str, ids: list[str] | None = None, where: dict | None = None, documents_: bool = True, embeddings: bool = False, limit: int | None = None, offset: int = 0) -> DataFrame:
         """Records by id and by equality of columns or metadata, in seq order. A value is a scalar or {'$eq': scalar}."""
+        if offset < 0 or limit is not None and limit < 1:
+            raise StoreError("pages begin at 0 and have a row at least")
         rows = self.read(name)
         if ids is not None:
             rows = rows.where(F.col("id").isin(ids)) if ids else rows.where(F.lit(False))
@@ -159,19 +245,23 @@ class Store:
             if key.startswith("$") or isinstance(value, dict) and set(value) != {"$eq"}:
                 raise StoreError(f"unsupported filter {key}")
             value = value["$eq"] if isinstance(value, dict) else value
-            rows = rows.where(F.col(key) == value) if key in COLUMNS else rows.where(F.element_at("metadata", F.lit(key)) == F.lit(str(value)))
+            rows = rows.where(F.col(key) == value) if key in COLUMNS else rows.where(has_value(F.col("metadata"), key, value))
         rows = rows.drop(*(() if documents_ else ("document",)), *(() if embeddings else ("embedding",))).orderBy("seq").offset(offset)
         return rows if limit is None else rows.limit(limit)
 
     def document_entries(self, name: str) -> DataFrame:
         return documents.document_entries(self.read(name))
 
+    def log_query(self, tool: str, results: int) -> None:
+        """Note when a tool was last asked and how much it found, never what for."""
+        self.set_meta("last query", json.dumps({"tool": tool, "results": results, "at": self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0]}))
+
 
 def copy_collection(source: Store, target: Store, name: str) -> dict:
     """Copy a collection and compare both sides: counts, digests of ids, and rows whose vector or document differs."""
     target.drop(name)
     target.ensure(name)
-    target.upsert(name, strip_null_metadata(source.read(name)).drop("seq"))
+    target.upsert(name, strip_null_metadata(source.read(name)).drop("seq"), encoded=True)
     a, b = source.read(name), target.read(name)
     differ = a.alias("a").join(b.alias("b"), "id", "full").where(~(F.col("a.document").eqNullSafe(F.col("b.document")) & F.col("a.embedding").eqNullSafe(F.col("b.embedding"))))
     digest = lambda df: documents.xor_digest(df, "id").first()["digest"]
