@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
+
+from quillspark.functions import rules
 
 #: The cleaning rules in their order (Java syntax) and the limits in characters.
 CLEANING = (
@@ -183,11 +186,36 @@ def chunk_documents(docs: DataFrame, encode: Encoder = hashing_encoder) -> DataF
     return cleaned.mapInPandas(run, f"doc_id {kind}, id string, chunk_index int, chunk_count int, section_label string, content string")
 
 
-def embed(rows: DataFrame, column: str, encode: Encoder = hashing_encoder, prefix: str = "") -> DataFrame:
-    """rows with embedding: the unit vector of prefix and text, by Arrow batches."""
+def packs(texts: list[str], most: int = 4, chars: int = 1800) -> Iterator[list[str]]:
+    """The texts in order, in batches that a model takes at once."""
+    held: list[str] = []
+    for t in texts:
+        if held and (len(held) == most or sum(map(len, held)) + len(t) > chars):
+            yield held
+            held = []
+        held.append(t)
+    if held:
+        yield held
+
+
+def encode_pack(texts: list[str], encode: Encoder) -> np.ndarray:
+    """Vectors of one batch; if the encoder fails on it, text by text. One vector a text, all finite."""
+    try:
+        out = np.asarray(encode(texts))
+    except TimeoutError:
+        raise
+    except Exception:  # noqa: BLE001 - a single text may be at fault; what fails alone fails the task
+        out = np.concatenate([np.asarray(encode([t])) for t in texts])
+    if out.ndim != 2 or len(out) != len(texts) or not np.isfinite(out).all():
+        raise ValueError(f"the encoder gave {out.shape} for {len(texts)} texts")
+    return out
+
+
+def embed(rows: DataFrame, column: str, encode: Encoder = hashing_encoder, prefix: str = "", limit: int | None = None, most: int = 4, chars: int = 1800) -> DataFrame:
+    """rows with embedding: the unit vector of prefix and text, cut to the encoder's limit, by Arrow batches."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(encode([prefix + (t or "") for t in texts]).astype("float32")))
+        return pd.Series([v.astype("float32") for pack in packs([t or "" for t in texts], most, chars) for v in encode_pack(pack, encode)], dtype=object)
 
-    return rows.withColumn("embedding", run(F.col(column)))
+    return rows.withColumn("embedding", run(rules.model_input(F.col(column), limit or 1 << 30, prefix)))

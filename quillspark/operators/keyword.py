@@ -20,10 +20,12 @@ STEP = 1000
 
 
 def grams(text: Column) -> Column:
-    """Distinct trigrams of the lower-cased text."""
-    low = F.lower(text)
-    starts = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - (GRAM - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM))))
+    """Distinct trigrams of the lower-cased text: its characters zipped with those one and two further on."""
+    chars = F.split(F.lower(text), "")
+    n = F.greatest(F.size(chars), F.lit(0))
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y))
+    triples = F.zip_with(pairs, F.slice(chars, F.lit(3), n), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.filter(triples, lambda g: F.length(g) == GRAM))
 
 
 def bucket(gram: Column) -> Column:

@@ -26,6 +26,8 @@ MAX_TERMS, MAX_SHORT_TERMS, MAX_WINDOWS = 32, 8, 24
 BM25_K1, BM25_B, BM25_FLOOR = 1.2, 0.75, 1e-6
 #: Rows of a block of the batched search.
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
+#: Results that a task of the batched search holds.
+HELD = 1_000_000
 
 
 def nearest(records: DataFrame, vector, k: int) -> DataFrame:
@@ -34,23 +36,37 @@ def nearest(records: DataFrame, vector, k: int) -> DataFrame:
     return known.withColumn("distance", V.squared_l2(F.col("embedding"), V.literal(vector))).orderBy("distance", "seq").limit(k)
 
 
-def nearest_batch(records: DataFrame, queries: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, seq, distance, rank: the k nearest of records (seq, embedding) for each row of queries (query_id,
-    embedding). Both sides are packed into blocks of vectors; each pair of blocks is one matrix product that yields k rows
-    a query, and a window keeps the best k of all. Nulls are left out."""
+def packed(rows: DataFrame, key: str, size: int = CORPUS_BLOCK) -> DataFrame:
+    """keys, data: vectors (key, embedding) in blocks of at most so many, each a matrix of floats. Nulls are left out. Keep it
+    (cache, or write it) where the same vectors are searched again."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                values = np.asarray(part.column(1).flatten(), np.float32)
+                yield pa.RecordBatch.from_pydict({"keys": [part.column(0).to_numpy().astype(np.int64).tobytes()], "data": [values.tobytes()]})
+
+    known = rows.where(F.col("embedding").isNotNull() & F.col(key).isNotNull())
+    return known.select(F.col(key).cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "keys binary, data binary")
+
 
-    def pack(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, size):
-                    part = batch.slice(lo, size)
-                    values = np.asarray(part.column(1).flatten(), np.float32)
-                    yield pa.RecordBatch.from_pydict({f"{name}_keys": [part.column(0).to_numpy().astype(np.int64).tobytes()], f"{name}_data": [values.tobytes()]})
+def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query among several results (query, seq, distance)."""
+    q, c, d = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((c, d, q))
+    q, c, d = q[order], c[order], d[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], c[keep], d[keep]
 
-        known = df.where(F.col("embedding").isNotNull() & F.col(key).isNotNull())
-        return known.select(F.col(key).cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, f"{name}_keys binary, {name}_data binary")
+
+def nearest_packed(corpus: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, seq, distance, rank: the k nearest of packed vectors for each packed query. A pair of blocks is one matrix
+    product; a task keeps the best k of the blocks it has met and passes on only those, and a window keeps the best of all.
+    Spark plans the pairs of blocks: it broadcasts a side only below its threshold."""
 
     def search(batches):
+        held, size = [], 0
         for batch in batches:
             for ck, cd, qk, qd in zip(*[batch.column(c) for c in range(4)]):
                 ck, qk = np.frombuffer(ck.as_buffer(), np.int64), np.frombuffer(qk.as_buffer(), np.int64)
@@ -63,19 +79,29 @@ def nearest_batch(records: DataFrame, queries: DataFrame, k: int, corpus_block:
                 error = 4 * (q.shape[1] + 4) * 2.0**-24 * (qq + cc.max()) + 1e-12
                 limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + error
                 at, of = np.nonzero(rough <= limit[:, None])
-                distance = ((q[at].astype(np.float64) - c[of]) ** 2).sum(1)
-                order = np.lexsort((ck[of], distance, at))
-                at, of, distance = at[order], of[order], distance[order]
-                first = np.searchsorted(at, np.arange(len(qk)))
-                keep = np.arange(len(at)) - first[at] < k
-                yield pa.RecordBatch.from_pydict({"query_id": qk[at[keep]], "seq": ck[of[keep]], "distance": distance[keep]})
-
-    corpus, asked = pack(records, "seq", corpus_block, "c"), pack(queries, "query_id", query_block, "q")
-    found = corpus.crossJoin(asked).mapInArrow(search, "query_id long, seq long, distance double")
+                held.append((qk[at], ck[of], ((q[at].astype(np.float64) - c[of]) ** 2).sum(1)))
+                size += len(at)
+                if size > HELD:
+                    held = [_best(held, k)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:  # that many queries: pass them on
+                        yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "seq", "distance"), held[0])))
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "seq", "distance"), _best(held, k))))
+
+    pairs = corpus.select(F.col("keys").alias("ck"), F.col("data").alias("cd")).crossJoin(asked.select(F.col("keys").alias("qk"), F.col("data").alias("qd")))
+    found = pairs.mapInArrow(search, "query_id long, seq long, distance double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "seq")))
     return ranked.where(F.col("rank") <= k)
 
 
+def nearest_batch(records: DataFrame, queries: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, seq, distance, rank: the k nearest of records (seq, embedding) for each row of queries (query_id,
+    embedding). Nulls are left out."""
+    return nearest_packed(packed(records, "seq", corpus_block), packed(queries, "query_id", query_block), k)
+
+
 @dataclass(frozen=True)
 class KeywordQuery:
     terms: tuple[str, ...]

@@ -262,7 +262,7 @@ def s07(spark, sf_dir):
     return filled(spark, sf_dir).cached("vectors").select("id", F.round("norm2", 6).alias("norm2"))
 
 
-_GRAMS = "(SELECT DISTINCT doc_id, lower(text)[i:i+2] AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents))"
+_GRAMS = "(SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS gram FROM (SELECT doc_id, string_split(lower(text), '') AS c FROM documents))"
 
 
 @query("d08_keyword_index", f"SELECT gram, count(*) AS n FROM {_GRAMS} GROUP BY gram")
