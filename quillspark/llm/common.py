@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillspark.sources.scratch import scratch_folder, scratch_root
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,22 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
+    """The folder that driver and executors share."""
+    return scratch_root(spark)
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses; it goes when the application ends."""
-    path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+    return scratch_folder(spark, tag)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -62,6 +54,31 @@ def join_small(big: DataFrame, small: DataFrame, on: Column | list[str], how: st
     return big.join(small, on, how)
 
 
+#: Runs of a global order that are summed by themselves.
+RUNS = 256
+
+
+def running(rows: DataFrame, order: list[Column], nth: str, before: dict[str, str]) -> DataFrame:
+    """rows with their number from 0 (column nth) and the sums over all rows before them (before: column = name), in a total
+    order. Bounds of runs come from a bounded sample by hash; each run is windowed by itself, behind the sums of those before
+    it. Null and NaN order as Spark orders structs. Give a materialized frame: it is read three times."""
+    key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])
+    rows = rows.withColumn("_key", key)
+    some = [r[0] for r in rows.orderBy(F.xxhash64("_key"), "_key").select("_key").limit(RUNS - 1).collect()]
+    bounds = rows.sparkSession.createDataFrame([(list(map(tuple, some)),)], rows.select(F.array("_key").alias("b")).schema) if some else None
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_run", F.size(F.filter("b", lambda x: x < F.col("_key")))).drop("b") if some else rows.withColumn("_run", F.lit(0))  # one row
+    ahead = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # RUNS rows at most
+    sizes = rows.groupBy("_run").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in before.values()])
+    zero = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    sizes = sizes.select("_run", zero("_n").alias("_first"), *[zero(f"_s_{c}").alias(f"_b_{c}") for c in before.values()])
+    by = Window.partitionBy("_run").orderBy("_key")
+    upto = by.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(sizes), "_run").withColumn(nth, F.col("_first") + F.row_number().over(by) - 1)
+    for name, c in before.items():
+        out = out.withColumn(name, F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(upto), F.lit(0)))
+    return out.drop("_run", "_key", "_first", *[f"_b_{c}" for c in before.values()])
+
+
 def utf8(text: Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(text, F.lit(""))

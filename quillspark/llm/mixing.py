@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import join_small, materialize, n_words, uniform
+from quillspark.llm.common import join_small, materialize, n_words, running, uniform
 
 #: Fixed values of the query: weights of the sources in order, repeating, and the most epochs of a source.
 WEIGHTS = (5, 2, 1)
@@ -25,20 +25,19 @@ SEED = 11
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, source_size -> + target. Sources by code point, null last, take the weights in turn. The total of all
     sizes is shared by weight; a target stops at max_epochs times its source's size and the excess is shared again, which
-    ends at min(cap, level * weight) for one common level. One row a source: the windows here see nothing else."""
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("nth", F.row_number().over(by_ratio)).withColumn(
-        "level",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0))),
-    )
+    ends at min(cap, level * weight) for one common level. Sources may be as many as hosts: both orders run in parts."""
+    sizes = running(materialize(sizes, "mix-sources"), [F.col("source").isNull(), F.col("source")], "nth", {})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    ranked = sizes.withColumn("weight", weight).drop("nth").withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ranked = materialize(ranked, "mix-ratios")
+    total = ranked.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))
+    order = [F.col("ratio"), F.col("source").isNull(), F.col("source")]
+    ranked = running(ranked, order, "nth", {"caps": "cap", "weights": "weight"}).join(F.broadcast(total))  # one row
+    ranked = materialize(ranked.withColumn("level", (F.col("all_sizes") - F.col("caps")) / (F.col("all_weights") - F.col("weights"))), "mix-levels")
     #: The first source whose cap is above the level that it and all later ones would share sets the level.
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("nth", "level"))).over(everything)["level"]
-    target = F.when(F.col("ratio") <= F.coalesce(level, F.lit(float("inf"))), F.col("cap")).otherwise(level * F.col("weight"))
+    level = ranked.where(F.col("level") <= F.col("ratio")).agg(F.min(F.struct("nth", "level"))["level"].alias("common"))
+    ranked = ranked.join(F.broadcast(level))  # one row
+    target = F.when(F.col("ratio") <= F.coalesce("common", F.lit(float("inf"))), F.col("cap")).otherwise(F.col("common") * F.col("weight"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
@@ -60,7 +59,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, max_epochs
 
     Returns doc_id, text_hash, source, size, source_size, target, times, taken. size counts the text's words; null and
     empty texts have 0 and their taken is 0 however often they are taken. Null sources are one source, the last. A
-    null doc_id is a key like any other. Rows with equal keys follow by doc_id, size and text hash; fully repeated rows
+    null doc_id is a key like any other; very long texts count whole. Rows with equal keys follow by doc_id, size and text hash; fully repeated rows
     are interchangeable. The document in which the budget ends is taken if that brings the source nearer to its target.
     An empty table gives no rows. Other columns are not read.
     """
@@ -84,7 +83,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, max_epochs
     inside = rows.where(F.col("slice") == F.col("end_slice")).withColumn("before", F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     inside = inside.withColumn("more", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")).cast("int")).drop("before")
     outside = rows.where(F.col("slice") != F.col("end_slice")).withColumn("more", (F.col("slice") < F.col("end_slice")).cast("int"))
-    times = F.col("epochs") + F.col("more")
+    # At its limit a source has no rest; rows of size 0 would still fit in.
+    times = F.least(F.col("epochs") + F.col("more"), F.lit(max_epochs))
     return outside.unionByName(inside).select("doc_id", "text_hash", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 

@@ -105,7 +105,7 @@ ordered AS (
   SELECT b.doc_id, b.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
     coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.key, b.doc_id, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source),
-counted AS (SELECT *, epochs + (2 * before + size <= 2 * rest)::BIGINT AS times FROM ordered)
+counted AS (SELECT *, least(epochs + (2 * before + size <= 2 * rest)::BIGINT, 3) AS times FROM ordered)
 SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken, times FROM counted
 """
 
