@@ -1,10 +1,12 @@
 """Interpolated modified Kneser-Ney model: counted in Spark, stored as sorted hash arrays, mapped by the workers.
 
-Grams are counted inside each task and meet in buckets by the hash of their context, so one bucket knows all that
-follows its contexts. A bucket becomes two pairs of files in the shared folder: sorted gram hashes with counts, and
-sorted context hashes with their totals and numbers of followers seen once, twice and more often. What a bucket holds of
-a word's left contexts is summed in a second exchange and becomes the word files. Scoring maps the files and looks
-hashes up by binary search; nothing of the model passes through the driver but a row of sums.
+Grams are counted inside each task and meet in buckets by the hash of their context; the buckets follow the size of the
+texts. A context that would fill a good part of a bucket is dealt over all buckets by the word that follows; such contexts
+are found by a first pass that keeps what is frequent in a task. A bucket becomes two pairs of files in the shared folder:
+sorted gram hashes with counts, and sorted context hashes with their totals and numbers of followers seen once, twice and
+more often; a dealt context has a part in each bucket, and its parts are summed. What a bucket holds of a word's left
+contexts is summed in a second exchange and becomes the word files. Scoring maps the files and looks hashes up by binary
+search; nothing of the model passes through the driver but rows of sums and the few dealt contexts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from quillspark.llm.tokens import batch, joined, mix, word_hashes
 START, END = (int(x) for x in pd.util.hash_array(np.array(["start of text", "end of text"], object), categorize=False))
 #: Tokens that a task counts before it passes its grams on, and that it scores at a time.
 FLUSH = 1_500_000
+#: Bytes of text, about, whose grams make a bucket, and the share of a bucket that makes a context frequent.
+BUCKET_BYTES, FREQUENT = 8 << 20, 0.125
 
 GRAM_ROWS = "bucket int, contexts binary, runs binary, words binary, counts binary"
 WORD_ROWS = "bucket int, words binary, lefts binary, counts binary, n1 long, n2 long, n3 long, n4 long, grams long, tokens long, known int"
@@ -60,11 +64,21 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[order[first]], order[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
 
 
-def gram_rows(contexts: np.ndarray, words: np.ndarray, bits: int):
+def gram_bucket(contexts: np.ndarray, words: np.ndarray, bits: int, dealt: np.ndarray) -> np.ndarray:
+    """Buckets of grams: by context, those of dealt contexts (sorted) by the gram."""
+    out = bucket_of(contexts, bits)
+    if len(dealt):
+        at = np.minimum(np.searchsorted(dealt, contexts), len(dealt) - 1)
+        many = dealt[at] == contexts
+        out[many] = bucket_of(gram_hash(contexts[many], words[many]), bits)
+    return out
+
+
+def gram_rows(contexts: np.ndarray, words: np.ndarray, bits: int, dealt: np.ndarray):
     """Counted grams of a flush, one row a bucket; contexts are stored once with the length of their run."""
     _, at, counts = summed(gram_hash(contexts, words), np.ones(len(words), np.int64))
     contexts, words = contexts[at], words[at]
-    bucket = bucket_of(contexts, bits)
+    bucket = gram_bucket(contexts, words, bits, dealt)
     order = np.lexsort((contexts, bucket))
     contexts, words, counts, bucket = contexts[order], words[order], counts[order].astype(np.uint32), bucket[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -95,6 +109,37 @@ class Model:
     n_grams: int
     n_words: int
     n_tokens: int
+    #: Dealt contexts, sorted, with their totals and numbers of followers.
+    dealt: tuple[tuple[int, ...], ...] = ()
+
+
+def frequent_contexts(texts: DataFrame, bits: int) -> np.ndarray:
+    """Words and START that precede at least FREQUENT / 2 ** bits of all tokens, and perhaps some that precede half as many;
+    sorted. A flush reports what has half that share of it, so there are 2 ** (bits + 1) / FREQUENT at most for each flush
+    and none is missed."""
+
+    def count(batches):
+        held = []
+
+        def flush():
+            contexts = np.concatenate(held)
+            keys, _, n = summed(contexts, np.ones(len(contexts), np.int64))
+            some = n >= len(contexts) * FREQUENT / 2 ** (bits + 1)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"context": keys[some].view(np.int64), "n": n[some], "total": np.where(np.arange(some.sum()) == 0, len(contexts), 0)})
+
+        for part in batches:
+            for lo in range(0, part.num_rows, 512):
+                held.append(contexts_of(*tokenize(part.column(0).slice(lo, 512))))
+                if sum(map(len, held)) >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+
+    parts = materialize(texts.mapInArrow(count, "context long, n long, total long"), "kneser-ney-frequent")
+    total = parts.agg(F.sum("total")).first()[0] or 0
+    found = parts.groupBy("context").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(total * FREQUENT / 2 ** (bits + 1)))
+    return np.sort(np.array([r["context"] for r in found.collect()], np.int64).view(np.uint64))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -109,9 +154,12 @@ def train(texts: DataFrame, column: str = "text") -> Model:
     """Count and store the bigram model of all rows of texts. Null texts are empty: they add an end. Repeated rows count
     each time. Without rows the model knows nothing and gives every token probability 1 / (0 + 1)."""
     spark = texts.sparkSession
-    bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 - 1).bit_length()
+    read = texts.select(utf8(F.col(column)).alias("text"))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(3, (size // BUCKET_BYTES).bit_length())
     word_bits = max(0, bits - 4)  # every gram bucket has a row for every word bucket
     path = fresh_path(spark, "kneser-ney")
+    dealt = frequent_contexts(read, bits)
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -119,7 +167,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
 
         def flush():
             if held:
-                yield batch(gram_rows(*(np.concatenate(x) for x in zip(*held)), bits), names, types)
+                yield batch(gram_rows(*(np.concatenate(x) for x in zip(*held)), bits, dealt), names, types)
                 held.clear()
 
         for part in batches:
@@ -138,7 +186,10 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         contexts, words = contexts[at], words[at]
         write_sorted(f"{path}/grams/{bucket:06d}", keys, counts=counts.astype(np.uint32))
         heads, _, totals, one, two, more = summed(contexts, counts, *((counts == c).astype(np.int64) for c in (1, 2)), (counts > 2).astype(np.int64))
-        write_sorted(f"{path}/contexts/{bucket:06d}", heads, followers=np.stack([totals, one, two, more], 1))
+        followers = np.stack([totals, one, two, more], 1)
+        whole = ~np.isin(heads, dealt)
+        write_sorted(f"{path}/contexts/{bucket:06d}", heads[whole], followers=followers[whole])
+        parted = [(-2, heads[i : i + 1].tobytes(), b"", b"", *(int(x) for x in followers[i]), 0, 0, None) for i in np.flatnonzero(~whole)]
         words, _, lefts, sums = summed(words, np.ones(len(words), np.int64), counts)
         rows, target = [], bucket_of(words, word_bits)
         order = np.argsort(target, kind="stable")
@@ -147,7 +198,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
             o = order[lo:hi]
             rows.append((int(target[o[0]]), words[o].tobytes(), lefts[o].astype(np.uint32).tobytes(), sums[o].tobytes(), 0, 0, 0, 0, 0, 0, None))
         tally = [int((counts == c).sum()) for c in (1, 2, 3, 4)]
-        rows.append((-1, b"", b"", b"", *tally, len(keys), int(counts.sum()), bucket))
+        rows += [(-1, b"", b"", b"", *tally, len(keys), int(counts.sum()), bucket), *parted]
         names = ["bucket", "words", "lefts", "counts", "n1", "n2", "n3", "n4", "grams", "tokens", "known"]
         return pa.Table.from_batches([batch(rows, names, [pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 6, pa.int32()])])
 
@@ -159,23 +210,35 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         names = ["bucket", "n1", "n2", "n3", "n4", "words", "known"]
         return pa.Table.from_batches([batch([(bucket, *tally, len(keys), bucket)], names, [pa.int32(), *[pa.int64()] * 5, pa.int32()])])
 
-    grams = texts.select(utf8(F.col(column)).alias("text")).mapInArrow(count, GRAM_ROWS)
+    grams = read.mapInArrow(count, GRAM_ROWS)
     spread = materialize(grams.groupBy("bucket").applyInArrow(close_grams, WORD_ROWS), "kneser-ney-words")
     words = spread.where("bucket >= 0").groupBy("bucket").applyInArrow(close_words, WORD_STATS)
     numbers = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4")]
     low = words.agg(*numbers, F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.collect_list("known").alias("known")).first()
-    high = spread.where("bucket < 0").agg(*numbers, F.coalesce(F.sum("grams"), F.lit(0)).alias("grams"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.collect_list("known").alias("known")).first()
+    high = spread.where("bucket = -1").agg(*numbers, F.coalesce(F.sum("grams"), F.lit(0)).alias("grams"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.collect_list("known").alias("known")).first()
+    parts = spread.where("bucket = -2").groupBy("words").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4")]).collect()  # dealt contexts
+    shared = tuple(sorted((int(np.frombuffer(r["words"], np.uint64)[0]), r["n1"], r["n2"], r["n3"], r["n4"]) for r in parts))
     drop_path(spark, spread.inputFiles()[0].rsplit("/", 1)[0]) if spread.inputFiles() else None
     d = discounts(low.n1, low.n2, low.n3, low.n4)
     gamma = (d[0] * low.n1 + d[1] * low.n2 + d[2] * (low.words - low.n1 - low.n2)) / high.grams if high.grams else 1.0
-    return Model(path, bits, word_bits, frozenset(high.known), frozenset(low.known), discounts(high.n1, high.n2, high.n3, high.n4), d, gamma, high.grams, low.words, high.tokens)
+    return Model(path, bits, word_bits, frozenset(high.known), frozenset(low.known), discounts(high.n1, high.n2, high.n3, high.n4), d, gamma, high.grams, low.words, high.tokens, shared)
 
 
 class Lookup:
-    """The mapped files of a model in one worker."""
+    """The mapped files of a model in one worker, which keeps those of one model from task to task."""
+
+    _kept: dict[str, Lookup] = {}
 
     def __init__(self, model: Model):
         self.model, self.files = model, {}
+        table = np.array(model.dealt, np.uint64).reshape(-1, 5)
+        self.dealt, self.followers = table[:, 0].copy(), table[:, 1:].astype(np.int64)
+
+    @classmethod
+    def of(cls, model: Model) -> Lookup:
+        if model.path not in cls._kept:
+            cls._kept = {model.path: cls(model)}
+        return cls._kept[model.path]
 
     def _arrays(self, kind: str, bucket: int, values: dict):
         if (kind, bucket) not in self.files:
@@ -193,6 +256,8 @@ class Lookup:
             o = order[lo:hi]
             if int(buckets[o[0]]) in shards:
                 known, held = self._arrays(kind, int(buckets[o[0]]), values)
+                if not len(known):
+                    continue
                 at = np.minimum(np.searchsorted(known, keys[o]), len(known) - 1)
                 hit = known[at] == keys[o]
                 for name, (_, width) in values.items():
@@ -216,9 +281,13 @@ def score_texts(lookup: Lookup, texts: pa.Array) -> dict[str, np.ndarray]:
     base = np.log10((word["counts"] + 1) / (m.n_tokens + m.n_words + 1))[where]
     heads, place = np.unique(contexts, return_inverse=True)
     after = lookup.find("contexts", bucket_of(heads, m.bits), heads, m.gram_shards, followers=(np.int64, 4))["followers"]
+    if len(lookup.dealt):
+        at = np.minimum(np.searchsorted(lookup.dealt, heads), len(lookup.dealt) - 1)
+        many = lookup.dealt[at] == heads
+        after[many] = lookup.followers[at[many]]
     total = np.maximum(after[:, 0], 1)
     gamma = np.where(after[:, 0] > 0, after[:, 1:] @ np.array(m.gram_discounts) / total, 1.0)
-    pairs = lookup.find("grams", bucket_of(heads, m.bits)[place], gram_hash(contexts, tokens), m.gram_shards, counts=(np.uint32, 1))["counts"]
+    pairs = lookup.find("grams", gram_bucket(contexts, tokens, m.bits, lookup.dealt), gram_hash(contexts, tokens), m.gram_shards, counts=(np.uint32, 1))["counts"]
     p = discounted(pairs, m.gram_discounts) / total[place] + gamma[place] * low
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     known = (word["counts"] > 0)[where].astype(np.int64)
@@ -230,7 +299,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     end. Equal texts score the same. Very long texts are read whole. Other columns are not read."""
 
     def score(batches):
-        lookup = Lookup(model)
+        lookup = Lookup.of(model)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 part = whole.slice(lo, 512)
