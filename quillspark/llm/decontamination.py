@@ -208,7 +208,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, with all their columns, whose text leaks no item."""
+    """The rows of docs, with all their columns, whose text leaks no item. Null and empty texts stay; repeated rows share
+    their fate; other columns may have any name."""
     bad = find_leaks(docs.select("doc_id", "text"), benchmark, **parameters).select("text_hash").distinct()
     bad = materialize(bad, "bench-leaks")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("text_hash"))

@@ -41,8 +41,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
 
     n_lines counts lines with a visible character. Lines are compared without the white space around them; blank lines
     are never removed. Null texts count as empty: no lines, an empty text. A null source spreads no line, but its
-    documents are cleaned like all others. Repeated rows are each returned. An empty table gives no rows; other columns
-    are not read.
+    documents are cleaned like all others. A line on exactly min_sites sources goes. Repeated rows are each returned, very
+    long texts are read whole. An empty table gives no rows; other columns are not read.
     """
     base = docs.select("doc_id", "source", utf8(F.col("text")).alias("text"), F.xxhash64("text").alias("text_hash"))
     common = materialize(boilerplate_lines(docs.select("source", "text"), min_sites, lg_k), "line-common")
