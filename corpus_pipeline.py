@@ -26,7 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that leak no benchmark item."""
+    """The rows that leak no benchmark item. Null and empty texts stay, repeated rows go or stay together; an empty benchmark
+    takes nothing away."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,7 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: the place of each row in shards of near equal bytes."""
+    """doc_id, size, text_crc32, shard, slot: the place of each row in shards of near equal bytes. Null texts count as empty
+    ones; repeated rows, as the mix makes them, share a shard and each have a slot; no rows give no rows."""
     return sharding.shard_documents(docs, SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
