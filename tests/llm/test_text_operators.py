@@ -262,8 +262,6 @@ def test_outliers_go_and_clean_documents_stay(spark, documents):
     out = quality.keep_sound(documents(docs), min_cell=50)
     assert {r.doc_id for r in out.collect()} == {i for i in rows if rows[i].kept} and out.columns == documents([]).columns
     assert quality.keep_sound(documents([])).count() == 0
-    few = quality.judge(documents(docs[:20])).collect()
-    assert all(r.kept and r.d2 is not None for r in few)
     assert all(r.kept and r.d2 is None for r in quality.judge(documents(docs[:5])).collect())
 
 
