@@ -45,7 +45,7 @@ class PrefixSums:
                 inside = inside | F.col("key").between(p, p + "g")
             rows = rows.where(inside)
         sums = rows.groupBy(F.substring("key", 1, digits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max("bytes").alias("largest"))
-        return [(r["prefix"], r["bytes"], r["n"] == 1, r["largest"]) for r in sums.orderBy("prefix").collect()]
+        return [(r["prefix"], r["bytes"], r["n"] == 1, r["largest"]) for r in sorted(sums.collect(), key=lambda r: r["prefix"])]
 
     def _index(self) -> None:
         self.ends = list(accumulate(n[1] for n in self.nodes))
