@@ -23,6 +23,8 @@ from quillspark.llm.common import materialize, utf8
 #: Hexadecimal digits of the md5 prefixes whose sums are fetched first, and by which a prefix is refined.
 FIRST_DIGITS, MORE_DIGITS = 4, 3
 KEY_DIGITS = 32
+#: Prefixes refined at a time.
+REFINED = 256
 #: Rows of a shard are numbered in so many independent runs.
 SLOT_RUNS = 512
 
@@ -40,10 +42,7 @@ class PrefixSums:
         """(prefix, bytes, whether it is one group, largest group) of the parts of the prefixes, or of all."""
         rows = self.groups
         if prefixes:
-            inside = F.lit(False)
-            for p in prefixes:
-                inside = inside | F.col("key").between(p, p + "g")
-            rows = rows.where(inside)
+            rows = rows.where(F.substring("key", 1, len(prefixes[0])).isin(prefixes))
         sums = rows.groupBy(F.substring("key", 1, digits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max("bytes").alias("largest"))
         return [(r["prefix"], r["bytes"], r["n"] == 1, r["largest"]) for r in sorted(sums.collect(), key=lambda r: r["prefix"])]
 
@@ -117,7 +116,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         still = sums.open_nodes(low, high, shards)
         if not still:
             break
-        sums.refine(still)
+        # The largest leave most open; what they still leave is refined in the next turn.
+        sums.refine(set(sorted(still, key=lambda i: -sums.nodes[i][1])[:REFINED]))
     cuts = sums.fill(high, shards, low=True)
     return high, [sums.nodes[bisect_right(sums.ends, c)][0] for c in cuts]
 
