@@ -119,10 +119,87 @@ SELECT r.page_id, r.payload_bytes::BIGINT AS payload_bytes, r.payload_digest,
 FROM r LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
+
+def _merkle_sql(fanout: int = 16, depth: int = 8) -> str:
+    """Levels unrolled: depth of them hold fanout ** depth leaves a source."""
+    cell = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({cell('doc_id')} || {cell('source')} || {cell('lang')} || {cell('n_chars')} || {cell(text)})"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"
+    sql = f"""
+WITH rows AS MATERIALIZED (
+  SELECT doc_id, source, {leaf('text')} AS leaf, {crc} AS crc,
+    CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf(f"translate(text, '{UP}', '{LOW}')")} END AS tampered
+  FROM documents),
+trees AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, n FROM (SELECT source, count(*) AS n FROM rows GROUP BY source)),
+leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, tree, n, leaf AS digest, coalesce(tampered, leaf) AS started,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM rows JOIN trees ON rows.source IS NOT DISTINCT FROM trees.source),
+"""
+
+    # Nodes of a level are (tree, idx, n, digest); trees of the sources first, then the one over their subroots.
+    def tower(name: str, start: str) -> str:
+        out = f"{name}0 AS MATERIALIZED ({start}),\n"
+        for k in range(depth):
+            out += f"{name}{k + 1} AS MATERIALIZED (SELECT tree, idx // {fanout} AS idx, (max(n) + {fanout - 1}) // {fanout} AS n, sha256(string_agg(digest, '' ORDER BY idx)) AS digest FROM {name}{k} WHERE n > 1 GROUP BY tree, idx // {fanout}),\n"
+        return out + f"{name}_root AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT tree, digest FROM {name}{k} WHERE n = 1" for k in range(depth + 1)) + "),\n"
+
+    sql += tower("s", "SELECT tree, idx, n, digest FROM leaves")
+    sql += tower("u", "SELECT 0 AS tree, tree AS idx, (SELECT count(*) FROM trees) AS n, digest FROM s_root")
+    sql += "w0 AS (SELECT r, doc_id, tree, n, digest AS leaf, idx, '' AS proof, started AS folded FROM leaves),\n"
+
+    def climb(name: str, level: str, tree: str, below: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+  SELECT w.r, any_value(w.doc_id) AS doc_id, any_value(w.tree) AS tree, any_value((w.n + {fanout - 1}) // {fanout}) AS n, any_value(w.leaf) AS leaf, any_value(w.idx // {fanout}) AS idx,
+    any_value(w.proof) || coalesce(string_agg(c.digest, '' ORDER BY c.idx) FILTER (WHERE c.idx <> w.idx), '') AS proof,
+    sha256(string_agg(CASE WHEN c.idx = w.idx THEN w.folded ELSE c.digest END, '' ORDER BY c.idx)) AS folded
+  FROM {below} w JOIN {level} c ON c.tree = {tree} AND c.idx // {fanout} = w.idx // {fanout} WHERE w.n > 1 GROUP BY w.r
+  UNION ALL SELECT r, doc_id, tree, n, leaf, idx, proof, folded FROM {below} WHERE n = 1),
+"""
+    for k in range(depth):
+        sql += climb(f"w{k + 1}", f"s{k}", "w.tree", f"w{k}")
+    sql += f"v0 AS (SELECT r, doc_id, tree, (SELECT count(*) FROM trees) AS n, leaf, tree AS idx, proof, folded FROM w{depth}),\n"
+    for k in range(depth):
+        sql += climb(f"v{k + 1}", f"u{k}", "0", f"v{k}")
+    return sql + f"""walked AS (SELECT * FROM v{depth})
+SELECT doc_id, leaf, s.digest AS subroot, u.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.digest AS verified
+FROM walked JOIN s_root s ON s.tree = walked.tree CROSS JOIN u_root u
+"""
+
+
+OP11 = _merkle_sql()
+
+OP12 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UP}', '{LOW}') AS text FROM documents),
+found AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY lang, source),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM cells WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
 ORACLE_SQL = {
     "op1_url_filter": OP1,
     "op3_line_dedup": OP3,
     "op5_jaccard_join": OP5,
     "op8_mixing": OP8,
     "op9_warc": OP9,
+    "op11_merkle_manifest": OP11,
+    "op12_source_divergence": OP12,
 }
