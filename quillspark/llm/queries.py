@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, divergence, jaccard_join, kneser_ney, line_spread, merkle, mixing, quality, sharding, toxicity, url_rules, warc
+from quillspark.llm import decontamination, divergence, jaccard_join, kneser_ney, line_spread, merkle, mixing, personal_data, quality, sharding, toxicity, url_rules, warc
 from quillspark.llm.common import table
 from quillspark.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -78,6 +78,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.find_personal_data(docs, personal_data.train(personal_data.labelled_table(docs)))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,5 +103,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_source_divergence": op12_source_divergence,
+    "op13_personal_data": op13_personal_data,
     "pipeline": pipeline,
 }
