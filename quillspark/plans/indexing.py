@@ -224,6 +224,62 @@ def d05(spark, sf_dir):
     return store.read("vectors").select("id")
 
 
+@query("d05_batches", "SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, CASE WHEN vec_id % 5 = 1 THEN 'second' WHEN vec_id % 3 = 0 THEN 'first' END AS title, vec_id - (SELECT min(vec_id) FROM embeddings) AS seq FROM embeddings WHERE label <> 2 AND (label <> 4 OR vec_id % 5 = 1)")
+def d05_batches(spark, sf_dir):
+    """Two batches of replacements with deletions between them, on a delta each; a document that is deleted and written again."""
+    store = filled(spark, sf_dir)
+    rows = store.read("vectors", store.version("vectors"))
+    number = F.col("id").cast("long")
+    first = rows.where(number % 3 == 0).withColumn("title", F.lit("first"))
+    store.upsert("vectors", first.drop("seq"), encoded=True)
+    again = rows.where((number % 5 == 1) & (F.col("doc_id") != "note-2")).withColumn("title", F.lit("second"))
+    kept = rows.where((F.col("doc_id") == "note-4") & (number % 5 != 1)).select(F.concat(F.col("doc_id"), F.lit("-rest")).alias("doc_id"), *[c for c in rows.columns if c not in ("seq", "doc_id")])
+    store.upsert("vectors", kept, encoded=True)
+    store.delete_documents("vectors", spark.createDataFrame([("note-2",), ("note-4-rest",)], "doc_id string"))
+    store.upsert("vectors", again.drop("seq"), encoded=True)
+    store.compact("vectors", whole=True)
+    return store.read("vectors").select("id", "title", "seq")
+
+
+@query("s07_changes", "SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, 'replaced' AS kind FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT 'new-' || lpad(vec_id::VARCHAR, 12, '0'), 'inserted' FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT lpad(vec_id::VARCHAR, 12, '0'), 'deleted' FROM embeddings WHERE label = 2 AND vec_id % 3 <> 0")
+def s07_changes(spark, sf_dir):
+    """What the commits after a version did: a batch of replaced and new records, and a document's deletion."""
+    store = filled(spark, sf_dir)
+    since = store.version("vectors")
+    rows = store.read("vectors").drop("seq")
+    number = F.col("id").cast("long")
+    changed = rows.where(number % 3 == 0).withColumn("doc_id", F.lit("moved"))
+    added = rows.where(number % 7 == 0).select(F.concat(F.lit("new-"), F.col("id")).alias("id"), F.lit("added").alias("doc_id"), *[c for c in rows.columns if c not in ("id", "doc_id")])
+    store.upsert("vectors", changed.unionByName(added), encoded=True)
+    store.delete_document("vectors", "note-2")
+    return store.changes("vectors", since).select("id", "kind")
+
+
+@query("d14_resumed_copy", "SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, vec_id - (SELECT min(vec_id) FROM embeddings) AS seq FROM embeddings")
+def d14(spark, sf_dir):
+    """A copy that broke after its second batch goes on behind it."""
+    from quillspark.sources.store import Store, copy_collection
+
+    class Breaking(Store):
+        left = 2
+
+        def upsert(self, *args, **options):
+            if not self.left:
+                raise InterruptedError
+            self.left -= 1
+            return super().upsert(*args, **options)
+
+    source, folder = filled(spark, sf_dir), scratch_folder(spark, "copy")
+    batch = max(1, source.count("vectors") // 4)
+    try:
+        copy_collection(source, Breaking(spark, folder), "vectors", batch)
+    except InterruptedError:
+        pass
+    target = Store(spark, folder)
+    copy_collection(source, target, "vectors", batch, clean=False)
+    return target.read("vectors").select("id", "seq")
+
+
 @query("f03_metadata_types", "SELECT lpad(vec_id::VARCHAR, 12, '0') AS id FROM embeddings WHERE label = 3")
 def f03(spark, sf_dir):
     """Equality is strict about types: the label 3 is a number in one field, a text in the other."""

@@ -154,7 +154,11 @@ def test_meta_types_and_vacuum(spark, tmp_path):
         store.upsert("notes", spark.createDataFrame([(f"x{i}", [1.0])], "id string, embedding array<float>"))
     assert store.cached("notes") is not held
     store.vacuum("notes")
-    assert store.count("notes") == 5 and len(list((tmp_path / "store/notes").glob("v*"))) == 2
+    named = {p["data"] for n in (3, 4) for p in store.state("notes", n)["parts"]}
+    assert store.count("notes") == store.read("notes").count() == 5 and {f.name for f in (tmp_path / "store/notes").glob("v*")} == named
+    store.compact("notes", whole=True)
+    store.vacuum("notes", keep=1)
+    assert store.read("notes").count() == 5 and len(list((tmp_path / "store/notes").glob("v*"))) == 1
 
 
 def test_streams(spark, tmp_path):
