@@ -1,6 +1,6 @@
 """Source divergence audit: how the words of each source of a language differ from the other sources and the language.
 
-Plain relational: regex matches are exploded and counted by group, the groups are crossed with the kept vocabulary so that
+Plain relational: the terms between regex matches are exploded and counted by group, the groups are crossed with the kept vocabulary so that
 absent terms count zero, a self-join on language and term compares the sources, and windows rank the sums. Proportions
 are integers, so all sums are exact.
 """
@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from quillspark.llm.common import ascii_lower, join_small, materialize
 
-#: Fixed value: a term is a run of ASCII letters and of any characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: a term is a run of characters other than these, so of ASCII letters and of any characters beyond ASCII.
+BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: A language keeps the terms of so many of its documents.
 MIN_DOCS = 10
 #: Proportions are counted in such parts, each count raised by ALPHA.
@@ -27,7 +27,7 @@ TOP_TERMS = 10
 def term_counts(rows: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that hold the term), from lang, source, text without nulls. Each text
     gives all its terms, and each distinct one once more; both are summed before they are shuffled."""
-    found = rows.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    found = rows.select("lang", "source", F.array_remove(F.split(ascii_lower(F.col("text")), BETWEEN_TERMS), "").alias("terms"))
     kinds = F.array(F.struct(F.lit(0).alias("distinct"), F.col("terms")), F.struct(F.lit(1).alias("distinct"), F.array_distinct("terms").alias("terms")))
     found = found.select("lang", "source", F.explode(kinds).alias("k")).select("lang", "source", "k.distinct", F.explode("k.terms").alias("term"))
     return found.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("distinct")).alias("n"), F.sum("distinct").alias("docs"))
