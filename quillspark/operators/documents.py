@@ -221,9 +221,14 @@ def packed(texts: DataFrame, keys: list[str], most: int = 4, chars: int = 1800)
     return folded.select(*keys, F.explode(F.arrays_zip("all", "batches")).alias("x")).select(*keys, "x.all.position", "x.all.size", F.col("x.batches").alias("batch"))
 
 
+def path_order(path: Column) -> Column:
+    """What paths are ordered by: letters before case and accents, as a locale does."""
+    return F.collate(path, "UNICODE")
+
+
 def ordered_paths(entries: DataFrame) -> DataFrame:
     """Documents by path in the order of a locale."""
-    return entries.orderBy(F.collate("path", "UNICODE"), "path")
+    return entries.orderBy(path_order(F.col("path")), "path")
 
 
 def matching_paths(entries: DataFrame, text: str) -> DataFrame:

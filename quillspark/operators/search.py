@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,23 +32,30 @@ HELD = 1_000_000
 
 
 def nearest(records: DataFrame, vector, k: int) -> DataFrame:
-    """The k records nearest to one vector by (distance, seq): a top-k heap in each partition, then their merge."""
-    known = records.where(F.col("embedding").isNotNull())
-    return known.withColumn("distance", V.squared_l2(F.col("embedding"), V.literal(vector))).orderBy("distance", "seq").limit(k)
+    """The k records nearest to one vector by (distance, seq): a top-k heap in each partition, then their merge. Vectors of
+    another dimension and those that are not finite have no distance."""
+    known = records.withColumn("distance", V.squared_l2(F.col("embedding"), V.literal(vector)))
+    return known.where(F.col("distance") < float("inf")).orderBy("distance", "seq").limit(k)
 
 
 def packed(rows: DataFrame, key: str, size: int = CORPUS_BLOCK) -> DataFrame:
-    """keys, data: vectors (key, embedding) in blocks of at most so many, each a matrix of floats. Nulls are left out. Keep it
-    (cache, or write it) where the same vectors are searched again."""
+    """keys, data: vectors (key, embedding) in blocks of at most so many, each a matrix of floats of one dimension. Nulls and
+    vectors that are not finite are left out. Keep it (cache, or write it) where the same vectors are searched again."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
                 part = batch.slice(lo, size)
+                keys, lengths = part.column(0).to_numpy().astype(np.int64), pc.list_value_length(part.column(1)).to_numpy()
                 values = np.asarray(part.column(1).flatten(), np.float32)
-                yield pa.RecordBatch.from_pydict({"keys": [part.column(0).to_numpy().astype(np.int64).tobytes()], "data": [values.tobytes()]})
-
-    known = rows.where(F.col("embedding").isNotNull() & F.col(key).isNotNull())
+                of = np.repeat(lengths, lengths)
+                for n in np.unique(lengths):
+                    block, found = values[of == n].reshape(-1, n), keys[lengths == n]
+                    finite = np.isfinite(block).all(1)
+                    if finite.any():
+                        yield pa.RecordBatch.from_pydict({"keys": [found[finite].tobytes()], "data": [block[finite].tobytes()]})
+
+    known = rows.where((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()) & F.col(key).isNotNull())
     return known.select(F.col(key).cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "keys binary, data binary")
 
 
@@ -72,6 +80,8 @@ def nearest_packed(corpus: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 ck, qk = np.frombuffer(ck.as_buffer(), np.int64), np.frombuffer(qk.as_buffer(), np.int64)
                 c = np.frombuffer(cd.as_buffer(), np.float32).reshape(len(ck), -1)
                 q = np.frombuffer(qd.as_buffer(), np.float32).reshape(len(qk), -1)
+                if q.shape[1] != c.shape[1]:
+                    continue
                 qq, cc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
                 rough = qq[:, None] + cc[None] - 2 * q @ c.T
                 # The product is rounded; all within twice its error bound are measured directly in double precision.
@@ -195,12 +205,13 @@ def clamp_weight(value) -> float:
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, keys: list[str] | None = None) -> DataFrame:
     """Reciprocal rank fusion. Each list has id and rank (and keys, which part independent fusions). Returns them with
-    fused_score and position; ties go to the id that an earlier list, then a better rank, brought first."""
+    fused_score and position; a list without weight brings nothing; ties go to the id that an earlier list, then a better rank, brought first."""
     keys = keys or []
-    parts = [df.select(*keys, "id", F.lit(i).alias("list"), "rank", (F.lit(w) / (F.lit(k) + F.col("rank"))).alias("part")) for i, (df, w) in enumerate(lists) if w > 0]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
+    every = None
+    for i, (df, w) in enumerate(lists):
+        part = df.select(*keys, "id", F.lit(i).alias("list"), "rank", (F.lit(w) / (F.lit(k) + F.col("rank"))).alias("part"))
+        part = part if w > 0 else part.where(F.lit(False))
+        every = part if every is None else every.unionByName(part)
     fused = every.groupBy(*keys, "id").agg(F.sum("part").alias("fused_score"), F.min(F.struct("list", "rank")).alias("first"))
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(F.desc(F.round("fused_score", 12)), "first")
     return fused.withColumn("position", F.row_number().over(order)).drop("first")

@@ -138,13 +138,6 @@ def a06(spark, sf_dir):
     return fused.select("id", F.round("fused_score", 9).alias("fused_score"), "position")
 
 
-@query("n08_hybrid")
-def n08(spark, sf_dir):
-    """Documents with the vector of the same id: vector and keyword candidates fused."""
-    rows = notes(spark, sf_dir).join(records(spark, sf_dir).select("id", "embedding"), "id")
-    return search.hybrid(rows, query_vector(spark, sf_dir), "tion the ein", 10).select("id", F.round("distance", 6).alias("distance"), F.round("fused_score", 9).alias("fused_score"), F.array_join("matched_by", "+").alias("matched_by"), "position")
-
-
 @query("s19_search_result", f"SELECT row_number() OVER (ORDER BY {_L2}, vec_id)::INT AS rank, 'Untitled' AS title, 'note-' || label || '.md' AS path, round(1 - {_L2} / 2, 4) AS similarity FROM embeddings e, {_Q0} QUALIFY rank <= 5")
 def s19(spark, sf_dir):
     found = search.nearest(records(spark, sf_dir), query_vector(spark, sf_dir), 5)
@@ -238,11 +231,6 @@ def a10(spark, sf_dir):
     return records(spark, sf_dir).select("doc_id", d.alias("d")).groupBy("doc_id").agg(F.format_string("%.4f..%.4f", F.min("d"), F.max("d")).alias("span"))
 
 
-@query("a13_xor_digest")
-def a13(spark, sf_dir):
-    return documents.xor_digest(table(spark, sf_dir, "documents"), "doc_id")
-
-
 @query("a15_recall_mrr", f"WITH r AS (SELECT q.vec_id AS query_id, q.label AS category, e.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 10), m AS (SELECT query_id, category, count(*) FILTER (WHERE hit) / 10 AS recall, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE hit), 0) AS rr FROM r GROUP BY ALL) SELECT coalesce(category::VARCHAR, 'all') AS category, round(avg(recall), 3) AS recall, round(avg(rr), 3) AS mrr, count(*) AS n FROM m GROUP BY ROLLUP (category)")
 def a15(spark, sf_dir):
     rows = records(spark, sf_dir)
@@ -260,15 +248,6 @@ def a16(spark, sf_dir):
     return sums.where(F.col("c") + F.col("l") / 4 >= 200).select("lang", F.round(F.col("c") / (F.col("c") + F.col("l") / 4), 6).alias("ratio"))
 
 
-@query("d04_upsert", "SELECT coalesce(n.vec_id, o.vec_id) AS id, coalesce(n.label, o.label) AS doc_id, n.vec_id IS NOT NULL AS replaced FROM embeddings o FULL JOIN (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 10000000, label FROM embeddings WHERE vec_id % 7 = 0) n ON o.vec_id = n.vec_id")
-def d04(spark, sf_dir):
-    from quillspark.sources import store
-
-    old = records(spark, sf_dir).select("id", "seq", "doc_id")
-    new = old.where("id % 3 = 0").select("id", (F.col("doc_id") + 100).alias("doc_id")).unionByName(old.where("id % 7 = 0").select((F.col("id") + 10000000).alias("id"), "doc_id"))
-    return store.merged(old, new).select("id", "doc_id", "replaced")
-
-
 @query("d05_delete_document", "SELECT vec_id AS id, label AS doc_id FROM embeddings WHERE label NOT IN (2, 4)")
 def d05(spark, sf_dir):
     from quillspark.sources import store
@@ -295,12 +274,6 @@ def j05(spark, sf_dir):
     return documents.file_status(_files(spark, sf_dir), _state(spark, sf_dir)).select("doc_id", "status")
 
 
-@query("j06_reconcile", f"SELECT coalesce(s.doc_id, m.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'delete' WHEN s.path = m.path AND s.mtime = m.mtime AND m.complete THEN 'keep' ELSE 'reindex' END AS action FROM (SELECT * FROM {_FILES} WHERE doc_id % 2 = 0) s FULL JOIN (SELECT *, doc_id % 7 <> 0 AS complete FROM {_STATE}) m ON s.doc_id = m.doc_id")
-def j06(spark, sf_dir):
-    migrated = _state(spark, sf_dir).withColumn("complete", F.col("doc_id") % 7 != 0)
-    return documents.reconcile(_files(spark, sf_dir).where("doc_id % 2 = 0"), migrated)
-
-
 @query("j07_verify", f"WITH f AS (SELECT *, doc_id % 4 AS chunk_count FROM {_FILES}), v AS (SELECT f.doc_id, CASE WHEN f.doc_id % 13 = 0 THEN 'no state' WHEN f.doc_id % 17 = 0 THEN 'state differs' WHEN chunk_count > 0 AND f.doc_id % 19 = 0 THEN 'not stored' WHEN chunk_count > 0 AND f.doc_id % 23 = 0 THEN 'store differs' END AS violation FROM f) SELECT * FROM v WHERE violation IS NOT NULL")
 def j07(spark, sf_dir):
     selected = _files(spark, sf_dir).withColumn("chunk_count", F.col("doc_id") % 4)
@@ -309,16 +282,6 @@ def j07(spark, sf_dir):
     return documents.verify(selected, state, stored)
 
 
-@query("j10_reachable")
-def j10(spark, sf_dir):
-    """Customers reachable from customer 1 by shared order days: edges between consecutive orders of a day."""
-    orders = table(spark, sf_dir, "orders")
-    edges = orders.withColumn("target", F.lead("o_custkey").over(Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey"))).where("target IS NOT NULL")
-    edges = edges.select(F.col("o_custkey").alias("source"), "target").distinct()
-    roots = edges.agg(F.min("source").alias("node"))
-    return walk.reachable(edges, roots)
-
-
 @query("w06_lead_distance", "SELECT vec_id AS id, round(1 - list_sum(list_transform(list_zip(embedding, n), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(n, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS distance FROM (SELECT *, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n IS NOT NULL")
 def w06(spark, sf_dir):
     rows = records(spark, sf_dir).withColumn("n", F.lead("embedding").over(Window.partitionBy("doc_id").orderBy("seq"))).where("n IS NOT NULL")
@@ -376,11 +339,6 @@ def w09(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("x01_clean_markdown")
-def x01(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(chunking.clean(F.col("text")).cast("binary")).alias("cleaned_md5"))
-
-
 @query("x08_chunks")
 def x08(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents")).select("id", "doc_id", "chunk_index", "chunk_count", F.length("content").alias("chars"))
@@ -391,11 +349,6 @@ def x17(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_line(F.col("text")).alias("line"))
 
 
-@query("x22_redact")
-def x22(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(F.col("text")).cast("binary")).alias("redacted_md5"))
-
-
 @query("x26_preview", "SELECT doc_id, left(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), 160) AS preview FROM documents")
 def x26(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text"), 160).alias("preview"))

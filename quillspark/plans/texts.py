@@ -8,7 +8,7 @@ from quillspark.functions import rules as R
 from quillspark.functions import text as T
 from quillspark.functions import vector as V
 from quillspark.operators import chunking
-from quillspark.plans.catalog import ORACLES, QUERIES, query, records, table
+from quillspark.plans.catalog import ORACLES, query, records, table
 
 _PATH = "source || '/' || doc_id || '.md'"
 
@@ -47,9 +47,6 @@ def _clean_sql() -> str:
     return _replaced(_replaced(text, steps), [("\\A\\s+|\\s+\\z", "")])
 
 
-QUERIES.pop("x01_clean_markdown"), QUERIES.pop("x22_redact")
-
-
 @query("x01_clean_markdown", f"SELECT doc_id, md5({_clean_sql()}) AS cleaned_md5 FROM documents")
 def x01(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", md5(chunking.clean(F.coalesce("text", F.lit("")))).alias("cleaned_md5"))

@@ -33,11 +33,12 @@ def j10(spark, sf_dir):
     return walk.reachable(edges, edges.agg(F.min("source").alias("node")))
 
 
-@query("r19_visible", f"WITH RECURSIVE {_EDGES}, r AS (SELECT {_ROOT} AS node UNION SELECT target FROM r JOIN edges ON source = node WHERE node % 3 <> 0) SELECT node FROM r")
+@query("r19_visible", f"WITH RECURSIVE {_EDGES}, r AS (SELECT {_ROOT} AS node UNION SELECT target FROM r JOIN edges ON source = node WHERE node % 3 <> 1 OR node = {_ROOT}) SELECT node FROM r")
 def r19(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    nodes = _nodes(edges).withColumn("collapsed", F.col("node") % 3 == 0)
-    return walk.visible(nodes, edges, edges.agg(F.min("source")).first()[0])[0].select("node")
+    root = edges.agg(F.min("source")).first()[0]
+    nodes = _nodes(edges).withColumn("collapsed", (F.col("node") % 3 == 1) & (F.col("node") != root))
+    return walk.visible(nodes, edges, root)[0].select("node")
 
 
 @query("r20_hide", f"WITH RECURSIVE {_EDGES}, e AS (SELECT * FROM edges WHERE source <> 10 AND target <> 10), r AS (SELECT {_ROOT} AS node UNION SELECT target FROM r JOIN e ON source = node) SELECT source, target FROM e WHERE source IN (SELECT node FROM r)")
@@ -85,11 +86,11 @@ def m14(spark, sf_dir):
     return walk.fit(nodes, ["walk"], 1200.0, 800.0).select("walk", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("zoom", 6).alias("zoom"))
 
 
-@query("m13_zoom", "SELECT event_id, round(50 - (50 - value) / 2 * z, 2) AS x, round(z, 4) AS zoom FROM (SELECT event_id, value, least(greatest(value / 100, 0.4), 1.8) AS z FROM events)")
+@query("m13_zoom", "SELECT event_id, round(50 - (50 - value) / 2 * z, 9) AS x, round(z, 9) AS zoom FROM (SELECT event_id, value, least(greatest(value / 100, 0.4), 1.8) AS z FROM events)")
 def m13(spark, sf_dir):
     v = F.col("value")
     out = table(spark, sf_dir, "events").select("event_id", *walk.zoom_at(v, v, F.lit(2.0), v / 100, F.lit(50.0), F.lit(50.0)))
-    return out.select("event_id", F.round("x", 2).alias("x"), F.round("zoom", 4).alias("zoom"))
+    return out.select("event_id", F.round("x", 9).alias("x"), F.round("zoom", 9).alias("zoom"))
 
 
 @query("j09_hydrated", "SELECT vec_id AS id, label AS doc_id, vec_id / 2.0::DOUBLE AS distance FROM embeddings WHERE vec_id % 5 = 0")

@@ -71,21 +71,25 @@ class PagedReader(DataSourceReader):
             return json.load(answer)
 
     def partitions(self):
-        return [InputPartition(at) for at in range(0, int(self._get("count")), self.page)]
+        total = int(self._get("count"))
+        return [InputPartition((at, min(self.page, total - at))) for at in range(0, total, self.page)]
 
     def read(self, partition) -> Iterator[tuple]:
-        got = self._get(f"records?offset={partition.value}&limit={self.page}&include={self.fields}")
+        at, wanted = partition.value
+        got = self._get(f"records?offset={at}&limit={wanted}&include={self.fields}")
         ids = got["ids"]
+        if len(ids) != wanted:
+            raise ValueError(f"the page at {at} has {len(ids)} records, not {wanted}")
         columns = [got.get(c) or [None] * len(ids) for c in ("documents", "metadatas", "embeddings")]
         if any(len(c) != len(ids) for c in columns):
-            raise ValueError(f"columns of the page at {partition.value} differ in length")
+            raise ValueError(f"columns of the page at {at} differ in length")
         for i, d, m, e in zip(ids, *columns):
             yield i, d, None if m is None else json.dumps(m, ensure_ascii=False), e
 
 
 class PagedSource(DataSource):
     """spark.read.format("paged_vectors").option("url", ...): a vector store behind HTTP. GET count is the number of its
-    records, GET records?offset=&limit=&include= a page of columns; each page is a partition. option("include", "metadatas")
+    records, GET records?offset=&limit=&include= a page of columns; each page is a partition, and a short one fails. option("include", "metadatas")
     asks for metadata only."""
 
     @classmethod

@@ -232,3 +232,22 @@ def test_changes_apply_in_order_of_time(spark):
     state = spark.createDataFrame([("a", "a.md", 5.0, 2), ("b", "b.md", 5.0, 1)], "doc_id string, path string, mtime double, chunk_count int")
     feed = spark.createDataFrame([("a", "modify", "a.md", 4.0), ("b", "delete", "b.md", 6.0), ("c", "create", "c.md", 1.0), ("c", "modify", "c2.md", 2.0)], "doc_id string, op string, path string, mtime double")
     assert {tuple(r) for r in changes.apply_changes(state, feed).collect()} == {("a", "a.md", 5.0, 2), ("c", "c2.md", 2.0, 0)}
+
+
+def test_vectors_that_have_no_distance(spark):
+    """A vector that is not finite, or of another dimension, hides no other one: batched and single search agree."""
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [nan, 0.0]), (2, [3.0, 0.0]), (3, [1.0, 2.0, 3.0, 4.0]), (4, [float("inf"), 0.0]), (5, None), (6, []), (7, [2.0, 0.0])]
+    records = spark.createDataFrame(rows, "seq long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0, 0.0, 0.0]), (3, [0.0, 0.0, 0.0])], "query_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in search.nearest_batch(records, asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.seq, r.distance))
+    assert got == {1: [(0, 1.0), (7, 4.0), (2, 9.0)], 2: [(3, 30.0)]}
+    assert [(r.seq, r.distance) for r in search.nearest(records, [0.0, 0.0], 5).collect()] == got[1]
+
+
+def test_fusion_without_weights(spark):
+    ranks = spark.createDataFrame([("a", 1)], "id string, rank int")
+    assert search.fuse([(ranks, 0.0), (ranks, 0.0)]).count() == 0
+    assert [r.id for r in search.fuse([(ranks, 0.0), (ranks, 1.0)]).collect()] == ["a"]
