@@ -1,12 +1,23 @@
-"""A persistent trigram index for keyword search.
+"""A persistent trigram index for keyword search, ranked from its postings alone.
 
-Postings are rows (bucket, gram, seq) of the distinct trigrams of lower-cased documents, in batches of Parquet partitioned
-by bucket, so a query reads the buckets of its own grams only. They say where a term may be; the text decides. So deleted
-records need no upkeep and replaced ones only new rows. Lengths of documents (seq, dl) lie beside them.
+A posting says how often and where a trigram of the lower-cased text occurs in a record, and how long the record is. Postings lie
+in blocks of one trigram and one span of records, with the block's number, largest frequency and smallest length beside it, in
+Parquet partitioned by bucket. A term of more characters is a phrase of its trigrams; its frequency comes from their places. So
+a query reads blocks of its own trigrams and the texts of its results only, and a span whose bound cannot reach the k-th score is
+not read.
+
+The index grows in batches: each holds postings of new and replaced records and the numbers of all it touched, whose
+older postings no longer count.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,27 +26,63 @@ from quillspark.operators import search
 
 GRAM = 3
 BUCKETS = 64
+#: Records of a block: seq divided by it.
+SPAN = 256
 #: Fixed value: records that a backfill step indexes.
 STEP = 1000
-
-
-def grams(text: Column) -> Column:
-    """Distinct trigrams of the lower-cased text: its characters zipped with those one and two further on."""
-    chars = F.split(F.lower(text), "")
-    n = F.greatest(F.size(chars), F.lit(0))
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y))
-    triples = F.zip_with(pairs, F.slice(chars, F.lit(3), n), lambda x, y: F.concat(x, y))
-    return F.array_distinct(F.filter(triples, lambda g: F.length(g) == GRAM))
+#: Text that is cut into trigrams at a time; batches that are merged into one.
+SLICE_BYTES, MAX_BATCHES = 2 << 20, 8
+#: Spans that are scored first, for a bound on the k-th score.
+FIRST_SPANS = 8
+#: Survivors of at most so many spans or touched records are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def _places(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct trigrams of a text, where their places begin in a list, and that list."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    return [text[p : p + GRAM] for p in order[starts].tolist()], starts, order.astype(np.int32)
+
+
 def postings(records: DataFrame) -> DataFrame:
-    """bucket, gram, seq of records (seq, document); short and null documents have none."""
-    rows = records.select("seq", F.explode(grams(F.col("document"))).alias("gram"))
-    return rows.select(bucket(F.col("gram")).alias("bucket"), "gram", "seq")
+    """bucket, gram, seq, dl, tf, places of records (seq, document); short and null documents have none."""
+
+    def run(batches):
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("low")).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES)))
+                part = batch.slice(lo, hi - lo)
+                found = [_places(t) for t in part.column("low").to_pylist()]
+                sizes = [len(g) for g, _, _ in found]
+                base = np.concatenate([[0], np.cumsum([len(p) for _, _, p in found])])
+                starts = np.concatenate([s + b for (_, s, _), b in zip(found, base)]) if found else np.empty(0, np.int64)
+                offsets = np.append(starts, base[-1]).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p for _, _, p in found]) if found else np.empty(0, np.int32)))
+                spread = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes))
+                grams = pa.array([g for gs, _, _ in found for g in gs], pa.string())
+                yield pa.RecordBatch.from_arrays([grams, spread("seq"), spread("dl"), pa.array(np.diff(offsets)), places], ["gram", "seq", "dl", "tf", "places"])
+                lo = hi
+
+    low = F.lower("document")
+    rows = records.where(F.length(low) >= GRAM).select(F.col("seq").cast("long"), search.trigram_length().cast("int").alias("dl"), low.alias("low"))
+    found = rows.mapInArrow(run, "gram string, seq long, dl int, tf int, places array<int>")
+    return found.select(bucket(F.col("gram")).alias("bucket"), "gram", "seq", "dl", "tf", "places")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Postings in blocks: bucket, gram, span, n, most (the largest tf), least (the smallest dl), hits."""
+    rows = rows.groupBy("bucket", "gram", F.floor(F.col("seq") / SPAN).alias("span"))
+    hits = F.array_sort(F.collect_list(F.struct("seq", "tf", "dl", "places")))
+    return rows.agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), hits.alias("hits"))
 
 
 def lengths(records: DataFrame) -> DataFrame:
@@ -52,77 +99,242 @@ def status(cursor: Column, target: Column, total: Column) -> Column:
     return F.when(total == 0, "unavailable").when(cursor >= target, "ready").otherwise("backfilling")
 
 
-def candidates(index: DataFrame, terms) -> DataFrame:
-    """term, seq: records that hold all trigrams of a term. index: what postings() gives; terms of three characters or more."""
-    wanted = [(i, t.lower()[k : k + GRAM]) for i, t in enumerate(terms) for k in range(len(t) - GRAM + 1)]
-    wanted = list(dict.fromkeys(wanted))
-    if not wanted:
-        return index.select(F.lit(0).alias("term"), "seq").where(F.lit(False))
-    need = {i: sum(1 for j, _ in wanted if j == i) for i, _ in wanted}
-    asked = F.create_map(*[x for g in dict.fromkeys(g for _, g in wanted) for x in (F.lit(g), F.array(*[F.lit(i) for i, h in wanted if h == g]))])
-    names = list(dict.fromkeys(g for _, g in wanted))
+def _grams_of(terms) -> dict[str, list[tuple[int, int]]]:
+    """The trigrams of all terms: in which terms, and how far from their beginning."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for i, t in enumerate(terms):
+        for k in range(len(t) - GRAM + 1):
+            out.setdefault(t[k : k + GRAM], []).append((i, k))
+    return out
+
+
+def of_terms(index: DataFrame, terms) -> DataFrame:
+    """The blocks that any of the terms needs; the filter reaches the files."""
+    grams = list(_grams_of(terms))
+    rows = index.sparkSession.createDataFrame([(g,) for g in grams], "gram string").select(bucket(F.col("gram"))).distinct().collect()  # of the query's own trigrams
+    return index.where(F.col("bucket").isin([r[0] for r in rows]) & F.col("gram").isin(grams))
+
+
+def term_hits(index: DataFrame, terms, touched: DataFrame | None = None) -> DataFrame:
+    """term, seq, tf, dl: how often each term (lower case, three characters or more) occurs in the records, from blocks. Postings of
+    records in touched (batch, seq: the newest batch that has them) count only from that batch (column batch)."""
+    grams = _grams_of(terms)
+    if not grams:
+        return index.sparkSession.createDataFrame([], "term int, seq long, tf int, dl int")
+    asked = F.create_map(*[x for g, uses in grams.items() for x in (F.lit(g), F.array(*[F.struct(F.lit(i).alias("term"), F.lit(k).alias("at")) for i, k in uses]))])
+    rows = of_terms(index, terms).select("gram", *(["batch"] if touched is not None else []), F.inline("hits"))
+    if touched is not None:
+        rows = rows.join(touched.withColumnRenamed("batch", "_newest"), "seq", "left").where("_newest IS NULL OR batch = _newest")
+    rows = rows.select("seq", "tf", "dl", "places", F.inline(F.try_element_at(asked, F.col("gram"))))
+    whole = {i: len(t) - GRAM + 1 for i, t in enumerate(terms) if len(t) >= GRAM}
+    single = [i for i, n in whole.items() if n == 1]
+    out = rows.where(F.col("term").isin(single)).select("term", "seq", "tf", "dl")
+    if len(single) < len(whole):
+        need = F.create_map(*[x for i, n in whole.items() for x in (F.lit(i), F.lit(n))])
+        shifted = F.transform("places", lambda p: p - F.col("at"))
+        phrases = rows.where(~F.col("term").isin(single)).groupBy("term", "seq").agg(F.first("dl").alias("dl"), F.collect_list(shifted).alias("starts"))
+        phrases = phrases.where(F.size("starts") == F.try_element_at(need, F.col("term")))
+        common = F.aggregate(F.slice("starts", F.lit(2), F.size("starts")), F.col("starts")[0], lambda a, b: F.array_intersect(a, b))
+        out = out.unionByName(phrases.select("term", "seq", F.size(common).alias("tf"), "dl").where("tf > 0"))
+    return out
+
+
+def _idf(n: int, df: int) -> float:
+    value = np.log((n - df + 0.5) / (df + 0.5))
+    return float(value) if value > 0 else search.BM25_FLOOR
+
+
+def _gain(tf: Column, dl: Column, average: float) -> Column:
+    k1, b = search.BM25_K1, search.BM25_B
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(average)))
+
+
+def _weights(idf: dict[int, float]) -> Column:
+    return F.create_map(*[x for i, w in idf.items() for x in (F.lit(i), F.lit(w))])
+
+
+def _scored(hits: DataFrame, idf: dict[int, float], average: float) -> DataFrame:
+    """seq, score: the terms' parts are added in the order of the terms, so equal records have equal scores."""
+    part = F.try_element_at(_weights(idf), F.col("term")) * _gain(F.col("tf"), F.col("dl"), average)
+    rows = hits.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
+    return rows.select("seq", (-F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"])).alias("score"))
+
+
+def short_hits(records: DataFrame, terms) -> DataFrame:
+    """term, seq, tf, dl of the terms under three characters, which no trigram holds: from the texts."""
+    low = F.lower("document")
+    tf = F.array(*[F.struct(F.lit(i).alias("term"), search._occurrences(low, t).alias("tf")) for i, t in enumerate(terms) if len(t) < GRAM])
+    rows = records.where(F.col("document").isNotNull()).select("seq", search.trigram_length().cast("int").alias("dl"), F.inline(tf))
+    return rows.where("tf > 0").select("term", "seq", "tf", "dl")
+
+
+def top(index: DataFrame, terms, n: int, average: float, k: int | None = None, touched: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """seq, score of the k best records (None: of all) by BM25, negative, smaller is better; n records of that average length.
+    Terms under three characters are looked for in records, and found nowhere without them.
+
+    If all terms are single trigrams and nothing was touched, frequencies of terms come from the blocks' numbers, the spans with the highest bounds are
+    scored first, and of the others only those whose bound reaches the k-th score found there.
+    """
+    terms = list(dict.fromkeys(t.lower() for t in terms if t))
     spark = index.sparkSession
-    buckets = [r[0] for r in spark.createDataFrame([(g,) for g in names], "gram string").select(bucket(F.col("gram"))).distinct().collect()]  # of the query's own terms
-    hits = index.where(F.col("bucket").isin(buckets) & F.col("gram").isin(names)).select("seq", "gram").distinct()
-    hits = hits.select("seq", F.explode(F.try_element_at(asked, F.col("gram"))).alias("term")).groupBy("term", "seq").agg(F.count("*").alias("n"))
-    whole = F.create_map(*[x for i, n in need.items() for x in (F.lit(i), F.lit(n))])
-    return hits.where(F.col("n") == F.try_element_at(whole, F.col("term"))).select("term", "seq")
+    if not terms or not n:
+        return spark.createDataFrame([], "seq long, score double")
+    if k is None or touched is not None or any(len(t) != GRAM for t in terms):
+        hits = term_hits(index, terms, touched)
+        if records is not None and any(len(t) < GRAM for t in terms):
+            hits = hits.unionByName(short_hits(records, terms))
+        hits = hits.persist()
+        df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term
+        scored = _scored(hits, {i: _idf(n, d) for i, d in df.items()} or {0: 0.0}, average).orderBy("score", "seq")
+        return scored if k is None else scored.limit(k)
+    number = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])
+    heads = of_terms(index, terms).select(F.try_element_at(number, F.col("gram")).alias("term"), "span", "n", "most", "least").persist()
+    df = {r["term"]: r["n"] for r in heads.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
+    idf = {i: _idf(n, d) for i, d in df.items()} or {0: 0.0}
+    reach = F.try_element_at(_weights(idf), F.col("term")) * _gain(F.col("most"), F.col("least"), average)
+    bounds = heads.groupBy("span").agg(F.sum(reach).alias("bound"))
+    first = [r["span"] for r in bounds.orderBy(F.desc("bound"), "span").limit(max(FIRST_SPANS, -(-k // SPAN))).collect()]
+    of_spans = lambda spans: _scored(term_hits(index.where(F.col("span").isin(spans)), terms), idf, average)
+    best = of_spans(first).orderBy("score", "seq").limit(k).collect()  # k rows
+    limit = -best[-1]["score"] if len(best) == k else 0.0
+    held = spark.createDataFrame(best, "seq long, score double")
+    rest = bounds.where((F.col("bound") >= limit - 1e-9) & ~F.col("span").isin(first)).select("span")
+    few = [r["span"] for r in rest.limit(BROADCAST_ROWS + 1).collect()]
+    if not few:
+        return held.orderBy("score", "seq")
+    left = index.join(F.broadcast(rest) if len(few) <= BROADCAST_ROWS else rest, "span", "left_semi")
+    if len(few) <= 1000:
+        left = index.where(F.col("span").isin(few))  # reaches the files
+    return held.unionByName(_scored(term_hits(left, terms), idf, average)).orderBy("score", "seq").limit(k)
 
 
 class KeywordIndex:
-    """The index of one collection under a folder, grown in steps behind a cursor."""
+    """The index of one collection under a folder, grown in steps behind a cursor and kept up with changes.
+
+    Its state is one meta value of the store: cursor, batches, the number of indexed documents and their summed length. A step
+    that broke leaves files that no state names, and is repeated as a whole.
+    """
 
     def __init__(self, store, name: str, folder: str):
         self.store, self.name, self.folder = store, name, folder.rstrip("/")
 
-    def _state(self) -> tuple[int, int]:
+    def _state(self) -> dict:
         found = self.store.get_meta(f"keyword {self.name}")
-        cursor, batches = map(int, found.split()) if found else (-1, 0)
-        return cursor, batches
+        return json.loads(found) if found else {"cursor": -1, "batches": [], "n": 0, "length": 0.0, "version": None}
+
+    def _table(self, batches: list[str], kind: str, schema: str) -> DataFrame:
+        spark = self.store.spark
+        out = spark.createDataFrame([], f"{schema}, batch int")
+        for i, b in enumerate(batches):
+            out = out.unionByName(spark.read.schema(schema).parquet(f"{self.folder}/{b}/{kind}").withColumn("batch", F.lit(i)))
+        return out
 
-    def _write(self, rows: DataFrame, cursor: int) -> None:
-        _, batches = self._state()
-        base = f"{self.folder}/batch-{batches:06d}"
-        postings(rows).repartition("bucket").sortWithinPartitions("bucket", "gram", "seq").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/postings")
-        lengths(rows).write.mode("overwrite").parquet(f"{base}/lengths")
-        self.store.set_meta(f"keyword {self.name}", f"{cursor} {batches + 1}")
+    def _touched(self, batches: list[str]) -> DataFrame:
+        return self._table(batches, "touched", "seq long").groupBy("seq").agg(F.max("batch").alias("batch"))
+
+    def _write(self, state: dict, rows: DataFrame, touched: DataFrame, **changes) -> None:
+        """Add a batch of the records rows (seq, document) that touches the given seq, and publish it."""
+        base = f"batch-{uuid.uuid4().hex}"
+        ordered = blocks(postings(rows)).repartition("bucket").sortWithinPartitions("bucket", "gram", "span")
+        ordered.write.partitionBy("bucket").parquet(f"{self.folder}/{base}/postings")
+        lengths(rows).write.parquet(f"{self.folder}/{base}/lengths")
+        touched.select("seq").distinct().write.parquet(f"{self.folder}/{base}/touched")
+        self._publish(state, [*state["batches"], base], **changes)
+
+    def _publish(self, state: dict, batches: list[str], **changes) -> None:
+        known = self._table(batches, "lengths", "seq long, dl double").join(self._touched(batches), ["seq", "batch"])
+        n, total = known.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0.0))).first()
+        self.store.set_meta(f"keyword {self.name}", json.dumps(state | {"batches": batches, "n": n, "length": total} | changes))
+        if len(batches) > MAX_BATCHES:
+            self.merge()
 
     def backfill(self, limit: int = STEP) -> bool:
-        """Index the next records; whether more are left. A step that failed is repeated as a whole."""
-        records = self.store.read(self.name)
-        cursor, _ = self._state()
-        target = records.agg(F.max("seq")).first()[0]
-        if target is None or target <= cursor:
+        """Index the next records; whether more are left."""
+        state, records = self._state(), self.store.read(self.name).select("seq", "document")
+        version = self.store.version(self.name) if state["version"] is None else state["version"]
+        top_seq = self.store.state(self.name)["top"] - 1
+        last = backfill_step(records.select("seq"), state["cursor"], top_seq, limit).agg(F.max("seq")).first()[0]
+        if last is None:
+            if state["version"] is None or state["cursor"] < top_seq:
+                self.store.set_meta(f"keyword {self.name}", json.dumps(state | {"cursor": top_seq, "version": version}))
             return False
-        step = backfill_step(records, cursor, target, limit).select("seq", "document")
-        last = step.agg(F.max("seq")).first()[0]
-        self._write(records.where((F.col("seq") > cursor) & (F.col("seq") <= last)), last)
-        return last < target
+        step = records.where((F.col("seq") > state["cursor"]) & (F.col("seq") <= last))
+        self._write(state, step, step, cursor=last, version=version)
+        return not records.where(F.col("seq") > last).isEmpty()
+
+    def follow(self) -> int:
+        """Bring what was indexed up to date with the commits since, by the store's changes; the version reached."""
+        state, version = self._state(), self.store.version(self.name)
+        if state["version"] is None or state["version"] == version:
+            return version
+        changed = self.store.changes(self.name, state["version"]).where((F.col("version") <= version) & (F.col("seq") <= state["cursor"]))
+        last = changed.withColumn("_nth", F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("version")))).where("_nth = 1")
+        if last.isEmpty():
+            self.store.set_meta(f"keyword {self.name}", json.dumps(state | {"version": version}))
+        else:
+            self._write(state, last.where("kind <> 'deleted'").select("seq", "document"), last, version=version)
+        return version
 
     def replaced(self, ids: DataFrame) -> None:
         """Index records anew whose text was replaced: ids has their id."""
-        cursor, _ = self._state()
-        self._write(self.store.read(self.name).join(ids.select("id"), "id", "left_semi").where(F.col("seq") <= cursor), cursor)
+        state = self._state()
+        rows = self.store.read(self.name).join(ids.select("id"), "id", "left_semi").where(F.col("seq") <= state["cursor"]).select("seq", "document")
+        self._write(state, rows, rows)
+
+    def merge(self) -> None:
+        """All batches in one, without the postings that no longer count."""
+        state = self._state()
+        old, base = state["batches"], f"batch-{uuid.uuid4().hex}"
+        newest = self._touched(old)
+        hits = self.read().select("bucket", "gram", "batch", F.inline("hits")).join(newest, ["seq", "batch"])
+        blocks(hits).repartition("bucket").sortWithinPartitions("bucket", "gram", "span").write.partitionBy("bucket").parquet(f"{self.folder}/{base}/postings")
+        known = self._table(old, "lengths", "seq long, dl double").join(newest, ["seq", "batch"])
+        known.select("seq", "dl").write.parquet(f"{self.folder}/{base}/lengths")
+        known.select("seq").write.parquet(f"{self.folder}/{base}/touched")
+        self._publish(state, [base])
 
     def status(self) -> dict:
-        cursor, _ = self._state()
-        records = self.store.read(self.name)
-        total, target, done = records.agg(F.count("*"), F.coalesce(F.max("seq"), F.lit(-1)), F.count_if(F.col("seq") <= cursor)).first()
-        return {"state": "unavailable" if not total else "ready" if cursor >= target else "backfilling", "indexed": done, "total": total}
-
-    def read(self, kind: str = "postings") -> DataFrame:
-        _, batches = self._state()
-        paths = [f"{self.folder}/batch-{i:06d}/{kind}" for i in range(batches)]
-        out = self.store.spark.read.parquet(paths[0])
-        for p in paths[1:]:
-            out = out.unionByName(self.store.spark.read.parquet(p))
-        return out
+        state, records = self._state(), self.store.state(self.name)
+        total = records["records"]
+        left = self.store.read(self.name).where(F.col("seq") > state["cursor"]).count() if state["cursor"] < records["top"] - 1 else 0
+        return {"state": "unavailable" if not total else "backfilling" if left else "ready", "indexed": total - left, "total": total}
+
+    def read(self) -> DataFrame:
+        """The blocks of all batches, with the number of the batch."""
+        return self._table(self._state()["batches"], "postings", "gram string, span long, n long, most int, least int, hits array<struct<seq:long,tf:int,dl:int,places:array<int>>>, bucket int")
 
     def search(self, terms, k: int | None = None) -> DataFrame:
-        """Records with their BM25 score, best first; texts are read only of records that may hold a term."""
+        """Records with their BM25 score, best first; texts are read of the results only, and of records that the backfill has
+        not reached or that changed since it last followed."""
+        state = self._state()
         records = self.store.read(self.name)
-        found = candidates(self.read(), terms).select("seq").distinct()
-        return search.bm25_of(records.join(found, "seq", "left_semi"), self.store.read(self.name).where(F.col("document").isNotNull()).agg(F.count("*").alias("_n"), F.avg(search.trigram_length()).alias("_avg")), terms, k)
+        index, batches = self.read(), state["batches"]
+        n, total = state["n"], state["length"]
+        touched = self._touched(batches) if len(batches) > 1 else None
+        fresh = self._fresh(state)
+        if fresh is not None:
+            rows, gone = fresh
+            at = len(batches)
+            known = lengths(rows).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0.0))).first()
+            lost = self._table(batches, "lengths", "seq long, dl double").join(self._touched(batches), ["seq", "batch"]).join(gone, "seq", "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0.0))).first()
+            n, total = n + known[0] - lost[0], total + known[1] - lost[1]
+            index = index.unionByName(blocks(postings(rows)).withColumn("batch", F.lit(at)))
+            touched = self._touched(batches).unionByName(gone.withColumn("batch", F.lit(at))).groupBy("seq").agg(F.max("batch").alias("batch"))
+        found = top(index, terms, n, total / n if n else 0.0, k, touched, records)
+        return records.join(F.broadcast(found) if k is not None and k <= BROADCAST_ROWS else found, "seq").orderBy("score", "seq")
+
+    def _fresh(self, state: dict) -> tuple[DataFrame, DataFrame] | None:
+        """Records that the index does not know in their present form, and the seq of all records that it knows wrongly or not."""
+        version = self.store.version(self.name)
+        behind = state["cursor"] < self.store.state(self.name)["top"] - 1
+        changed = state["version"] is not None and state["version"] < version
+        if not behind and not changed:
+            return None
+        rows = self.store.read(self.name).select("seq", "document")
+        gone = rows.where(F.col("seq") > state["cursor"]).select("seq")
+        if changed:
+            gone = gone.unionByName(self.store.changes(self.name, state["version"]).where(F.col("seq") <= state["cursor"]).select("seq")).distinct()
+        return rows.join(gone, "seq", "left_semi"), gone
 
 
 def ranked(rows: DataFrame, score: str = "score") -> DataFrame:

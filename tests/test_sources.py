@@ -3,6 +3,7 @@
 import http.server
 import io
 import json
+import random
 import tarfile
 import threading
 import zipfile
@@ -138,6 +139,50 @@ def test_keyword_index_grows_and_finds(spark, tmp_path):
     assert {r.id for r in index.search(["brown"]).collect()} == {"a", "b", "d"}
 
 
+def test_keyword_index_is_the_scan(spark, tmp_path):
+    """Through backfill, changes, deletions and merges, also where the index is behind: the same as scanning all texts."""
+    rng = random.Random(4)
+    words = ["the", "einen", "thethe", "brown", "x", "ß-ñ", "aaaa", "ox", "\U0001f600é", "Lichkeit", "qui"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+    make = lambda ids: spark.createDataFrame([(i, i, text() if rng.random() < 0.9 else None, [1.0]) for i in ids], "id string, doc_id string, document string, embedding array<float>")
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.ensure("notes")
+    index = keyword.KeywordIndex(store, "notes", f"file://{tmp_path}/index")
+    assert index.search(["the"], 3).count() == 0 and index.status()["state"] == "unavailable" and not index.backfill()
+
+    def same():
+        for terms, k in ((["the"], 5), (["einen", "the", "Lichkeit", "aaa", "\U0001f600é ", "nowhere"], None)):
+            want = [(r.id, round(r.score, 9)) for r in search.bm25(store.read("notes"), terms, k).collect()]
+            assert [(r.id, round(r.score, 9)) for r in index.search(terms, k).collect()] == want, terms
+
+    store.upsert("notes", make([f"d{i}" for i in range(30)]))
+    same()  # nothing is indexed yet
+    assert index.backfill(20)
+    store.upsert("notes", make(["d3", "d25", "d40"]))
+    store.delete_document("notes", "d4")
+    same()  # behind in both ways
+    index.follow()
+    while index.backfill(20):
+        pass
+    assert index.status() == {"state": "ready", "indexed": 30, "total": 30}
+    index.merge()
+    same()
+    assert index.follow() == store.version("notes")
+
+
+def test_spans_that_cannot_win_are_not_read(spark, monkeypatch):
+    """Single trigrams: the first spans give a bound, and only spans that reach it are scored after them."""
+    rows = [(i, "the end" if i % 2 else "an end") for i in range(40 * keyword.SPAN)] + [(50_000 + i, "the the the") for i in range(5)]
+    records = spark.createDataFrame(rows, "seq long, document string")
+    index = keyword.blocks(keyword.postings(records)).cache()
+    n, average = keyword.lengths(records).agg(F.count("*"), F.avg("dl")).first()
+    scored, plain = [], keyword.term_hits
+    monkeypatch.setattr(keyword, "term_hits", lambda index, terms, *a: (scored.append(index.select("span").distinct().count()), plain(index, terms, *a))[1])
+    got = [(r.seq, round(r.score, 9)) for r in keyword.top(index, ["the"], n, average, 5).collect()]
+    assert got == [(r.seq, round(r.score, 9)) for r in search.bm25(records, ["the"], 5).collect()]
+    assert sum(scored) <= keyword.FIRST_SPANS + 1 and index.select("span").distinct().count() > 40
+
+
 def test_meta_types_and_vacuum(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.ensure("notes")
