@@ -1,7 +1,8 @@
 """From Markdown to chunks: cleaning, sections, sentences, splits by meaning and size, merging of short pieces.
 
-Cleaning is a chain of JVM expressions. The sequential splits run per document in Arrow batches; the sentence encoder is a
-function from texts to a matrix, by default a hashing encoder without a model.
+All of it are JVM expressions over one row a document, so nothing is shuffled: texts are cut by a fold over a stack of pieces, sentences
+and short pieces are joined by folds. Only the distance of neighbouring sentences may come from an encoder, a function
+from texts to a matrix that runs in Arrow batches, by default a hashing encoder without a model.
 """
 
 from __future__ import annotations
@@ -48,7 +49,13 @@ TABLE_RULE = 10  # rows of tables are rewritten before this rule
 SEMANTIC_LIMIT, CHUNK_LIMIT, SECTION_LIMIT = 800, 900, 2000
 MOST_SENTENCES, BREAK_PERCENTILE, SHORT, LEAST = 24, 90, 50, 10
 FILE_BYTES, TEXT_CHARS, QUERY_CHARS = 45_000, 15_000, 5_000
-SPLITS = (r"\n#{1,3}\s", r"\n\n", r"\n", r"[。！？!?.]\s*")
+#: White space as the texts' editor knows it, for a character class.
+SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPLITS = (f"\n#{{1,3}}[{SPACE}]", "\n\n", "\n", f"[。！？!?.][{SPACE}]*")
+#: The same, one by one.
+SPACES = SPACE.replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B))))
+#: A cut lies this near to the middle.
+NEAR_MIDDLE = 500
 SENTENCE_END = "。！？!?.\n"
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -86,104 +93,195 @@ def hashing_encoder(texts: list[str], dimension: int = 64) -> np.ndarray:
     return out / np.where(length == 0, 1, length)
 
 
-def sections(text: str) -> list[tuple[str, str]]:
-    """(breadcrumb of headings, body) of the parts under headings of level 1 to 3; empty bodies are left out."""
-    found, path = [], {}
-    bodies = re.split(r"(?m)^(#{1,3})[^\S\n]+(.*)$", text)
-    for i in range(0, len(bodies), 3):
-        if i:
-            level = len(bodies[i - 2])
-            path = {k: v for k, v in path.items() if k < level} | {level: bodies[i - 1].strip()}
-        if body := bodies[i].strip():
-            found.append((" > ".join(path.values()), body))
-    return found
-
-
-def sentences(text: str) -> list[tuple[str, str]]:
-    """(sentence, white space before it). A sentence ends at each end mark."""
-    found, gap, start = [], "", 0
-    for piece in re.findall(rf"[^{SENTENCE_END}]*[{SENTENCE_END}]\s*", text):
-        start += len(piece)
-        body = piece.rstrip()
-        if body.strip():
-            found.append((body.strip(), gap))
-        gap = piece[len(body) :]
-    if tail := text[start:].strip():
-        found.append((tail, gap))
-    return found
-
-
-def split_large(text: str, limit: int) -> list[str]:
-    """Halves at the first separator of the best kind around the middle, until all fit; slices where there is none."""
-    if len(text) <= limit:
-        return [text]
-    low = max(0, len(text) // 2 - 500)
-    middle = text[low : len(text) // 2 + 500]
-    for pattern in SPLITS:
-        if at := re.search(pattern, middle):
-            left, right = text[: low + at.end()].strip(), text[low + at.end() :].strip()
-            if left and right:
-                return split_large(left, limit) + split_large(right, limit)
-    return [p for p in (text[i : i + limit].strip() for i in range(0, len(text), limit)) if p]
-
-
-def merge_short(pieces: list[str]) -> list[str]:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, also where use takes it into a fold."""
+    return F.transform(F.array(value), use)[0]
+
+
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACES))
+
+
+def _texts(*values: Column) -> Column:
+    return F.array(*values).cast("array<string>")
+
+
+def sections(text: Column) -> Column:
+    """Array of (label, body): the parts under headings of level 1 to 3 with their breadcrumb; empty bodies are left out."""
+    heading = r"\A(#{1,3})[^\S\n]+([^\n]*)"
+    parts = F.transform(F.split(text, r"(?m)^(?=#{1,3}[^\S\n])"), lambda p: F.struct(F.length(F.regexp_extract(p, heading, 1)).alias("level"), F.trim(F.regexp_extract(p, heading, 2)).alias("title"), trimmed(F.regexp_replace(p, heading, "")).alias("body")))
+    kind = "struct<out:array<struct<label:string,body:string>>,path:array<string>>"
+
+    def step(acc, p):
+        # A heading takes the place of its level and clears those below.
+        path = F.when(p["level"] == 0, acc["path"]).otherwise(F.transform(acc["path"], lambda t, i: F.when(i == p["level"] - 1, p["title"]).when(i < p["level"] - 1, t)))
+        entry = lambda at: F.array(F.struct(F.array_join(F.array_compact(at), " > ").alias("label"), p["body"].alias("body")))
+        return let(path, lambda at: F.struct(F.when(p["body"] == "", acc["out"]).otherwise(F.concat(acc["out"], entry(at))).alias("out"), at.alias("path")).cast(kind))
+
+    empty = F.struct(F.array().cast("array<struct<label:string,body:string>>").alias("out"), F.array(*[F.lit(None).cast("string")] * 3).alias("path")).cast(kind)
+    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+
+
+def sentences(text: Column) -> Column:
+    """Array of (sentence, glue): a sentence ends at each end mark; glue is what joins it to the one before, by the white
+    space between them: a blank line, a line break or a space."""
+    pieces = F.regexp_extract_all(text, F.lit(f"[^{SENTENCE_END}]*[{SENTENCE_END}][{SPACE}]*|[^{SENTENCE_END}]+\\z"), F.lit(0))
+
+    def entry(all_pieces):
+        def of(p, i):
+            gap = F.when(i > 0, let(F.get(all_pieces, i - 1), lambda q: F.substring(q, F.length(F.rtrim(q, F.lit(SPACES))) + 1, F.length(q)))).otherwise("")
+            glue = let(gap, lambda g: F.when(g.rlike(f"\n[{SPACE}]*\n"), "\n\n").when(F.contains(g, F.lit("\n")), "\n").otherwise(" "))
+            return F.struct(trimmed(p).alias("text"), glue.alias("glue"))
+
+        return F.filter(F.transform(all_pieces, of), lambda s: s["text"] != "")
+
+    return let(pieces, entry)
+
+
+def halves(text: Column) -> Column:
+    """Two parts of a text, cut behind a separator near the middle: the first of the best kind there that leaves something on
+    both sides. Null where there is none."""
+    low = F.greatest(F.lit(0), F.floor(F.length(text) / 2) - NEAR_MIDDLE).cast("int")
+
+    def cut(pattern):
+        def at(end):
+            both = _texts(trimmed(F.substring(text, F.lit(1), end)), trimmed(F.substring(text, end + 1, F.length(text))))
+            return let(both, lambda b: F.when(~F.array_contains(b, ""), b))
+
+        middle = F.substring(text, low + 1, (F.floor(F.length(text) / 2) + NEAR_MIDDLE - low).cast("int"))
+        # What a split into two leaves behind the first separator tells where it ends.
+        return let(middle, lambda m: let(F.split(m, pattern, 2), lambda two: F.when(F.size(two) == 2, at(low + F.length(m) - F.length(two[1])))))
+
+    return F.coalesce(*[cut(p) for p in SPLITS])
+
+
+def slices(text: Column, limit: int) -> Column:
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / limit).cast("int")), lambda i: trimmed(F.substring(text, i * limit + 1, F.lit(limit))))
+    return F.filter(parts, lambda p: p != "")
+
+
+def within(text: Column, limit: int) -> Column:
+    """Array of the pieces of a text, none longer than the limit: halves of halves, slices where no separator is near.
+
+    A fold over a stack: each step takes the first piece, which is done, or gives way to its halves or slices. A separator
+    serves one cut at most, so twice their number bounds the steps; those after the last piece do nothing.
+    """
+    kind = "struct<todo:array<string>,done:array<string>>"
+    state = lambda todo, done: F.struct(todo.alias("todo"), done.alias("done")).cast(kind)
+
+    def step(acc, _):
+        def of(piece):
+            rest = F.slice(acc["todo"], F.lit(2), F.size(acc["todo"]))
+            parts = F.when(F.length(piece) > limit, halves(piece))
+            return let(parts, lambda h: F.when(h.isNotNull(), state(F.concat(h, rest), acc["done"])).when(F.length(piece) > limit, state(rest, F.concat(acc["done"], slices(piece, limit)))).otherwise(state(rest, F.concat(acc["done"], _texts(piece)))))
+
+        return F.when(F.size(acc["todo"]) == 0, acc).otherwise(let(acc["todo"][0], of))
+
+    def whole(t):
+        steps = F.sequence(F.lit(0), 2 * F.regexp_count(t, F.lit("[\n。！？!?.]")) + 1)
+        return F.when(F.length(t) <= limit, _texts(t)).otherwise(F.aggregate(steps, state(_texts(t), _texts()), step, lambda acc: acc["done"]))
+
+    return let(text, whole)
+
+
+def merge_short(pieces: Column) -> Column:
     """Short pieces join what follows; a short end joins what it follows."""
-    out, held = [], ""
-    for piece in filter(None, map(str.strip, pieces)):
-        held = f"{held}\n{piece}" if held else piece
-        if len(held) > SHORT:
-            out.append(held)
-            held = ""
-    if held:
-        out[-1:] = [f"{out[-1]}\n{held}"] if out else [held]
-    return out
+    kind = "struct<out:array<string>,held:string>"
+    state = lambda out, held: F.struct(out.alias("out"), held.alias("held")).cast(kind)
+    join = lambda a, b: F.concat(a, F.lit("\n"), b)
 
+    def step(acc, piece):
+        longer = F.when(acc["held"] == "", piece).otherwise(join(acc["held"], piece))
+        return let(longer, lambda h: F.when(F.length(h) > SHORT, state(F.concat(acc["out"], _texts(h)), F.lit(""))).otherwise(state(acc["out"], h)))
 
-def split_by_meaning(text: str, encode: Encoder) -> list[str]:
-    """Chunks that end where neighbouring sentences are farthest apart or the limit is reached."""
-    if len(text) > SEMANTIC_LIMIT:
-        return split_large(text, CHUNK_LIMIT)
-    parts = sentences(text)
-    if len(parts) <= 1:
-        return [s for s, _ in parts]
-    if len(parts) > MOST_SENTENCES:
-        return split_large(text, CHUNK_LIMIT)
-    v = encode([s for s, _ in parts])
-    length = np.linalg.norm(v[:-1], axis=1) * np.linalg.norm(v[1:], axis=1)
-    distance = 1 - np.where(length == 0, 0, (v[:-1] * v[1:]).sum(1) / np.where(length == 0, 1, length))
-    limit = np.percentile(distance, BREAK_PERCENTILE)
-    out = [parts[0][0]]
-    for (sentence, gap), far in zip(parts[1:], distance):
-        glue = "\n\n" if re.search(r"\n\s*\n", gap) else "\n" if "\n" in gap else " "
-        if far >= limit or len(out[-1] + glue + sentence) > CHUNK_LIMIT:
-            out.append(sentence)
-        else:
-            out[-1] += glue + sentence
-    return out
+    def end(acc):
+        last = F.try_element_at(acc["out"], F.lit(-1))
+        mended = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), _texts(join(last, acc["held"])))
+        return F.when(acc["held"] == "", acc["out"]).when(F.size(acc["out"]) == 0, _texts(acc["held"])).otherwise(mended)
 
+    clean_pieces = F.filter(F.transform(pieces, trimmed), lambda p: p != "")
+    return F.aggregate(clean_pieces, state(_texts(), F.lit("")), step, end)
 
-def chunk_text(cleaned: str, encode: Encoder = hashing_encoder) -> list[tuple[str, str]]:
-    """(section label, content) of the chunks of a cleaned text."""
-    out = []
-    for label, body in sections(cleaned):
-        pieces = [c for part in split_large(body, SECTION_LIMIT) for c in split_by_meaning(part, encode)]
-        out += [(label, c) for c in merge_short(pieces) if len(c) >= LEAST]
-    return out
+
+def percentile(values: Column, p: float) -> Column:
+    """Linear interpolation between the closest ranks of an array."""
+    at = (F.size(values) - 1) * F.lit(p)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    return let(F.array_sort(values), lambda v: F.get(v, low) + (F.get(v, high) - F.get(v, low)) * (at - low))
+
+
+def is_short(text: Column, parts: Column) -> Column:
+    """Whether a text is joined by meaning: not too long, and of 2 to 24 sentences."""
+    return (F.length(text) <= SEMANTIC_LIMIT) & F.size(parts).between(2, MOST_SENTENCES)
+
+
+def by_meaning(text: Column, parts: Column, distances: Column) -> Column:
+    """Array of chunks that end where neighbouring sentences are farthest apart or the limit is reached. parts: sentences(text);
+    distances: of each sentence to the next. Texts that are too long for this are cut by size."""
+
+    def joined(parts, distances, limit):
+        def step(acc, i):
+            last, part = F.element_at(acc, -1), F.get(parts, i)
+            apart = (F.get(distances, i - 1) >= limit) | (F.length(last) + F.length(part["glue"]) + F.length(part["text"]) > CHUNK_LIMIT)
+            return F.when(apart, F.concat(acc, _texts(part["text"]))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), _texts(F.concat(last, part["glue"], part["text"]))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), _texts(parts[0]["text"]), step)
+
+    def of(r):
+        text, parts, far = r["text"], r["parts"], r["far"]
+        alone = (F.length(text) <= SEMANTIC_LIMIT) & (F.size(parts) <= 1)
+        by_distance = let(percentile(far, BREAK_PERCENTILE / 100), lambda limit: joined(parts, far, limit))
+        return F.when(is_short(text, parts), by_distance).when(alone, F.transform(parts, lambda s: s["text"])).otherwise(within(text, CHUNK_LIMIT))
+
+    return let(F.struct(text.alias("text"), parts.alias("parts"), distances.alias("far")), of)
+
+
+def word_distance(texts: Column) -> Column:
+    """Of each text to the next: 1 less the share of their lower-cased words that both have."""
+    bag = lambda i: F.array_distinct(F.split(F.lower(F.get(texts, i)), " "))
+    far = lambda a, b: 1 - F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return F.transform(F.sequence(F.lit(0), F.size(texts) - 2), lambda i: far(bag(i), bag(i + 1)))
+
+
+def encoded_distance(encode: Encoder) -> Callable[[Column], Column]:
+    """The same by an encoder: 1 less the cosine of the two vectors, for the nested arrays of a document, in Arrow batches."""
+
+    def of(texts) -> list[float]:
+        if len(texts) < 2:
+            return []
+        v = np.asarray(encode(list(texts)))
+        length = np.linalg.norm(v[:-1], axis=1) * np.linalg.norm(v[1:], axis=1)
+        return (1 - np.where(length == 0, 0, (v[:-1] * v[1:]).sum(1) / np.where(length == 0, 1, length))).tolist()
+
+    @F.pandas_udf("array<array<array<double>>>")
+    def run(documents: pd.Series) -> pd.Series:
+        return pd.Series([[[of(part) for part in section] for section in document] for document in documents], dtype=object)
+
+    return run
 
 
-def chunk_documents(docs: DataFrame, encode: Encoder = hashing_encoder) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, id, chunk_index, chunk_count, section_label, content. Cleaning runs in the JVM; a
-    text's chunks are numbered where they are made, so nothing is shuffled. Null texts have no chunks."""
-    kind = dict(docs.dtypes)["doc_id"]
+def chunk_documents(docs: DataFrame, encode: Encoder | None = hashing_encoder) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, id, chunk_index, chunk_count, section_label, content. Neighbouring sentences are compared by
+    the encoder, or by their words (None). Null texts have no chunks."""
+    section = lambda s: F.struct(s["label"].alias("label"), F.transform(within(s["body"], SECTION_LIMIT), lambda p: F.struct(p.alias("text"), sentences(p).alias("parts"))).alias("parts"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", clean(F.col("text")).alias("_text"))
+    rows = rows.select("doc_id", F.transform(sections(F.col("_text")), section).alias("_sections"))
+    compared = lambda p: F.when(is_short(p["text"], p["parts"]), F.transform(p["parts"], lambda s: s["text"])).otherwise(_texts())
+    texts = F.transform("_sections", lambda s: F.transform(s["parts"], compared))
+    if encode is None:
+        rows = rows.withColumn("_far", F.transform(texts, lambda s: F.transform(s, lambda t: F.when(F.size(t) > 1, word_distance(t)).otherwise(F.array().cast("array<double>")))))
+    else:
+        # An encoder must be asked with a column that holds no lambda; a generator keeps the optimizer from folding it in.
+        rows = rows.select("doc_id", "_sections", F.explode(F.array(texts)).alias("_said")).withColumn("_far", encoded_distance(encode)("_said"))
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(d, f"{d}::chunk-{i}", i, len(found), label, c) for d, t in zip(pdf["doc_id"], pdf["cleaned"]) for found in [chunk_text(t, encode)] for i, (label, c) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["doc_id", "id", "chunk_index", "chunk_count", "section_label", "content"])
+    def chunks(s):
+        pieces = F.transform(F.arrays_zip(s["section"]["parts"].alias("part"), s["far"].alias("far")), lambda p: by_meaning(p["part"]["text"], p["part"]["parts"], p["far"]))
+        return F.transform(F.filter(merge_short(F.flatten(pieces)), lambda c: F.length(c) >= LEAST), lambda c: F.struct(s["section"]["label"].alias("section_label"), c.alias("content")))
 
-    cleaned = docs.where(F.col("text").isNotNull()).select("doc_id", clean(F.col("text")).alias("cleaned"))
-    return cleaned.mapInPandas(run, f"doc_id {kind}, id string, chunk_index int, chunk_count int, section_label string, content string")
+    both = F.arrays_zip(F.col("_sections").alias("section"), F.col("_far").alias("far"))
+    rows = rows.select("doc_id", F.flatten(F.transform(both, chunks)).alias("_chunks"))
+    rows = rows.select("doc_id", F.size("_chunks").alias("chunk_count"), F.posexplode("_chunks").alias("chunk_index", "c"))
+    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("::chunk-"), F.col("chunk_index").cast("string")).alias("id"), "chunk_index", "chunk_count", "c.section_label", "c.content")
 
 
 def packs(texts: list[str], most: int = 4, chars: int = 1800) -> Iterator[list[str]]:

@@ -339,11 +339,6 @@ def w09(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("x08_chunks")
-def x08(spark, sf_dir):
-    return chunking.chunk_documents(table(spark, sf_dir, "documents")).select("id", "doc_id", "chunk_index", "chunk_count", F.length("content").alias("chars"))
-
-
 @query("x17_first_line", "SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS line FROM documents")
 def x17(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_line(F.col("text")).alias("line"))

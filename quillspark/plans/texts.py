@@ -306,3 +306,88 @@ def s05(spark, sf_dir):
 
 
 assert ORACLES
+
+
+# Chunks: the cut as a recursion over pieces, joins as recursions over neighbours.
+
+_S = chunking.SPACE
+_TRIM = lambda c: f"regexp_replace({c}, '\\A[{_S}]+|[{_S}]+\\z', '', 'g')"
+_CUTS = (f"\n#{{1,3}}[{_S}]", "\n\n", "\n", f"[。！？!?.][{_S}]*")
+
+
+def _cut_sql(name: str, source: str, limit: int) -> str:
+    """Rows (key, text) of source in pieces: (key, path, text), in the order of path."""
+    low = "greatest(0, length(text) // 2 - 500)"
+    ends = ", ".join(f"length(regexp_extract(middle, '(?s)\\A(.*?(?:{p}))', 1)) AS e{i}" for i, p in enumerate(_CUTS))
+    sides = ", ".join(f"{_TRIM(f'text[1:low + e{i}]')} AS a{i}, {_TRIM(f'text[low + e{i} + 1:]')} AS b{i}" for i in range(4))
+    pick = "CASE " + " ".join(f"WHEN e{i} > 0 AND a{i} <> '' AND b{i} <> '' THEN [a{i}, b{i}]" for i in range(4)) + " END"
+    halves = f"(SELECT key, path, {pick} AS h FROM (SELECT *, {sides} FROM (SELECT *, {ends} FROM (SELECT key, path, text, {low} AS low, text[{low} + 1:length(text) // 2 + 500] AS middle FROM {name}_all WHERE length(text) > {limit}))))"
+    return f"""
+{name}_all AS (SELECT key, '' AS path, text FROM {source} UNION ALL SELECT key, path || (i - 1)::VARCHAR, h[i] FROM {halves}, (VALUES (1), (2)) t(i) WHERE h IS NOT NULL),
+{name}_leaves AS (SELECT * FROM {name}_all a WHERE NOT EXISTS (SELECT 1 FROM {name}_all b WHERE b.key = a.key AND b.path = a.path || '0')),
+{name} AS (
+  SELECT key, path, text FROM {name}_leaves WHERE length(text) <= {limit}
+  UNION ALL SELECT key, path || printf('#%09d', i), text FROM (SELECT key, path, i, {_TRIM(f"text[i * {limit} + 1:(i + 1) * {limit}]")} AS text FROM (SELECT *, unnest(range((length(text) - 1) // {limit} + 1)) AS i FROM {name}_leaves WHERE length(text) > {limit})) WHERE text <> '')"""
+
+
+_END = "。！？!?.\n"
+_CHUNKS = f"""
+WITH RECURSIVE cleaned AS (SELECT doc_id, {_clean_sql()} AS text FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, i, line, length(regexp_extract(line, '^(#{{1,3}})[\t\x0b\f\r ]', 1)) AS level FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM cleaned)),
+heads AS (
+  SELECT *, max(CASE WHEN level > 0 THEN i END) OVER w AS section, max(CASE WHEN level = 1 THEN i END) OVER w AS at1, max(CASE WHEN level IN (1, 2) THEN i END) OVER w AS at2, max(CASE WHEN level > 0 THEN i END) OVER w AS at3
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+titles AS (SELECT doc_id, i, level, trim(regexp_extract(line, '^#{{1,3}}[\t\x0b\f\r ]+(.*)$', 1)) AS title FROM lines WHERE level > 0),
+section_rows AS (
+  SELECT h.doc_id, coalesce(section, 0) AS section, any_value(at1) AS at1, any_value(at2) AS at2, any_value(at3) AS at3, {_TRIM("string_agg(line, chr(10) ORDER BY h.i) FILTER (WHERE level = 0)")} AS body
+  FROM heads h GROUP BY h.doc_id, coalesce(section, 0)),
+labelled AS (
+  SELECT s.doc_id, s.section, body, concat_ws(' > ', t1.title, CASE WHEN t2.level = 2 THEN t2.title END, CASE WHEN t3.level = 3 THEN t3.title END) AS label
+  FROM section_rows s LEFT JOIN titles t1 ON t1.doc_id = s.doc_id AND t1.i = at1 LEFT JOIN titles t2 ON t2.doc_id = s.doc_id AND t2.i = at2 LEFT JOIN titles t3 ON t3.doc_id = s.doc_id AND t3.i = at3
+  WHERE body <> ''),
+bodies AS (SELECT {{'d': doc_id, 's': section}} AS key, body AS text FROM labelled),
+{_cut_sql("part", "bodies", 2000)},
+split_parts AS (
+  SELECT {{'d': key.d, 's': key.s, 'p': path}} AS key, text, regexp_extract_all(text, '[^{_END}]*[{_END}][{_S}]*|[^{_END}]+\\z') AS pieces FROM part),
+said AS (
+  SELECT key, text, list_filter(list_transform(pieces, lambda p, i: {{'t': {_TRIM("p")}, 'g': CASE WHEN i = 1 THEN '' ELSE regexp_extract(pieces[i - 1], '[{_S}]*\\z') END}}), lambda s: s.t <> '') AS parts FROM split_parts),
+long_parts AS (SELECT key, text FROM said WHERE length(text) > 800 OR len(parts) > 24),
+{_cut_sql("slice", "long_parts", 900)},
+bags AS (
+  SELECT key, parts, list_transform(parts, lambda s: list_distinct(string_split(lower(s.t), ' '))) AS bags FROM said WHERE length(text) <= 800 AND len(parts) BETWEEN 2 AND 24),
+far AS (
+  SELECT key, parts, list_transform(range(1, len(parts)), lambda i: 1 - len(list_intersect(bags[i], bags[i + 1]))::DOUBLE / len(list_distinct(bags[i] || bags[i + 1]))) AS far FROM bags),
+limits AS (
+  SELECT *, ascending[floor(pos)::INT + 1] + (ascending[ceil(pos)::INT + 1] - ascending[floor(pos)::INT + 1]) * (pos - floor(pos)) AS most
+  FROM (SELECT *, list_sort(far) AS ascending, (len(far) - 1) * 0.9::DOUBLE AS pos FROM far)),
+joined AS (
+  SELECT key, 1 AS i, 1 AS chunk, parts[1].t AS text FROM limits
+  UNION ALL
+  SELECT key, i + 1, CASE WHEN apart THEN chunk + 1 ELSE chunk END, CASE WHEN apart THEN said ELSE longer END
+  FROM (
+    SELECT *, far >= most OR length(longer) > 900 AS apart
+    FROM (SELECT j.key, j.i, j.chunk, l.parts[i + 1].t AS said, l.far[i] AS far, l.most, j.text || CASE WHEN regexp_matches(l.parts[i + 1].g, '\n[{_S}]*\n') THEN chr(10) || chr(10) WHEN contains(l.parts[i + 1].g, chr(10)) THEN chr(10) ELSE ' ' END || l.parts[i + 1].t AS longer
+      FROM joined j JOIN limits l ON l.key = j.key AND j.i < len(l.parts)))),
+pieces AS (
+  SELECT key.d AS d, key.s AS s, key.p AS p, printf('%06d', chunk) AS o, arg_max(text, i) AS text FROM joined GROUP BY key, chunk
+  UNION ALL SELECT key.d, key.s, key.p, path, text FROM slice
+  UNION ALL SELECT key.d, key.s, key.p, '', parts[1].t FROM said WHERE length(text) <= 800 AND len(parts) = 1),
+ordered AS (SELECT d, s, row_number() OVER (PARTITION BY d, s ORDER BY p, o) AS n, {_TRIM("text")} AS text FROM pieces WHERE {_TRIM("text")} <> ''),
+merged AS (
+  SELECT d, s, n, 1 AS chunk, text FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT m.d, m.s, o.n, CASE WHEN length(m.text) > 50 THEN m.chunk + 1 ELSE m.chunk END, CASE WHEN length(m.text) > 50 THEN o.text ELSE m.text || chr(10) || o.text END
+  FROM merged m JOIN ordered o ON o.d = m.d AND o.s = m.s AND o.n = m.n + 1),
+made AS (SELECT d, s, chunk, arg_max(text, n) AS text, max(chunk) OVER (PARTITION BY d, s) AS most FROM merged GROUP BY d, s, chunk),
+ended AS (
+  SELECT d, s, CASE WHEN chunk = most AND length(text) <= 50 AND chunk > 1 THEN chunk - 1 ELSE chunk END AS chunk, string_agg(text, chr(10) ORDER BY chunk) AS text FROM made GROUP BY ALL),
+kept AS (SELECT d, text, label, row_number() OVER (PARTITION BY d ORDER BY s, chunk) - 1 AS chunk_index FROM ended JOIN labelled ON doc_id = d AND section = s WHERE length(text) >= 10)
+SELECT d || '::chunk-' || chunk_index AS id, d AS doc_id, chunk_index::INT AS chunk_index, (count(*) OVER (PARTITION BY d))::INT AS chunk_count, label AS section_label, md5(text) AS content_md5 FROM kept
+"""
+
+
+@query("x08_chunks", _CHUNKS)
+def x08(spark, sf_dir):
+    """Chunks of all documents; neighbouring sentences are compared by their words."""
+    found = chunking.chunk_documents(table(spark, sf_dir, "documents"), None)
+    return found.select("id", "doc_id", "chunk_index", "chunk_count", "section_label", md5(F.col("content")).alias("content_md5"))

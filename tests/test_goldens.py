@@ -108,26 +108,34 @@ def test_balanced_caps(spark, per_document, other, hidden, expected):
     assert ids(got) == expected
 
 
-def test_chunking_keeps_line_breaks():
+def test_chunking_keeps_line_breaks(spark):
     text = "第一段第一句。\n\n第二段第一句。第二段第二句。第二段第三句。最后一句。"
     far = [0.1, 0.11, 0.12, 0.9]
     at = np.concatenate([[0], np.cumsum(np.arccos(1 - np.array(far)))])
     encode = lambda texts: np.stack([np.cos(at[: len(texts)]), np.sin(at[: len(texts)])], 1)
     assert np.percentile(far, 90) == pytest.approx(0.666)
-    assert chunking.split_by_meaning(text, encode) == ["第一段第一句。\n\n第二段第一句。 第二段第二句。 第二段第三句。", "最后一句。"]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    parts = chunking.sentences(F.col("text"))
+    said = [[[r["text"] for r in docs.select(parts.alias("p")).first()["p"]]]]
+    got = spark.createDataFrame([(said,)], "said array<array<array<string>>>").select(chunking.encoded_distance(encode)("said")).first()[0][0][0]
+    assert got == pytest.approx(far)
+    chunks = docs.select(chunking.by_meaning(F.col("text"), parts, F.array(*[F.lit(d) for d in far]))).first()[0]
+    assert chunks == ["第一段第一句。\n\n第二段第一句。 第二段第二句。 第二段第三句。", "最后一句。"]
 
 
-def test_short_pieces_merge():
+def test_short_pieces_merge(spark):
     long = "x" * 60
-    assert chunking.merge_short(["a", long, "b"]) == [f"a\n{long}\nb"]
-    assert chunking.merge_short(["", "  ", "a"]) == ["a"]
-    assert chunking.merge_short([long, long]) == [long, long]
+    merge_short = lambda pieces: spark.createDataFrame([(pieces,)], "p array<string>").select(chunking.merge_short(F.col("p"))).first()[0]
+    assert merge_short(["a", long, "b"]) == [f"a\n{long}\nb"]
+    assert merge_short(["", "  ", "a"]) == ["a"]
+    assert merge_short([long, long]) == [long, long]
 
 
-def test_sizes_of_splits():
-    parts = chunking.split_large("Sentence one. " * 300, 900)
+def test_sizes_of_splits(spark):
+    within = lambda text, limit: spark.createDataFrame([(text,)], "t string").select(chunking.within(F.col("t"), limit)).first()[0]
+    parts = within("Sentence one. " * 300, 900)
     assert all(len(p) <= 900 for p in parts) and "".join(parts).replace(" ", "") == ("Sentence one. " * 300).replace(" ", "")
-    assert chunking.split_large("y" * 2000, 900) == ["y" * 900, "y" * 900, "y" * 200]
+    assert within("y" * 2000, 900) == ["y" * 900, "y" * 900, "y" * 200]
 
 
 def test_cleaning(spark):
