@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quillspark.operators import documents, walk
 from quillspark.plans import catalog
 from quillspark.plans.catalog import query, records, table
-from quillspark.streaming import changes
+from quillspark.streaming import changes, sessions
 
 _EDGES = "edges AS (SELECT DISTINCT source, target FROM (SELECT o_custkey AS source, lead(o_custkey) OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderkey) AS target FROM orders) WHERE target IS NOT NULL)"
 _ROOT = "(SELECT min(source) FROM edges)"
@@ -240,3 +240,36 @@ def w12(spark, sf_dir):
 @query("a08_queue_summary", "SELECT count(*) FILTER (WHERE doc_id % 10 <> 3) AS indexed, 0::BIGINT AS skipped, count(*) FILTER (WHERE doc_id % 10 = 3) AS failed, sum(CASE WHEN doc_id % 10 = 3 THEN 0 ELSE doc_id % 10 END)::BIGINT AS chunks FROM documents")
 def a08(spark, sf_dir):
     return documents.index_summary(r09(spark, sf_dir))
+
+
+# Users walk: the kind of an event is an action, its id names the nodes.
+
+_ACTIONS = "SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'root' WHEN 'view' THEN 'expand' WHEN 'click' THEN 'focus' WHEN 'purchase' THEN 'collapse' ELSE 'link' END AS kind, 'n' || (event_id % 5) AS node, CASE WHEN event_type = 'view' THEN ['n' || (event_id % 11), 'n' || (event_id % 13)] ELSE ['n' || (event_id % 19)] END AS targets FROM events"
+_FOLD = f"""
+WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ({_ACTIONS})),
+f AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::VARCHAR AS root, NULL::VARCHAR AS focus, []::VARCHAR[] AS nodes, []::VARCHAR[] AS edges, []::VARCHAR[] AS visited, []::VARCHAR[] AS collapsed FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, n, CASE WHEN kind = 'root' THEN node ELSE root END, CASE WHEN kind = 'root' OR kind = 'focus' AND there THEN node ELSE focus END,
+    CASE WHEN kind = 'root' THEN [node] WHEN kind IN ('expand', 'link') AND there THEN nodes || list_filter(list_distinct(targets), lambda t: t <> node AND NOT list_contains(nodes, t)) ELSE nodes END,
+    CASE WHEN kind = 'root' THEN [] WHEN kind = 'expand' AND there THEN list_distinct(edges || list_transform(list_filter(targets, lambda t: t <> node), lambda t: node || '>' || t))
+      WHEN kind = 'link' AND there AND NOT list_contains(nodes, targets[1]) THEN edges || [node || '>' || targets[1]] ELSE edges END,
+    CASE WHEN kind = 'root' THEN [node] WHEN kind = 'focus' AND there AND NOT list_contains(visited, node) THEN visited || [node] ELSE visited END,
+    CASE WHEN kind = 'root' THEN [] WHEN kind = 'expand' AND there THEN list_filter(collapsed, lambda c: c <> node) WHEN kind = 'collapse' AND there THEN list_distinct(collapsed || [node]) ELSE collapsed END
+  FROM (SELECT a.*, root, focus, nodes, edges, visited, collapsed, list_contains(nodes, node) AS there FROM f JOIN a ON a.user_id = f.user_id AND a.n = f.n + 1))
+SELECT user_id::VARCHAR AS session, root, focus, array_to_string(list_sort(nodes), ',') AS nodes, array_to_string(list_sort(edges), ',') AS edges, array_to_string(visited, ',') AS visited, array_to_string(list_sort(collapsed), ',') AS collapsed
+FROM f QUALIFY n = max(n) OVER (PARTITION BY user_id)
+"""
+
+
+@query("r16_sessions", _FOLD)
+def r16(spark, sf_dir):
+    """The last state of every user's walk, all actions of the log folded."""
+    name = lambda n: F.concat(F.lit("n"), (F.col("event_id") % n).cast("string"))
+    kind = F.when(F.col("event_type") == "signup", "root").when(F.col("event_type") == "view", "expand").when(F.col("event_type") == "click", "focus").when(F.col("event_type") == "purchase", "collapse").otherwise("link")
+    targets = F.when(F.col("event_type") == "view", F.array(name(11), name(13))).otherwise(F.array(name(19)))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("step"), kind.alias("kind"), name(5).alias("node"), targets.alias("targets"), F.lit(None).cast("string").alias("value"))
+    joined = lambda c: F.array_join(c, ",")
+    edges = F.transform("edges", lambda e: F.concat(e["source"], F.lit(">"), e["target"]))
+    collapsed = F.transform(F.filter("nodes", lambda n: n["collapsed"]), lambda n: n["node"])
+    return sessions.session_states(log).select("session", "root", "focus", joined(F.array_sort(F.transform("nodes", lambda n: n["node"]))).alias("nodes"), joined(F.array_sort(edges)).alias("edges"), joined("visited").alias("visited"), joined(F.array_sort(collapsed)).alias("collapsed"))
