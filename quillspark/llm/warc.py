@@ -150,7 +150,9 @@ def parse_archive(data: bytes | memoryview) -> Iterator[dict]:
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(data):
         if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] in SKIPPABLE:
-            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            begin, at = at, at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                yield {"offset": begin, "error": "truncated skippable frame"}
             continue
         try:
             end = frame_end(data, at)

@@ -62,7 +62,7 @@ def test_bad_records_are_told(change):
 
 def test_broken_archives_are_told():
     whole = archive([record(), record(b"x" * 5000)])
-    for data in (whole[:-3], whole + b"junk!!!", struct.pack("<II", warc.DICTIONARY_MAGIC, 99) + b"x"):
+    for data in (whole[:-3], whole + b"junk!!!", whole + struct.pack("<II", 0x184D2A50, 99) + b"x", struct.pack("<II", warc.DICTIONARY_MAGIC, 99) + b"x"):
         assert list(warc.parse_archive(data))[-1]["error"]
     assert list(warc.parse_archive(b"")) == []
 
