@@ -208,6 +208,44 @@ def top(index: DataFrame, terms, n: int, average: float, k: int | None = None, t
     return held.unionByName(_scored(term_hits(left, terms), idf, average)).orderBy("score", "seq").limit(k)
 
 
+def batch_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, seq, tf, dl for a table of distinct terms (lower case, three characters or more), by one join with the blocks."""
+    pieces = F.transform(F.sequence(F.lit(0), F.length("term") - GRAM), lambda i: F.substring(F.col("term"), i + 1, F.lit(GRAM)))
+    grams = terms.where(F.length("term") >= GRAM).select("term", F.posexplode(pieces).alias("at", "gram")).withColumn("bucket", bucket(F.col("gram")))
+    few = grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = index.join(F.broadcast(grams) if few else grams, ["bucket", "gram"]).select("term", "at", F.inline("hits"))
+    single = rows.where(F.length("term") == GRAM).select("term", "seq", "tf", "dl")
+    shifted = F.transform("places", lambda p: p - F.col("at"))
+    phrases = rows.where(F.length("term") > GRAM).groupBy("term", "seq").agg(F.first("dl").alias("dl"), F.collect_list(shifted).alias("starts"))
+    phrases = phrases.where(F.size("starts") == F.length("term") - GRAM + 1)
+    common = F.aggregate(F.slice("starts", F.lit(2), F.size("starts")), F.col("starts")[0], lambda a, b: F.array_intersect(a, b))
+    return single.unionByName(phrases.select("term", "seq", F.size(common).alias("tf"), "dl").where("tf > 0"))
+
+
+def top_batch(index: DataFrame, queries: DataFrame, n: int, average: float, k: int) -> DataFrame:
+    """query_id, seq, score, rank: what top() gives for each row of queries (query_id, terms), in one job. Terms that many
+    queries share are looked up once. index has no touched records: one batch, or merged."""
+    asked = queries.select("query_id", F.posexplode(F.array_distinct(F.transform("terms", F.lower))).alias("no", "term"))
+    hits = batch_hits(index, asked.select("term").distinct())
+    idf = F.log((F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = F.when(idf > 0, idf).otherwise(F.lit(search.BM25_FLOOR)) * _gain(F.col("tf"), F.col("dl"), average)
+    known = hits.groupBy("term").agg(F.count("*").alias("_df"))
+    parts = hits.join(known, "term").withColumn("part", part).join(asked, "term")
+    rows = parts.groupBy("query_id", "seq").agg(F.array_sort(F.collect_list(F.struct("no", "part"))).alias("parts"))
+    rows = rows.select("query_id", "seq", (-F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"])).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "seq"))).where(F.col("rank") <= k)
+
+
+def hybrid_batch(index: DataFrame, vectors: DataFrame, queries: DataFrame, n: int, average: float, k: int, weight: float = search.DEFAULT_WEIGHT) -> DataFrame:
+    """query_id, id (a seq), fused_score, position: for each row of queries (query_id, terms, embedding) the best k of its nearest
+    vectors (seq, embedding) and its best keyword hits, fused. The candidates of both kinds are those of a single search."""
+    pool, weight = search.candidate_count(k), search.clamp_weight(weight)
+    near = search.nearest_batch(vectors, queries.select("query_id", "embedding"), pool).select("query_id", F.col("seq").alias("id"), "rank")
+    words = top_batch(index, queries, n, average, pool).select("query_id", F.col("seq").alias("id"), "rank")
+    fused = search.fuse([(near, 1.0), (words, weight)], keys=["query_id"])
+    return fused.where(F.col("position") <= k)
+
+
 class KeywordIndex:
     """The index of one collection under a folder, grown in steps behind a cursor and kept up with changes.
 

@@ -396,6 +396,53 @@ def n08(spark, sf_dir):
     return found.select("id", F.round("distance", 6).alias("distance"), F.round("fused_score", 9).alias("fused_score"), F.array_join("matched_by", "+").alias("matched_by"), "position")
 
 
+# A table of queries: two words of each benchmark item that do not overlap themselves, and the vector of its number.
+
+_ALONE = "list_filter(w, lambda t, p: list_position(w, t) = p AND len(list_filter(range(1, length(t)), lambda i: t[:i] = t[-i:])) = 0)"
+_ASKED = f"asked AS MATERIALIZED (SELECT item_id AS query_id, terms[:2] AS terms, e.embedding FROM (SELECT item_id, {_ALONE} AS terms FROM (SELECT item_id, regexp_extract_all(text, '[a-z]{{4,8}}') AS w FROM benchmark)) b JOIN embeddings e ON e.vec_id = b.item_id % (SELECT max(vec_id) + 1 FROM embeddings) WHERE len(terms) >= 2)"
+_BATCH = f"""
+WITH {_ASKED},
+r AS MATERIALIZED (SELECT doc_id, lower(text) AS low, greatest(length(text) - 2, 0)::DOUBLE AS dl FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(dl) AS a FROM r),
+t AS (SELECT DISTINCT unnest(terms) AS term FROM asked),
+h AS MATERIALIZED (SELECT term, doc_id, dl, (len(string_split(low, term)) - 1)::DOUBLE AS f FROM r, t WHERE contains(low, term)),
+d AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+p AS (SELECT term, doc_id, greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END, 0) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)) AS part FROM h JOIN d USING (term), s),
+q AS (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS no FROM asked),
+scored AS (SELECT query_id, doc_id AS id, -sum(part ORDER BY no) AS score FROM q JOIN p USING (term) GROUP BY query_id, doc_id),
+words AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM scored QUALIFY rank <= 50)"""
+
+
+@query("j02_keyword_batch", f"{_BATCH} SELECT query_id, id, rank::INT AS rank FROM words WHERE rank <= 10")
+def j02_batch(spark, sf_dir):
+    """The ten best documents of every query of a table, in one job."""
+    index, n, average = _index(spark, sf_dir)
+    found = keyword.top_batch(index, _asked(spark, sf_dir), n, average, 50)
+    return found.where("rank <= 10").select("query_id", F.col("seq").alias("id"), "rank")
+
+
+@query("n08_hybrid_batch", f"""{_BATCH},
+near AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT query_id, e.vec_id, {_L2} AS distance FROM embeddings e, asked q) QUALIFY rank <= 50),
+l AS (SELECT query_id, id, 0 AS list, rank, 1.0::DOUBLE AS w FROM near UNION ALL SELECT query_id, id, 1, rank, 1.0 FROM words),
+f AS (SELECT query_id, id, sum(w / (60 + rank)) AS fused, min((list, rank)) AS first FROM l GROUP BY query_id, id)
+SELECT query_id, id, round(fused, 9) AS fused_score, (row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, first))::INT AS position FROM f QUALIFY position <= 10""")
+def n08_batch(spark, sf_dir):
+    """Vectors and words of every query of a table, fused; a record's vector and its document have the same number."""
+    index, n, average = _index(spark, sf_dir)
+    found = keyword.hybrid_batch(index, records(spark, sf_dir).select("seq", "embedding"), _asked(spark, sf_dir), n, average, 10)
+    return found.select("query_id", "id", F.round("fused_score", 9).alias("fused_score"), "position")
+
+
+def _asked(spark, sf_dir):
+    vectors = records(spark, sf_dir)
+    top = vectors.agg((F.max("id") + 1).alias("top"))
+    own = F.exists(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), F.lit(1), i) == F.substring(F.col("t"), F.length("t") - i + 1, i))
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{4,8}"), F.lit(0)))).alias("at", "t")).where(~own)
+    items = words.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("w")).where(F.size("w") >= 2)
+    items = items.select(F.col("item_id").alias("query_id"), F.transform(F.slice("w", 1, 2), lambda x: x["t"]).alias("terms")).crossJoin(F.broadcast(top))  # one row
+    return items.join(vectors.select(F.col("id").alias("_v"), "embedding"), F.col("_v") == F.col("query_id") % F.col("top")).select("query_id", "terms", "embedding")
+
+
 @query("n09_tool_fusion", f"WITH {_DOCS}, {_NEAR.format(n=50)}, {_WORDS.format(n=50)}, {_HYBRID.format(a='1.0::DOUBLE', b='1.0::DOUBLE')} SELECT id, round(fused, 9) AS fused_score, position::INT AS position FROM p")
 def n09(spark, sf_dir):
     rows = _with_vectors(spark, sf_dir)

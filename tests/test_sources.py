@@ -184,6 +184,27 @@ def test_spans_that_cannot_win_are_not_read(spark, monkeypatch):
     assert sum(scored) <= keyword.FIRST_SPANS + 1 and index.select("span").distinct().count() > 40
 
 
+def test_a_table_of_queries_is_as_many_queries(spark):
+    """500 queries in one job; those of each kind of terms are asked alone as well."""
+    rng = random.Random(6)
+    words = ["the", "einen", "brown", "aaaa", "Lichkeit", "qui", "ox", "ende", "straße"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    records = spark.createDataFrame(docs, "seq long, document string")
+    index = keyword.blocks(keyword.postings(records)).cache()
+    n, average = keyword.lengths(records).agg(F.count("*"), F.avg("dl")).first()
+    asked = [(q, [rng.choice(words + ["nowhere", "aaa"]) for _ in range(rng.randint(0, 4))]) for q in range(500)]
+    got = {}
+    for r in keyword.top_batch(index, spark.createDataFrame(asked, "query_id long, terms array<string>"), n, average, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.seq, round(r.score, 9)))
+    for q, terms in asked[:8]:
+        want = keyword.top(index, terms, n, average, 5).collect()
+        assert sorted(got.get(q, [])) == [(i, r.seq, round(r.score, 9)) for i, r in enumerate(want, 1)], terms
+    alike = {}
+    for q, terms in asked:
+        alike.setdefault(tuple(dict.fromkeys(t.lower() for t in terms)), []).append(sorted(got.get(q, [])))
+    assert all(len({str(x) for x in same}) == 1 for same in alike.values()) and len(alike) > 100
+
+
 def test_meta_types_and_vacuum(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.ensure("notes")
