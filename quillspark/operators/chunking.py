@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -296,8 +297,24 @@ def packs(texts: list[str], most: int = 4, chars: int = 1800) -> Iterator[list[s
         yield held
 
 
-def encode_pack(texts: list[str], encode: Encoder) -> np.ndarray:
-    """Vectors of one batch; if the encoder fails on it, text by text. One vector a text, all finite."""
+def timed(encode: Encoder, seconds: float | None) -> Encoder:
+    """The encoder with a limit of time for each call; TimeoutError beyond it."""
+    if seconds is None:
+        return encode
+
+    def run(texts: list[str]) -> np.ndarray:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(encode, texts).result(seconds)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return run
+
+
+def encode_pack(texts: list[str], encode: Encoder, seconds: float | None = None) -> np.ndarray:
+    """Vectors of one batch; if the encoder fails on it, text by text, but not if its time is over. One vector a text, all finite."""
+    encode = timed(encode, seconds)
     try:
         out = np.asarray(encode(texts))
     except TimeoutError:
@@ -309,11 +326,12 @@ def encode_pack(texts: list[str], encode: Encoder) -> np.ndarray:
     return out
 
 
-def embed(rows: DataFrame, column: str, encode: Encoder = hashing_encoder, prefix: str = "", limit: int | None = None, most: int = 4, chars: int = 1800) -> DataFrame:
-    """rows with embedding: the unit vector of prefix and text, cut to the encoder's limit, by Arrow batches."""
+def embed(rows: DataFrame, column: str, encode: Encoder = hashing_encoder, prefix: str = "", limit: int | None = None, most: int = 4, chars: int = 1800, seconds: float | None = None) -> DataFrame:
+    """rows with embedding: the unit vector of prefix and text, cut to the encoder's limit, by Arrow batches. A batch that takes
+    the encoder more than so many seconds fails."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([v.astype("float32") for pack in packs([t or "" for t in texts], most, chars) for v in encode_pack(pack, encode)], dtype=object)
+        return pd.Series([v.astype("float32") for pack in packs([t or "" for t in texts], most, chars) for v in encode_pack(pack, encode, seconds)], dtype=object)
 
     return rows.withColumn("embedding", run(rules.model_input(F.col(column), limit or 1 << 30, prefix)))

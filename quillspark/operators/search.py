@@ -272,6 +272,11 @@ def visible(records: DataFrame, muted: list[str] = (), excluded: list[str] = (),
     return out.where(~F.col("id").isin(list(chunk_ids))) if chunk_ids else out
 
 
+def without_active(results: DataFrame, path: str) -> DataFrame:
+    """Results but those of the document that is open. They go after the limit, so fewer than k may be left."""
+    return results.where(~F.col("path").eqNullSafe(F.lit(path)))
+
+
 def shape(results: DataFrame) -> DataFrame:
     """Search results with their defaults."""
     text = lambda c, rest: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(rest))

@@ -30,12 +30,20 @@ def clamp_limit(limit) -> int:
         return DEFAULT_LIMIT
 
 
-def related(records: DataFrame, chunk_id, limit: int = DEFAULT_LIMIT, mode: str = "balanced", other_documents: bool = False, hidden: list = ()) -> DataFrame:
-    """Nearest chunks to a stored one, with their band. balanced: two of a document at most."""
-    me = records.where(F.col("id") == chunk_id).select("embedding", "doc_id").first()
+def related(records: DataFrame, chunk_id, limit: int = DEFAULT_LIMIT, mode: str = "balanced", other_documents: bool = False, hidden: list = (), valid: Column | None = None, root: DataFrame | None = None) -> DataFrame:
+    """Nearest chunks to a stored one, with their band. balanced: two of a document at most.
+
+    valid is what a candidate must meet; it is asked of the pool of nearest ones, so fewer than limit may be left. root holds
+    the chunk (id, doc_id, embedding) if it is not stored or has no vector there, as free_text() makes it.
+    """
+    me = records.where((F.col("id") == chunk_id) & F.col("embedding").isNotNull()).select("embedding", "doc_id").first()
+    if me is None and root is not None:
+        me = root.where(F.col("id") == chunk_id).select("embedding", "doc_id").first()
     if me is None:
         return search.bands(records.where(F.lit(False)).withColumn("distance", F.lit(0.0)).withColumn("position", F.lit(0)), [])
     pool = search.nearest(search.visible(records, chunk_ids=[chunk_id, *hidden]), me["embedding"], POOL).withColumn("_all", F.lit(1))
+    if valid is not None:
+        pool = pool.where(F.coalesce(valid, F.lit(False)))
     source = F.col("doc_id").eqNullSafe(F.lit(me["doc_id"])) if other_documents else None
     chosen = search.balanced(pool, ["_all"], clamp_limit(limit), 2 if mode == "balanced" else None, source)
     return search.bands(chosen, ["_all"]).drop("_all")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.operators import documents, keyword, search
+from quillspark.operators import documents, keyword, search, walk
 from quillspark.plans import catalog
 from quillspark.plans.catalog import _L2, _bm25_sql, notes, query, query_vector, records, table
 from quillspark.sources.scratch import scratch_folder
@@ -451,6 +451,20 @@ def n09(spark, sf_dir):
     return search.by_tool(near, words, words.where("rank < 0"), 10).select("id", F.round("fused_score", 9).alias("fused_score"), "position")
 
 
+@query("f11_active", f"SELECT vec_id AS id FROM (SELECT vec_id, label FROM embeddings e, {catalog._Q0} ORDER BY {_L2}, vec_id LIMIT 25) WHERE label <> 4")
+def f11(spark, sf_dir):
+    """The open document's chunks leave after the limit."""
+    return search.without_active(search.nearest(records(spark, sf_dir), query_vector(spark, sf_dir), 25), "note-4.md").select("id")
+
+
+@query("f20_valid_candidates", f"WITH pool AS (SELECT vec_id, label, {_L2} AS d FROM embeddings e, {catalog._Q0} WHERE vec_id <> (SELECT vec_id FROM embeddings ORDER BY (vec_id <> 0)::INT, vec_id LIMIT 1) ORDER BY d, vec_id LIMIT 40), two AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS nth FROM pool WHERE label <> 4) SELECT vec_id AS id FROM two WHERE nth <= 2 ORDER BY d, vec_id LIMIT 8")
+def f20(spark, sf_dir):
+    """Related chunks of which the caller finds some not valid."""
+    rows = records(spark, sf_dir)
+    first = rows.orderBy((F.col("id") != 0).cast("int"), "id").first()["id"]
+    return walk.related(rows, first, valid=F.col("doc_id") != 4).select("id")
+
+
 @query("n07_by_document", f"SELECT vec_id AS id, round({_L2}, 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE label IS DISTINCT FROM (SELECT label FROM embeddings WHERE vec_id = 3) ORDER BY {_L2}, vec_id LIMIT 10")
 def n07(spark, sf_dir):
     rows = records(spark, sf_dir)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import struct
 import tarfile
 import urllib.request
+from urllib.parse import unquote, urlparse
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -31,8 +33,22 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", (F.unix_micros("modificationTime") / 1000).alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, mtime of all files below a folder, without their content."""
+def refuse_links(folder: str) -> None:
+    """Fail where a symbolic link lies below a local folder, or is that folder; other stores have none."""
+    parts = urlparse(folder)
+    if parts.scheme not in ("", "file"):
+        return
+    root = unquote(parts.path)
+    for at, folders, files in os.walk(root):
+        for name in (at, *(os.path.join(at, n) for n in (*folders, *files))):
+            if os.path.islink(name):
+                raise ValueError(f"{name} is a symbolic link")
+
+
+def list_files(spark: SparkSession, folder: str, links: bool = False) -> DataFrame:
+    """path, length, mtime of all files below a folder, without their content. Symbolic links fail unless allowed."""
+    if not links:
+        refuse_links(folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", "length", (F.unix_micros("modificationTime") / 1000).alias("mtime"))
 

@@ -6,6 +6,7 @@ import json
 import random
 import tarfile
 import threading
+import time
 import zipfile
 from urllib.parse import parse_qs, urlparse
 
@@ -205,6 +206,30 @@ def test_a_table_of_queries_is_as_many_queries(spark):
     assert all(len({str(x) for x in same}) == 1 for same in alike.values()) and len(alike) > 100
 
 
+def test_time_of_a_batch_and_links(spark, tmp_path):
+    def slow(texts):
+        time.sleep(0.6 if "slow" in texts else 0)
+        return chunking.hashing_encoder(texts)
+
+    assert (chunking.encode_pack(["a", "b"], slow, 0.3) == chunking.hashing_encoder(["a", "b"])).all()
+    with pytest.raises(TimeoutError):
+        chunking.encode_pack(["a", "slow"], slow, 0.3)  # no second try text by text
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "in/deep/a.bin").write_bytes(b"123")
+    assert [r.length for r in connect.list_files(spark, f"file://{tmp_path}/in").collect()] == [3]
+    (tmp_path / "in/deep/b.bin").symlink_to(tmp_path / "in/deep/a.bin")
+    with pytest.raises(ValueError, match="symbolic link"):
+        connect.list_files(spark, f"file://{tmp_path}/in")
+
+
+def test_a_walk_from_a_text_that_is_not_stored(spark):
+    rows = chunking.embed(spark.createDataFrame([(i, i, "d", t) for i, t in enumerate(["brown foxes", "brown fox", "blue sea"])], "id string, seq long, doc_id string, document string"), "document")
+    root = walk.free_text("brown fox", chunking.embed, spark)
+    found = walk.related(rows, "transient::chunk-0", root=root).orderBy("position").collect()
+    assert [r.id for r in found] == ["1", "0"] and walk.related(rows, "transient::chunk-0").count() == 0
+    assert [r.id for r in walk.related(rows, "transient::chunk-0", root=root, valid=F.col("id") != "1").orderBy("position").collect()] == ["0", "2"]
+
+
 def test_meta_types_and_vacuum(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.ensure("notes")
