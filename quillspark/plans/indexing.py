@@ -9,6 +9,7 @@ from quillspark.operators import documents, keyword, search, walk
 from quillspark.plans import catalog
 from quillspark.plans.catalog import _L2, _bm25_sql, notes, query, query_vector, records, table
 from quillspark.sources.scratch import scratch_folder
+from quillspark.streaming import store_changes
 
 _FILES = catalog._FILES
 _XOR = "lower(" + " || ".join(f"printf('%08x', coalesce(bit_xor(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT), 0))" for i in range(8)) + ")"
@@ -238,9 +239,11 @@ def d05_batches(spark, sf_dir):
     return store.read("vectors").select("id", "title", "seq")
 
 
-@query("s07_changes", "SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, 'replaced' AS kind FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT 'new-' || lpad(vec_id::VARCHAR, 12, '0'), 'inserted' FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT lpad(vec_id::VARCHAR, 12, '0'), 'deleted' FROM embeddings WHERE label = 2 AND vec_id % 3 <> 0")
-def s07_changes(spark, sf_dir):
-    """What the commits after a version did: a batch of replaced and new records, and a document's deletion."""
+_CHANGES = "SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, 'replaced' AS kind FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT 'new-' || lpad(vec_id::VARCHAR, 12, '0'), 'inserted' FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT lpad(vec_id::VARCHAR, 12, '0'), 'deleted' FROM embeddings WHERE label = 2 AND vec_id % 3 <> 0"
+
+
+def _changed(spark, sf_dir):
+    """A store that got a batch of replaced and new records and lost a document, and the version before that."""
     store = filled(spark, sf_dir)
     since = store.version("vectors")
     rows = store.read("vectors").drop("seq")
@@ -249,9 +252,26 @@ def s07_changes(spark, sf_dir):
     added = rows.where(number % 7 == 0).select(F.concat(F.lit("new-"), F.col("id")).alias("id"), F.lit("added").alias("doc_id"), *[c for c in rows.columns if c not in ("id", "doc_id")])
     store.upsert("vectors", changed.unionByName(added), encoded=True)
     store.delete_document("vectors", "note-2")
+    return store, since
+
+
+@query("s07_changes", _CHANGES)
+def s07_changes(spark, sf_dir):
+    """What the commits after a version did."""
+    store, since = _changed(spark, sf_dir)
     return store.changes("vectors", since).select("id", "kind")
 
 
+@query("s07_change_stream", _CHANGES)
+def s07_change_stream(spark, sf_dir):
+    """The same as a stream, from the first commit: what came with the first batch is left out behind it."""
+    store, since = _changed(spark, sf_dir)
+    folder = scratch_folder(spark, "change-stream")
+    stream = store_changes.read_changes(spark, store.root, "vectors").select("version", "id", "kind").writeStream.format("parquet")
+    stream.option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").where(F.col("version") > since).select("id", "kind")
+
+
 @query("d14_resumed_copy", "SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, vec_id - (SELECT min(vec_id) FROM embeddings) AS seq FROM embeddings")
 def d14(spark, sf_dir):
     """A copy that broke after its second batch goes on behind it."""

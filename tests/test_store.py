@@ -184,3 +184,36 @@ def test_a_broken_copy_goes_on(spark, store, tmp_path, monkeypatch):
     store.upsert("notes", rows(spark, "z#0"))
     assert copy_collection(store, target, "notes", batch=3, clean=False)["target"] == 10  # goes on with the version it began with
     assert copy_collection(store, target, "notes", batch=3)["target"] == 11
+
+
+def test_changes_as_a_stream(spark, store, tmp_path):
+    """A view of the documents' chunks that follows the stream, stopped and started again, is the collection; the keyword index
+    follows by the same commits."""
+    from quillspark.operators import keyword
+    from quillspark.streaming import store_changes
+
+    view, batches = {}, []
+
+    def follow(df, n):
+        got = df.orderBy("version", "id").collect()
+        batches.append(sorted({r.version for r in got}))
+        for r in got:
+            view.pop(r.id, None) if r.kind == "deleted" else view.update({r.id: (r.seq, r.title, r.metadata)})
+
+    def run():
+        stream = store_changes.read_changes(spark, store.root, "notes").writeStream.foreachBatch(follow)
+        stream.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(300)
+
+    store.upsert("notes", rows(spark, "a#0", "b#0", "c#0"))
+    run()
+    assert set(view) == {"a#0", "b#0", "c#0"}
+    store.upsert("notes", rows(spark, "b#0", "d#0", title="new"))
+    store.delete_document("notes", "a")
+    store.compact("notes", whole=True)
+    run()
+    assert view == {r.id: (r.seq, r.title, r.metadata) for r in store.read("notes").collect()} and batches == [[1], [2, 3]]
+    index = keyword.KeywordIndex(store, "notes", f"file://{tmp_path}/index")
+    assert not index.backfill()
+    store.upsert("notes", rows(spark, "d#0", "e#0"))
+    assert index.follow() == store.version("notes") and not index.backfill()
+    assert {r.id for r in index.search(["text"]).collect()} == {"b#0", "c#0", "d#0", "e#0"}
