@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quillspark.operators import documents, walk
 from quillspark.plans import catalog
 from quillspark.plans.catalog import query, records, table
-from quillspark.streaming import changes, sessions
+from quillspark.streaming import changes, feed, sessions
 
 _EDGES = "edges AS (SELECT DISTINCT source, target FROM (SELECT o_custkey AS source, lead(o_custkey) OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderkey) AS target FROM orders) WHERE target IS NOT NULL)"
 _ROOT = "(SELECT min(source) FROM edges)"
@@ -273,3 +273,14 @@ def r16(spark, sf_dir):
     edges = F.transform("edges", lambda e: F.concat(e["source"], F.lit(">"), e["target"]))
     collapsed = F.transform(F.filter("nodes", lambda n: n["collapsed"]), lambda n: n["node"])
     return sessions.session_states(log).select("session", "root", "focus", joined(F.array_sort(F.transform("nodes", lambda n: n["node"]))).alias("nodes"), joined(F.array_sort(edges)).alias("edges"), joined("visited").alias("visited"), joined(F.array_sort(collapsed)).alias("collapsed"))
+
+
+@query("r03_live_feed")
+def r03_feed(spark, sf_dir):
+    """The feed of every user's events: clicks move the focus, errors delete, all others change a file. A fold with timers; tests
+    compare it with a plain version and its stream."""
+    click = F.col("event_type") == "click"
+    path = F.concat(F.lit("f"), (F.col("event_id") % 9).cast("string"), F.lit(".md"))
+    op = F.when(F.col("event_type") == "error", "delete").when(~click, "modify")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("workspace"), "ts", F.when(click, "focus").otherwise("change").alias("kind"), path.alias("path"), op.alias("op"), F.col("value").alias("mtime"))
+    return feed.released_changes(log)
