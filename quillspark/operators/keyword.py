@@ -183,10 +183,14 @@ def top(index: DataFrame, terms, n: int, average: float, k: int | None = None, t
         hits = term_hits(index, terms, touched)
         if records is not None and any(len(t) < GRAM for t in terms):
             hits = hits.unionByName(short_hits(records, terms))
-        hits = hits.persist()
+        hits = hits if k is None else hits.persist()
         df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term
         scored = _scored(hits, {i: _idf(n, d) for i, d in df.items()} or {0: 0.0}, average).orderBy("score", "seq")
-        return scored if k is None else scored.limit(k)
+        if k is None:
+            return scored
+        best = scored.limit(k).collect()  # k rows
+        hits.unpersist()
+        return spark.createDataFrame(best, "seq long, score double").orderBy("score", "seq")
     number = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])
     heads = of_terms(index, terms).select(F.try_element_at(number, F.col("gram")).alias("term"), "span", "n", "most", "least").persist()
     df = {r["term"]: r["n"] for r in heads.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
@@ -200,6 +204,8 @@ def top(index: DataFrame, terms, n: int, average: float, k: int | None = None, t
     held = spark.createDataFrame(best, "seq long, score double")
     rest = bounds.where((F.col("bound") >= limit - 1e-9) & ~F.col("span").isin(first)).select("span")
     few = [r["span"] for r in rest.limit(BROADCAST_ROWS + 1).collect()]
+    if len(few) <= 1000:
+        heads.unpersist()
     if not few:
         return held.orderBy("score", "seq")
     left = index.join(F.broadcast(rest) if len(few) <= BROADCAST_ROWS else rest, "span", "left_semi")
