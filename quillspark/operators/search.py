@@ -68,6 +68,54 @@ def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tup
     return q[keep], c[keep], d[keep]
 
 
+def measured(ck: np.ndarray, c: np.ndarray, qk: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, seq, distance) of at least the k nearest of a block of vectors for each query. The product of the matrices is
+    rounded; all within twice its error bound, and those that it can't tell, are measured directly in double precision."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq, cc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+        rough = qq[:, None] + cc[None] - 2 * q @ c.T
+        error = 4 * (q.shape[1] + 4) * 2.0**-24 * (qq + cc.max()) + 1e-12
+        most = min(k, len(ck))
+        limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + error
+        at, of = np.nonzero(~(rough > limit[:, None]))
+    return qk[at], ck[of], ((q[at].astype(np.float64) - c[of]) ** 2).sum(1)
+
+
+def first_ranks(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each query with their rank."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "seq")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def given(asked: list[tuple[int, list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and matrix of the queries of a call; there are at most QUERY_BLOCK, finite and of one dimension."""
+    if not 0 < len(asked) <= QUERY_BLOCK or len({len(v) for _, v in asked}) != 1 or not len(asked[0][1]):
+        raise ValueError(f"give 1 to {QUERY_BLOCK} vectors of one dimension")
+    q = np.array([v for _, v in asked], np.float32)
+    if not np.isfinite(q).all():
+        raise ValueError("a vector is not finite")
+    return np.array([i for i, _ in asked], np.int64), q
+
+
+def nearest_held(corpus: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """query_id, seq, distance, rank: the k nearest of packed vectors for a few queries (query_id, vector) that the caller
+    holds. They go to every task; a task passes on its own k best, so nothing but those is shuffled."""
+    qk, q = given(asked)
+
+    def search(batches):
+        held = []
+        for batch in batches:
+            for keys, data in zip(batch.column(0), batch.column(1)):
+                ck = np.frombuffer(keys.as_buffer(), np.int64)
+                c = np.frombuffer(data.as_buffer(), np.float32).reshape(len(ck), -1)
+                if c.shape[1] == q.shape[1]:
+                    held = [_best([*held, measured(ck, c, qk, q, k)], k)]
+        if held:
+            yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "seq", "distance"), held[0])))
+
+    return first_ranks(corpus.select("keys", "data").mapInArrow(search, "query_id long, seq long, distance double"), k)
+
+
 def nearest_packed(corpus: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, seq, distance, rank: the k nearest of packed vectors for each packed query. A pair of blocks is one matrix
     product; a task keeps the best k of the blocks it has met and passes on only those, and a window keeps the best of all.
@@ -82,15 +130,8 @@ def nearest_packed(corpus: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 q = np.frombuffer(qd.as_buffer(), np.float32).reshape(len(qk), -1)
                 if q.shape[1] != c.shape[1]:
                     continue
-                qq, cc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
-                rough = qq[:, None] + cc[None] - 2 * q @ c.T
-                # The product is rounded; all within twice its error bound are measured directly in double precision.
-                most = min(k, len(ck))
-                error = 4 * (q.shape[1] + 4) * 2.0**-24 * (qq + cc.max()) + 1e-12
-                limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + error
-                at, of = np.nonzero(rough <= limit[:, None])
-                held.append((qk[at], ck[of], ((q[at].astype(np.float64) - c[of]) ** 2).sum(1)))
-                size += len(at)
+                held.append(measured(ck, c, qk, q, k))
+                size += len(held[-1][0])
                 if size > HELD:
                     held = [_best(held, k)]
                     size = len(held[0][0])
@@ -102,8 +143,7 @@ def nearest_packed(corpus: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     pairs = corpus.select(F.col("keys").alias("ck"), F.col("data").alias("cd")).crossJoin(asked.select(F.col("keys").alias("qk"), F.col("data").alias("qd")))
     found = pairs.mapInArrow(search, "query_id long, seq long, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "seq")))
-    return ranked.where(F.col("rank") <= k)
+    return first_ranks(found, k)
 
 
 def nearest_batch(records: DataFrame, queries: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.functions import vector as V
-from quillspark.operators import chunking, documents, search, walk
+from quillspark.operators import chunking, documents, pivots, search, walk
+from quillspark.sources.scratch import scratch_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,6 +79,20 @@ def w01(spark, sf_dir):
     return search.nearest_batch(rows, asked, 10).select("query_id", "seq", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "t02_pruned_scan",
+    f"""SELECT query_id, seq, rank, round(distance, 6) AS distance FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS seq, {_L2} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2}, e.vec_id) AS rank
+  FROM embeddings e, (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 16) q) WHERE rank <= 10""",
+)
+def t02(spark, sf_dir):
+    """A request of sixteen vectors against all records, filed around centres."""
+    rows = records(spark, sf_dir)
+    asked = [(r.id, list(r.embedding)) for r in rows.orderBy("id").select("id", "embedding").limit(16).collect()]
+    index = pivots.PivotIndex.build(rows, scratch_folder(spark, "pivots"))
+    return index.nearest(asked, 10).select("query_id", "seq", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 @query("m03_cosine", f"SELECT e.vec_id AS id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM embeddings e, {_Q0}")
 def m03(spark, sf_dir):
     return records(spark, sf_dir).select("id", F.round(V.cosine(F.col("embedding"), V.literal(query_vector(spark, sf_dir))), 6).alias("cosine"))
