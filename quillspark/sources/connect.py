@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from quillspark.functions import rules
@@ -78,27 +78,72 @@ def unpack_batches(batches: DataFrame) -> DataFrame:
     return checked.select(F.inline("rows"))
 
 
+def post_json(url: str, body: dict, timeout: float = 60):
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.load(answer)
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.url, self.page, self.fields = options["url"].rstrip("/"), int(options.get("page", PAGE)), options.get("include", "documents,metadatas,embeddings")
+        if not 1 <= self.page <= PAGE:
+            raise ValueError(f"a page has 1 to {PAGE} records")
+        self.where = json.loads(options["where"]) if "where" in options else None
+        self.ids = None
 
     def _get(self, path: str):
         with urllib.request.urlopen(f"{self.url}/{path}", timeout=60) as answer:
             return json.load(answer)
 
+    def pushFilters(self, filters):
+        """Filters on the id become the ids of the request; all others stay with Spark."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("id",):
+                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                asked.discard(None)
+                self.ids = asked if self.ids is None else self.ids & asked
+            else:
+                yield f
+
     def partitions(self):
+        if self.ids is not None:
+            ids = sorted(self.ids)
+            return [InputPartition(("ids", ids[at : at + self.page])) for at in range(0, len(ids), self.page)] or [InputPartition(("ids", []))]
+        if self.where is not None:
+            return [InputPartition(("where", None))]
         total = int(self._get("count"))
-        return [InputPartition((at, min(self.page, total - at))) for at in range(0, total, self.page)]
+        return [InputPartition(("page", (at, min(self.page, total - at)))) for at in range(0, total, self.page)]
 
     def read(self, partition) -> Iterator[tuple]:
-        at, wanted = partition.value
-        got = self._get(f"records?offset={at}&limit={wanted}&include={self.fields}")
+        kind, value = partition.value
+        if kind == "page":
+            at, wanted = value
+            got = self._get(f"records?offset={at}&limit={wanted}&include={self.fields}")
+            if len(got["ids"]) != wanted:
+                raise ValueError(f"the page at {at} has {len(got['ids'])} records, not {wanted}")
+            yield from self.rows(got, f"the page at {at}")
+        elif kind == "ids":
+            if value:
+                got = post_json(f"{self.url}/get", {"ids": value, "include": self.fields.split(",")} | ({"where": self.where} if self.where else {}))
+                if not set(got["ids"]) <= set(value):
+                    raise ValueError("the answer has records that were not asked for")
+                yield from self.rows(got, "the answer")
+        else:
+            at, n = 0, self.page
+            while n == self.page:  # what matches isn't counted: the first short page is the last
+                got = post_json(f"{self.url}/get", {"where": self.where, "offset": at, "limit": self.page, "include": self.fields.split(",")})
+                n = len(got["ids"])
+                if n > self.page:
+                    raise ValueError(f"the page at {at} has {n} records, more than {self.page}")
+                yield from self.rows(got, f"the page at {at}")
+                at += n
+
+    def rows(self, got: dict, name: str) -> Iterator[tuple]:
         ids = got["ids"]
-        if len(ids) != wanted:
-            raise ValueError(f"the page at {at} has {len(ids)} records, not {wanted}")
         columns = [got.get(c) or [None] * len(ids) for c in ("documents", "metadatas", "embeddings")]
         if any(len(c) != len(ids) for c in columns):
-            raise ValueError(f"columns of the page at {at} differ in length")
+            raise ValueError(f"columns of {name} differ in length")
         for i, d, m, e in zip(ids, *columns):
             yield i, d, None if m is None else json.dumps(m, ensure_ascii=False), e
 
@@ -106,7 +151,11 @@ class PagedReader(DataSourceReader):
 class PagedSource(DataSource):
     """spark.read.format("paged_vectors").option("url", ...): a vector store behind HTTP. GET count is the number of its
     records, GET records?offset=&limit=&include= a page of columns; each page is a partition, and a short one fails. option("include", "metadatas")
-    asks for metadata only."""
+    asks for metadata only.
+
+    Filters on the id are pushed down where spark.sql.python.filterPushdown.enabled is on: POST get with ids, a request a page
+    of them, and unknown ids have no row. option("where", ...) is a JSON object of equal metadata fields that the store applies: POST
+    get with where, offset and limit, by one task in turn."""
 
     @classmethod
     def name(cls):
@@ -119,9 +168,49 @@ class PagedSource(DataSource):
         return PagedReader(self.options)
 
 
-def read_paged(spark: SparkSession, url: str, page: int = PAGE, include: str = "documents,metadatas,embeddings") -> DataFrame:
+def read_paged(spark: SparkSession, url: str, page: int = PAGE, include: str = "documents,metadatas,embeddings", where: dict | None = None) -> DataFrame:
+    """The records of a store behind HTTP. Turns on filters pushed to Python sources in this session."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedSource)
-    return spark.read.format("paged_vectors").option("url", url).option("page", str(page)).option("include", include).load()
+    rows = spark.read.format("paged_vectors").option("url", url).option("page", str(page)).option("include", include)
+    return (rows if where is None else rows.option("where", json.dumps(where))).load()
+
+
+def nearest_remote(queries: DataFrame, url: str, n: int = 5, batch: int = 64, timeout: float = 60) -> DataFrame:
+    """query_id, rank, id, document, metadata, distance: what a store behind HTTP finds nearest to each vector of queries
+    (query_id, embedding), by POST query with as many vectors a request. Null vectors are not asked about; a missing document is empty,
+    missing metadata an empty object, a missing distance 0. An answer for another number of vectors fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for lo in range(0, rows.num_rows, batch):
+                part = rows.slice(lo, batch)
+                keys, vectors = part.column(0), part.column(1).to_pylist()
+                got = post_json(f"{url.rstrip('/')}/query", {"query_embeddings": vectors, "n_results": n, "include": ["documents", "metadatas", "distances"]}, timeout)
+                if len(got["ids"]) != len(vectors):
+                    raise ValueError(f"{len(got['ids'])} answers for {len(vectors)} vectors")
+                counts = [len(i) for i in got["ids"]]
+                column = lambda c, missing, form=lambda x: x: [form(x) for x in _answers(got, c, counts, missing)]  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array([r + 1 for m in counts for r in range(m)], pa.int32()), pa.array(column("ids", ""), pa.string()),
+                        pa.array(column("documents", ""), pa.string()), pa.array(column("metadatas", {}, lambda m: json.dumps(m, ensure_ascii=False)), pa.string()), pa.array(column("distances", 0.0, float), pa.float64()),
+                    ],
+                    ["query_id", "rank", "id", "document", "metadata", "distance"],
+                )
+
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    return asked.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, rank int, id string, document string, metadata string, distance double")
+
+
+def _answers(got: dict, name: str, counts: list[int], missing) -> list:
+    """A column of an answer over all its vectors, as long as the ids; what isn't there is the missing value."""
+    lists = got.get(name) or []
+    out = []
+    for i, n in enumerate(counts):
+        found = (lists[i] if i < len(lists) else None) or []
+        out += [missing if x is None else x for x in (*found[:n], *[None] * (n - len(found)))]
+    return out
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
