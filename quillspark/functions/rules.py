@@ -35,6 +35,8 @@ SAFE_TOKEN, MOST_EVIDENCE = r"^[A-Za-z0-9._:-]{1,40}$", 4
 ILLEGAL_INSTRUCTION = 3221225501
 CONTEXT_NUMBERS = {"durationMs": 86_400_000, "receivedBytes": 2**53 - 1, "retryCount": 100, "copiedRecords": 2**53 - 1, "totalRecords": 2**53 - 1, "sourceBytes": 2**53 - 1}
 WORKER_BYTES, BYTES_PER_WEIGHT = 180 * 1024 * 1024, 3.5
+#: Fixed pattern: files that hold weights.
+WEIGHT_FILES = r"\.onnx(_data)?$"
 LOWEST_ZOOM, HIGHEST_ZOOM = 0.4, 1.8
 DOWNLOADING, LOADING = ("progress", "download", "downloading", "initiate"), ("done", "loading", "loaded")
 

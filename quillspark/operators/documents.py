@@ -251,3 +251,19 @@ def manifest_status(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def by_latency(hosts: DataFrame) -> DataFrame:
     """hosts (latency, position): fastest first, unreachable ones last."""
     return hosts.orderBy(F.col("latency").asc_nulls_last(), "position")
+
+
+def surplus(files: DataFrame, keys: list[str], keep: int, named: list[str] = ()) -> DataFrame:
+    """The files (keys, name, mtime) to delete: all of a folder (keys) but the newest so many, and but those named. Of equal times
+    the greater name is newer, files without a time are the oldest, one without a name is never named."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("mtime"), F.desc_nulls_last("name")))
+    over = files.withColumn("_nth", nth).where(F.col("_nth") > keep).drop("_nth")
+    return over.where(~F.coalesce(F.col("name").isin(list(named)), F.lit(False))) if named else over
+
+
+def manifest_sizes(files: DataFrame, key: str) -> DataFrame:
+    """key, download, weights, memory of manifests (key, path, size): the bytes of all files of a model, of its weights, and the
+    memory that a worker is expected to take. Null sizes count as nothing."""
+    size = F.coalesce(F.col("size").cast("long"), F.lit(0))
+    weights = F.sum(F.when(F.coalesce(F.col("path").rlike(rules.WEIGHT_FILES), F.lit(False)), size).otherwise(0))
+    return files.groupBy(key).agg(F.sum(size).alias("download"), weights.alias("weights")).withColumn("memory", rules.model_memory(F.col("weights")))

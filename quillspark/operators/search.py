@@ -25,6 +25,8 @@ RRF_K = 60
 MAX_WEIGHT, DEFAULT_WEIGHT = 3.0, 1.0
 MAX_TERMS, MAX_SHORT_TERMS, MAX_WINDOWS = 32, 8, 24
 BM25_K1, BM25_B, BM25_FLOOR = 1.2, 0.75, 1e-6
+#: Fixed value: hits of the picker.
+PICKER = 12
 #: Rows of a block of the batched search.
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
 #: Results that a task of the batched search holds.
@@ -278,6 +280,13 @@ def hybrid(records: DataFrame, vector, text: str, k: int, weight: float = DEFAUL
     return rows.select("id", "seq", "distance", "fused_score", F.array_compact(F.array("by_vector", "by_keyword")).alias("matched_by"), "position").orderBy("position")
 
 
+def picked(records: DataFrame, vector, text: str, weight: float = DEFAULT_WEIGHT) -> DataFrame:
+    """hybrid() as a picker lists it: PICKER hits with place, their order by distance, and by the fused position where that is
+    equal. The fused order chooses the hits and is otherwise given up."""
+    place = F.row_number().over(Window.orderBy("distance", "position"))  # PICKER rows
+    return hybrid(records, vector, text, PICKER, weight).withColumn("place", place).orderBy("place")
+
+
 def by_tool(near: DataFrame, words: DataFrame, short: DataFrame, limit: int) -> DataFrame:
     """id, fused_score, matched_by, position: lists of the tool server (id, rank), each of weight 1; without keyword hits
     the vector list alone."""

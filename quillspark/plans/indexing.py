@@ -416,6 +416,19 @@ def n08(spark, sf_dir):
     return found.select("id", F.round("distance", 6).alias("distance"), F.round("fused_score", 9).alias("fused_score"), F.array_join("matched_by", "+").alias("matched_by"), "position")
 
 
+@query("t16_picker", f"WITH {_DOCS}, {_NEAR.format(n=60)}, {_WORDS.format(n=60)}, {_HYBRID.format(a='1.0::DOUBLE', b='2.0::DOUBLE').replace('position <= 10', 'position <= 12')} SELECT p.id, round(distance, 6) AS distance, (row_number() OVER (ORDER BY distance, position))::INT AS place FROM p JOIN docs USING (id)")
+def t16(spark, sf_dir):
+    found = search.picked(_with_vectors(spark, sf_dir), query_vector(spark, sf_dir), "tion the ein", 2.0)
+    return found.select("id", F.round("distance", 6).alias("distance"), "place")
+
+
+@query("t17_surplus", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id::VARCHAR DESC) AS n FROM documents) WHERE n > 20 AND doc_id <> 7")
+def t17(spark, sf_dir):
+    """Documents as files of their source's folder, their length as time."""
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("mtime"), "doc_id")
+    return documents.surplus(files, ["folder"], 20, named=["7"]).select("doc_id")
+
+
 # A table of queries: two words of each benchmark item that do not overlap themselves, and the vector of its number.
 
 _ALONE = "list_filter(w, lambda t, p: list_position(w, t) = p AND len(list_filter(range(1, length(t)), lambda i: t[:i] = t[-i:])) = 0)"

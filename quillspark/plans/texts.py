@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import rules as R
 from quillspark.functions import text as T
 from quillspark.functions import vector as V
-from quillspark.operators import chunking
+from quillspark.operators import chunking, documents
 from quillspark.plans.catalog import ORACLES, query, records, table
 
 _PATH = "source || '/' || doc_id || '.md'"
@@ -160,6 +160,14 @@ def x30(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", R.format_bytes(F.col("n_chars") * 250000.0).alias("size"), R.parameter_count(size).alias("parameters"))
 
 
+@query("a17_manifests", "SELECT source AS model, sum(size)::BIGINT AS download, sum(CASE WHEN kind IN (0, 1) THEN size ELSE 0 END)::BIGINT AS weights, round(188743680 + 3.5::DOUBLE * sum(CASE WHEN kind IN (0, 1) THEN size ELSE 0 END))::BIGINT AS memory FROM (SELECT source, doc_id % 4 AS kind, n_chars * 1000::BIGINT AS size FROM documents) GROUP BY source")
+def a17(spark, sf_dir):
+    """Documents as files of a model for each source: weights in two forms, and files whose names only hold theirs."""
+    ends = F.element_at(F.array(*map(F.lit, (".onnx", ".onnx_data", ".json", ".onnx.txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = docs(spark, sf_dir).select(F.col("source").alias("model"), F.concat("path", ends).alias("path"), (F.col("n_chars") * F.lit(1000).cast("long")).alias("size"))
+    return documents.manifest_sizes(files, "model")
+
+
 @query("x31_folder", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE {_PATH} END AS folder FROM documents")
 def x31(spark, sf_dir):
     root = F.lit("/home/me/vault/")

@@ -271,6 +271,31 @@ def http_client(url: str, model: str, timeout: float = 120) -> Callable[[str], s
     return ask
 
 
+def list_models(spark: SparkSession, url: str, timeout: float = 30) -> DataFrame:
+    """name, size, modified_at, details (JSON): the models that a service has (GET tags); an answer without a list has none."""
+    with urllib.request.urlopen(f"{url.rstrip('/')}/api/tags", timeout=timeout) as answer:
+        got = json.load(answer).get("models")
+    rows = [(m.get("name"), m.get("size"), m.get("modified_at"), json.dumps(m.get("details"))) for m in got] if isinstance(got, list) else []
+    return spark.createDataFrame(rows, "name string, size long, modified_at string, details string")
+
+
+def show_models(models: DataFrame, url: str, timeout: float = 30) -> DataFrame:
+    """name, shown (JSON), error of models (name): what a service tells about each (POST show); one that fails is told so and the
+    others go on. Null names are not asked about."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name in pdf["name"]:
+                try:
+                    out.append((name, json.dumps(post_json(f"{url.rstrip('/')}/api/show", {"model": name}, timeout)), None))
+                except Exception as e:  # noqa: BLE001 - told in the row
+                    out.append((name, None, str(e)))
+            yield pd.DataFrame(out, columns=["name", "shown", "error"])
+
+    return models.where(F.col("name").isNotNull()).select("name").mapInPandas(run, "name string, shown string, error string")
+
+
 def summarized(docs: DataFrame, ask: Callable[[str], str], template: str, max_chars: int = 20_000, fall_back: bool = True) -> DataFrame:
     """docs (text) with query_text, used_summary, error: the summary a client gives for each text, or the text itself where
     it gives none or fails. Empty texts are not asked about."""

@@ -31,11 +31,15 @@ def store():
             asked = urlparse(self.path)
             q = {k: v[0] for k, v in parse_qs(asked.query).items()}
             seen.append((asked.path, q))
+            if asked.path == "/api/tags":
+                return self.answer({"models": [{"name": "m1", "size": 5, "details": {"family": "x"}}, {"name": "m2"}]})
             self.answer(len(RECORDS) if asked.path == "/count" else columns(RECORDS[int(q["offset"]) :][: int(q["limit"])], q["include"]))
 
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
             seen.append((self.path, body))
+            if self.path == "/api/show":
+                return self.answer({"about": body["model"]}) if body["model"] != "m2" else self.send_error(404)
             if self.path == "/get":
                 rows = [r for r in RECORDS if ("ids" not in body or r[0] in body["ids"]) and all((r[2] or {}).get(k) == v for k, v in (body.get("where") or {}).items())]
                 at = body.get("offset", 0)
@@ -90,3 +94,11 @@ def test_nearest_records_of_a_service(spark, store):
     assert [len(b["query_embeddings"]) for _, b in seen] == [2, 1]
     assert {r.distance for r in connect.nearest_remote(asked, url, 2).collect()} == {0.0}
     assert connect.nearest_remote(asked.limit(0), url).count() == 0
+
+
+def test_models_of_a_service(spark, store):
+    url, _ = store
+    models = connect.list_models(spark, url)
+    assert [(r.name, r.size, r.details) for r in models.orderBy("name").collect()] == [("m1", 5, '{"family": "x"}'), ("m2", None, "null")]
+    shown = {r.name: r for r in connect.show_models(models.union(spark.createDataFrame([(None, 1, "", "")], models.schema)), url).collect()}
+    assert json.loads(shown["m1"].shown) == {"about": "m1"} and shown["m2"].shown is None and "404" in shown["m2"].error and len(shown) == 2
