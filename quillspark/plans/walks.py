@@ -220,15 +220,15 @@ def w13(spark, sf_dir):
 @query(
     "w13_blocks",
     """WITH t AS (SELECT user_id, ts, ts + INTERVAL 12 HOURS AS gone FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-m AS (SELECT user_id, at, sum(step) AS step FROM (SELECT user_id, ts AS at, 1 AS step FROM t UNION ALL SELECT user_id, gone, -1 FROM t) GROUP BY user_id, at),
-c AS (SELECT user_id, at, sum(step) OVER (PARTITION BY user_id ORDER BY at) >= 3 AS full FROM m),
-d AS (SELECT *, coalesce(lag(full) OVER (PARTITION BY user_id ORDER BY at), false) AS was FROM c)
-SELECT user_id AS key, CASE WHEN full THEN 'blocked' ELSE 'released' END AS change, at FROM d WHERE full <> was""",
+m AS (SELECT user_id, moment, sum(step) AS step FROM (SELECT user_id, ts AS moment, 1 AS step FROM t UNION ALL SELECT user_id, gone, -1 FROM t) GROUP BY user_id, moment),
+c AS (SELECT user_id, moment, sum(step) OVER (PARTITION BY user_id ORDER BY moment) >= 3 AS held FROM m),
+d AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY user_id ORDER BY moment), false) AS was FROM c)
+SELECT user_id AS key, CASE WHEN held THEN 'blocked' ELSE 'released' END AS change, moment FROM d WHERE held <> was""",
 )
 def w13_blocks(spark, sf_dir):
     """Users as hosts, their events as crashes, in half a day."""
     found = blocks.block_changes(table(spark, sf_dir, "events"), "user_id", "ts", 12 * 3600)
-    return found.select("key", "change", F.col("at").cast("timestamp_ntz").alias("at"))
+    return found.select("key", "change", F.col("at").cast("timestamp_ntz").alias("moment"))
 
 
 @query("w14_exit_windows", "WITH RECURSIVE t AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT user_id, event_id, ts, i, ts AS first, 1 AS n FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.event_id, t.ts, t.i, CASE WHEN t.ts - f.first >= INTERVAL 12 HOURS THEN t.ts ELSE f.first END, CASE WHEN t.ts - f.first >= INTERVAL 12 HOURS THEN 1 ELSE f.n + 1 END FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1) SELECT user_id AS key, ts, n::BIGINT AS count FROM f")
