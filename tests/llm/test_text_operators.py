@@ -226,6 +226,35 @@ def test_one_row_of_each_group_stays(spark, documents, near_rows):
     assert jaccard_join.drop_similar(documents([])).count() == 0
 
 
+def shuffled(spark, act):
+    """What act() gives, and the bytes that its stages wrote for shuffles."""
+    jsc = spark.sparkContext._jsc.sc()
+
+    def written():
+        jsc.listenerBus().waitUntilEmpty()
+        arrays, lists = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList()
+        stages = jsc.statusStore().stageList(lists, False, False, arrays, lists)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    found = act()
+    return found, written() - before
+
+
+def test_shuffle_stays_small_where_fragments_outnumber_shingles(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_ENTRIES", 1000)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passage = [word() for _ in range(7)]
+    rows = [[*(word() for _ in range(20)), *passage, *(word() for _ in range(20))] for _ in range(2000)]
+    for r in range(0, 20, 2):
+        rows[r + 1] = [*rows[r][:-2], "changed", "words"]  # 41 of 45 shingles
+    texts = documents([(i, " ".join(w), "en", "s") for i, w in enumerate(rows)]).coalesce(3)
+    got, size = shuffled(spark, lambda: jaccard_join.similar_documents(texts).collect())
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2 if i < 20 else i) for i in range(2000)]
+    assert size < 8 * sum(r.n_shingles for r in got)
+
+
 def test_components_settle(spark):
     from quillspark.llm.components import components
 
