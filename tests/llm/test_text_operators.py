@@ -241,20 +241,33 @@ def shuffled(spark, act):
     return found, written() - before
 
 
-def test_shuffle_stays_small_where_fragments_outnumber_shingles(spark, documents, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FRAGMENT_ENTRIES", 1000)
+@pytest.fixture(scope="module")
+def lonely_rows():
+    """Texts with a passage that all share, of which ten have a partner."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
     passage = [word() for _ in range(7)]
     rows = [[*(word() for _ in range(20)), *passage, *(word() for _ in range(20))] for _ in range(2000)]
     for r in range(0, 20, 2):
         rows[r + 1] = [*rows[r][:-2], "changed", "words"]  # 41 of 45 shingles
-    texts = documents([(i, " ".join(w), "en", "s") for i, w in enumerate(rows)]).coalesce(3)
-    got, size = shuffled(spark, lambda: jaccard_join.similar_documents(texts).collect())
+    return [(i, " ".join(w), "en", "s") for i, w in enumerate(rows)]
+
+
+def test_shuffle_stays_small_where_fragments_outnumber_shingles(spark, documents, lonely_rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_ENTRIES", 1000)
+    got, size = shuffled(spark, lambda: jaccard_join.similar_documents(documents(lonely_rows).coalesce(3)).collect())
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2 if i < 20 else i) for i in range(2000)]
     assert size < 8 * sum(r.n_shingles for r in got)
 
 
+def test_dropping_rows_shuffles_no_texts(spark, documents, lonely_rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_ENTRIES", 1000)
+    monkeypatch.setattr(jaccard_join.join_small, "__defaults__", ("inner", 5))
+    got, size = shuffled(spark, lambda: jaccard_join.drop_similar(documents(lonely_rows).coalesce(3)).collect())
+    assert sorted(r.doc_id for r in got) == [i for i in range(2000) if i >= 20 or i % 2 == 0]
+    assert size < 8 * 43 * 2000
+
+
 def test_components_settle(spark):
     from quillspark.llm.components import components
 
