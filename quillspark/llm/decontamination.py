@@ -53,7 +53,8 @@ MEASURE_TOKEN = rf"(?i){_START}{_NUMBER}{_EDGE}{_SPACE}?{_UNIT}({_EDGE}){_END}"
 UNIT_SPACE = rf"(?i)({_START}{_NUMBER}{_EDGE}){_SPACE}(?={_UNIT}{_EDGE}{_END})"
 _NAME = r"\p{Lu}[\p{L}'’\-]*"
 #: By kind of template: runs of names, and the spaces inside them. 'Mary Ann' is one token, as 'Tom' is.
-NAMES = (rf"{_START}{_NAME}(?:[\x20\x09]+{_NAME})*{_EDGE}{_END}", None)
+#: Java's loop over a group calls itself for each turn unless it is possessive; so each further name looks ahead to its end.
+NAMES = (rf"{_START}{_NAME}(?:[\x20\x09]+{_NAME}+(?={_EDGE}{_END}))*+{_EDGE}{_END}", None)
 NAME_SPACES = (rf"((?:{_START}|(?<=[\x20\x09{JOIN}])){_NAME})[\x20\x09]+(?={_NAME}{_EDGE}(?:{_END}|(?=[\x20\x09])))", None)
 
 

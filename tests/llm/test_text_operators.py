@@ -116,6 +116,13 @@ def test_slots_of_other_lengths_and_single_words_are_bridged(spark, documents):
     assert rows[7, 2].matched == rows[7, 2]["of"]
 
 
+def test_long_runs_of_capitalised_words(spark, documents):
+    bench = spark.createDataFrame([(1, TRIP)], BENCH)
+    runs = ["Von " * 50_000, "Anna, " * 20_000, "O'Neil\t" * 50_000, "Mary Ann Smith2 " * 10_000]
+    docs = documents([(i, r + TRIP + " " + r, "en", "s") for i, r in enumerate(runs)] + [(9, runs[0], "en", "s")])
+    assert {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()} == {0, 1, 2, 3}
+
+
 LOWERED = QUESTION.lower().replace("3", "three").replace("12", "twelve").replace("9", "nine")
 COLLAPSED = QUESTION.replace("12", "3").replace("9", "3").replace("Anna", "Tom")
 
