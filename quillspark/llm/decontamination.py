@@ -11,11 +11,13 @@ item for one name, as in a question whose numbers and names were exchanged. Of t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import WORD, join_small, materialize, utf8
+from quillspark.llm.common import BROADCAST_ROWS, WORD, join_small, materialize, utf8
 
 #: Tokens of a window, and how many of them must be no slots.
 WINDOW, MIN_LITERALS = 8, 4
@@ -73,12 +75,13 @@ def with_numbers(rows: DataFrame, text: str, into: str) -> DataFrame:
     return rows.withColumn(into, F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, MEASURE_TOKEN, NUMBER + UNIT + "$1"), NUMBER_TOKEN, NUMBER + "$1")).otherwise(t))
 
 
-def with_template(rows: DataFrame, typed: str, into: str, kind: int) -> DataFrame:
-    """rows with array column `into`: the tokens of one kind of template, from what with_numbers() gives."""
+def with_template(rows: DataFrame, typed: str, into: str, kind: int, of: Callable[[Column], Column] = lambda w: w) -> DataFrame:
+    """rows with array column `into`: the tokens of one kind of template, or what `of` makes of each, from what with_numbers() gives."""
     t = F.col(into)
     rows = rows.withColumn(into, F.col(typed) if NAMES[kind] is None else F.regexp_replace(F.col(typed), NAMES[kind], NAME))
-    rows = rows.withColumn(into, F.regexp_extract_all(F.lower(F.translate(t, PUNCTUATION, "")), F.lit(WORD), F.lit(0)))
-    return rows.withColumn(into, F.transform(t, lambda w: F.when(w.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(w)))
+    # PUNCTUATION by a pattern: translate() makes a string of each character.
+    rows = rows.withColumn(into, F.regexp_extract_all(F.lower(F.regexp_replace(t, r"\p{Punct}+", "")), F.lit(WORD), F.lit(0)))
+    return rows.withColumn(into, F.transform(t, lambda w: of(F.when(w.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(w))))
 
 
 def raw_tokens(text: Column, kind: int) -> Column:
@@ -91,35 +94,11 @@ def is_slot(token: Column) -> Column:
     return token.startswith(NUMBER) | token.startswith(UNIT) | token.startswith(NAME)
 
 
-def with_windows(rows: DataFrame, tokens: str, lengths: list[int], kind: int, into: str) -> DataFrame:
-    """rows with array column `into`: for each length the array of the hashes of all windows of so many tokens; null if
-    there are fewer. Explode it with an outer generator: for others Spark infers a filter that holds the whole expression
-    once for each window. Spans of 1, 2, 4 and 8 tokens are hashed once for all lengths."""
-    spans = {1: f"{into}_1"}
-    rows = rows.withColumn(spans[1], F.transform(tokens, lambda w: F.xxhash64(w)))
-    size = F.size(tokens)
-
-    def at_all(length, seed, parts):
-        # Arrays are arguments, never read inside a lambda: a projection that Spark merges would be evaluated for each token.
-        (w, _), *more = parts
-        hashes = F.transform(F.col(spans[w]), lambda x: F.xxhash64(*seed, x))
-        for w, k in more:
-            hashes = F.zip_with(hashes, F.slice(F.col(spans[w]), F.lit(k + 1), size), lambda x, y: F.xxhash64(x, y))
-        return F.when(size >= length, F.slice(hashes, F.lit(1), F.greatest(size - (length - 1), F.lit(0))))
-
-    while 2 * max(spans) <= max(lengths, default=0):
-        w = max(spans)
-        spans[2 * w] = f"{into}_{2 * w}"
-        rows = rows.withColumn(spans[2 * w], at_all(2 * w, [], [(w, 0), (w, w)]))
-    found = []
-    for length in lengths:
-        parts, k = [], 0
-        for w in sorted(spans, reverse=True):
-            while length - k >= w:
-                parts.append((w, k))
-                k += w
-        found.append(at_all(length, [F.lit(kind), F.lit(length)], parts))
-    return rows.withColumn(into, F.array(*found)).drop(*spans.values())
+def window_hash(hashes: Column, at: Column, kind: Column, length: int) -> Column:
+    """The hash of the window of `length` tokens at a position, from the array of the tokens' hashes; null if it is not whole.
+    Use it behind posexplode_outer(), in compiled code: functions of arrays run their lambdas uncompiled, token by token. For
+    other generators Spark infers a filter that holds the whole expression of the array once more."""
+    return F.when(at + length <= F.size(hashes), F.xxhash64(kind, F.lit(length), *[F.get(hashes, at + k) for k in range(length)]))
 
 
 def window_length(tokens: Column, window: int) -> Column:
@@ -129,9 +108,9 @@ def window_length(tokens: Column, window: int) -> Column:
     return F.when(short, F.lit(SHORT)).otherwise(F.least(tokens, F.lit(window)))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> tuple[DataFrame, DataFrame, dict[int, list[int]]]:
-    """(items, windows, lengths): item_key, item_id, kind, template, raw, length; item_key, kind, length, tokens, item_pos, hash, of;
-    the windows' lengths by kind.
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(items, windows, lengths): item_key, item_id, kind, template, raw, length; item_key, kind, length, tokens, item_pos, head,
+    hash, of; the windows' lengths, ascending. head is the hash of a window's first tokens, of the least length.
     An item with fewer tokens than window is one window of its own length; window_length() has the others. Windows with too few literals are left out."""
     typed = with_numbers(benchmark.select("item_id", F.xxhash64("text").alias("item_key"), "text").distinct(), "text", "typed")
     items = None
@@ -140,20 +119,20 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals:
         items = mine if items is None else items.unionByName(mine)
     items = items.where(F.size("template") > 0).withColumn("length", window_length(F.size("template"), window))
     items = materialize(items, "bench-items")
-    lengths: dict[int, list[int]] = {}
-    for kind, length in sorted(tuple(r) for r in items.select("kind", "length").distinct().collect()):  # window values a kind at most
-        lengths.setdefault(kind, []).append(length)
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # window values at most
     windows = None
-    for kind, some in lengths.items():
-        for length in some:
-            mine = items.where((F.col("kind") == kind) & (F.col("length") == length)).select("item_key", "kind", "length", "template").distinct()
-            mine = with_windows(mine, "template", [length], kind, "windows").select("item_key", "kind", "length", "template", F.posexplode_outer(F.get("windows", F.lit(0))).alias("item_pos", "hash"))
-            literals = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, length), lambda w: ~is_slot(w)))
-            mine = mine.where(F.col("hash").isNotNull() & (literals >= min(min_literals, (length + 1) // 2))).select("item_key", "kind", "length", F.size("template").alias("tokens"), "item_pos", "hash")
-            mine = mine.withColumn("of", F.count("*").over(Window.partitionBy("item_key")))
-            windows = mine if windows is None else windows.unionByName(mine)
+    for length in lengths:
+        mine = items.where(F.col("length") == length).select("item_key", "kind", "length", "template", F.transform("template", lambda w: F.xxhash64(w)).alias("hashes")).distinct()
+        mine = mine.select("item_key", "kind", "length", "template", "hashes", F.posexplode_outer("hashes").alias("item_pos", "token"))
+        for column, n in (("head", lengths[0]), ("hash", length)):
+            mine = mine.withColumn(column, window_hash(F.col("hashes"), F.col("item_pos"), F.col("kind"), n))
+        literals = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, length), lambda w: ~is_slot(w)))
+        mine = mine.where(F.col("hash").isNotNull() & (literals >= min(min_literals, (length + 1) // 2))).select("item_key", "kind", "length", F.size("template").alias("tokens"), "item_pos", "head", "hash")
+        mine = mine.withColumn("of", F.count("*").over(Window.partitionBy("item_key", "kind")))
+        windows = mine if windows is None else windows.unionByName(mine)
     if windows is None:
-        windows = items.select("item_key", "kind", "length", F.lit(0).alias("tokens"), F.lit(0).alias("item_pos"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("of"))
+        zero = F.lit(0).cast("long")
+        windows = items.select("item_key", "kind", "length", F.lit(0).alias("tokens"), F.lit(0).alias("item_pos"), zero.alias("head"), zero.alias("hash"), zero.alias("of"))
     return items, materialize(windows, "bench-windows"), lengths
 
 
@@ -171,10 +150,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
         nothing = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[F.lit(0).cast("long").alias(c) for c in ("matched", "of", "slots", "changed")])
         return items.join(nothing, F.lit(False)).select("doc_id", "text_hash", "item_id", "matched", "of", "slots", "changed")
     rows = with_numbers(docs.select(F.xxhash64("text").alias("text_hash"), "text"), "text", "typed").drop("text")
-    for kind, some in lengths.items():
-        rows = with_windows(with_template(rows, "typed", "template", kind), "template", some, kind, f"windows_{kind}").drop("template")
-    rows = rows.select("text_hash", F.explode_outer(F.concat(*[f"windows_{kind}" for kind in lengths])).alias("windows"))
-    rows = rows.select("text_hash", F.posexplode_outer("windows").alias("doc_pos", "hash"))
+    for kind in range(len(NAMES)):
+        rows = with_template(rows, "typed", f"hashes_{kind}", kind, F.xxhash64)
+    rows = rows.select("text_hash", F.posexplode_outer(F.array(*[f"hashes_{kind}" for kind in range(len(NAMES))])).alias("kind", "hashes"))
+    rows = rows.select("text_hash", "kind", "hashes", F.posexplode_outer("hashes").alias("doc_pos", "token"))
+    at = lambda n: window_hash(F.col("hashes"), F.col("doc_pos"), F.col("kind"), n)
+    # Few positions have the first tokens of a window; only there the hashes of all lengths are made. Too many heads to broadcast
+    # are left out: rows still hold their arrays, which no shuffle should carry.
+    heads = windows.select("head").distinct()
+    if heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.withColumn("head", at(lengths[0])).join(F.broadcast(heads), "head", "left_semi")
+    rows = rows.select("text_hash", "doc_pos", F.explode_outer(F.array(*[at(n) for n in lengths])).alias("hash")).where(F.col("hash").isNotNull())
     key = ["text_hash", "item_key", "kind", "length", "of", "tokens"]
     hits = join_small(rows, windows, ["hash"]).select(*key, "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
     # Copies of a text match the same windows; distinct positions count once.

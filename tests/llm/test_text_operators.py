@@ -123,6 +123,40 @@ def test_long_runs_of_capitalised_words(spark, documents):
     assert {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()} == {0, 1, 2, 3}
 
 
+def most_generated(spark, run):
+    """The largest number of rows that one generator gave in the queries of run()."""
+    bus, store = spark._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty(30_000)
+    listed, most = store.executionsList(), 0
+    for e in range(before, store.executionsCount()):
+        number = listed.apply(e).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size()) if node.name() == "Generate"):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_items_of_other_lengths_make_no_more_rows(spark, documents, monkeypatch):
+    """A token gives one row by kind of template, however many lengths the windows have."""
+    items = {n: " ".join(f"item{chr(96 + n)}{chr(97 + i)}" for i in range(n)) for n in (*range(1, 10), 14, 30)}
+    bench = spark.createDataFrame(list(items.items()), BENCH)
+    pad = "some words that come before the item, and after it. " * 40
+    docs = documents([(n, pad + t + " " + pad, "en", "s") for n, t in items.items()] + [(99, pad + items[30][:60] + " " + pad, "en", "s"), (0, "", None, None)])
+    found = []
+    most = most_generated(spark, lambda: found.extend(decontamination.find_leaks(docs, bench).collect()))
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(n, n) for n in sorted(items)]
+    assert all(r.matched == r["of"] for r in found)
+    tokens = sum(len((r.text or "").split()) for r in docs.collect())
+    assert tokens <= most <= 2 * tokens + 2  # an empty text gives a row of nulls
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)  # as with more heads than may be broadcast
+    assert set(decontamination.find_leaks(docs, bench).collect()) == set(found)
+
+
 LOWERED = QUESTION.lower().replace("3", "three").replace("12", "twelve").replace("9", "nine")
 COLLAPSED = QUESTION.replace("12", "3").replace("9", "3").replace("Anna", "Tom")
 
