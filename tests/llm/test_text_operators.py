@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, jaccard_join, line_spread, quality, toxicity, url_rules
 
@@ -301,6 +302,26 @@ def test_shuffle_stays_small_where_fragments_outnumber_shingles(spark, documents
     assert size < 8 * sum(r.n_shingles for r in got)
 
 
+def test_tasks_of_the_count_hold_a_bounded_share(spark, documents, near_rows, monkeypatch):
+    """More pairs and more shingles make more groups, not larger ones, and the result stays the same."""
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_ENTRIES", 1000)
+    monkeypatch.setattr(jaccard_join, "SLAB_PAIRS", 100)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 30)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 200)
+    monkeypatch.setattr(jaccard_join, "HELD", 50)
+    seen, plain = [], jaccard_join.count_overlaps
+
+    def watched(candidates, segments, *rest):
+        segments, sizes = segments.cache(), segments.groupBy("fragment").agg(F.sum(F.octet_length("hashes") / 8).alias("n"))
+        seen.append((candidates.agg(F.sum(F.octet_length("a") / 8)).first()[0] or 0, sizes.agg(F.max("n")).first()[0] or 0))
+        return plain(candidates, segments, *rest)
+
+    monkeypatch.setattr(jaccard_join, "count_overlaps", watched)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(documents(near_rows).repartition(3)).collect())
+    assert got == sorted(brute_components([(i, t) for i, t, *_ in near_rows]))
+    assert max(n for n, _ in seen) > 300 and all(most <= 1000 for _, most in seen), seen
+
+
 def test_dropping_rows_shuffles_no_texts(spark, documents, lonely_rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FRAGMENT_ENTRIES", 1000)
     monkeypatch.setattr(jaccard_join.join_small, "__defaults__", ("inner", 5))
