@@ -349,7 +349,7 @@ def _index(spark, sf_dir):
     if key not in _INDEXES:
         folder = scratch_folder(spark, "postings")
         rows = notes(spark, sf_dir)
-        keyword.blocks(keyword.postings(rows)).repartition("bucket").sortWithinPartitions("bucket", "gram", "span").write.partitionBy("bucket").parquet(folder)
+        keyword.write_blocks(keyword.index_blocks(rows), folder)
         _INDEXES[key] = folder, *keyword.lengths(rows).agg(F.count("*"), F.avg("dl")).first()
     folder, n, average = _INDEXES[key]
     return spark.read.parquet(folder), n, average

@@ -3,6 +3,7 @@
 import http.server
 import io
 import json
+import os
 import random
 import tarfile
 import threading
@@ -289,3 +290,36 @@ def test_rules_of_texts(spark):
     assert one(T.truncate_utf8(F.lit("aé" * 10), 8)) == "aéaéa…" and one(T.truncate_utf8(F.lit("abc"), 8)) == "abc"
     assert one(T.redact(F.lit("key ABC-12345678 at C:\\x\\y"), license_prefix="ABC")) == "key <license-key> at <path>"
     assert one(rules.folder_in(F.lit("/v"), F.lit("/v/a/../b"))) is None
+
+
+def _texts(n):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    return [(i, " ".join(rng.choice(words) for _ in range(150))) for i in range(n)], words
+
+
+def _shuffled(spark):
+    """Bytes that stages have written for shuffles so far."""
+    jsc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    jsc.listenerBus().waitUntilEmpty()
+    stages = jsc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def built_index(spark, tmp_path_factory):
+    """The index that the queries build, of texts in files: (its folder, bytes shuffled, characters)."""
+    from quillspark.plans import indexing
+
+    folder, (docs, _) = tmp_path_factory.mktemp("built"), _texts(600)
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    before = _shuffled(spark)
+    index, n, average = indexing._index(spark, str(folder))
+    return index, n, average, _shuffled(spark) - before, sum(len(t) for _, t in docs)
+
+
+def test_building_the_index_shuffles_nothing_and_is_small(built_index):
+    """Postings were shuffled one by one, with places of four bytes and a length each."""
+    index, _, _, shuffled, chars = built_index
+    size = sum(os.path.getsize(p.removeprefix("file://")) for p in index.inputFiles())
+    assert shuffled < 2000 and size < 3 * chars, (shuffled, size, chars)
