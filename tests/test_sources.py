@@ -323,3 +323,16 @@ def test_building_the_index_shuffles_nothing_and_is_small(built_index):
     index, _, _, shuffled, chars = built_index
     size = sum(os.path.getsize(p.removeprefix("file://")) for p in index.inputFiles())
     assert shuffled < 2000 and size < 3 * chars, (shuffled, size, chars)
+
+
+def test_a_batch_of_queries_shuffles_packed_blocks(spark, built_index):
+    """Each hit of each trigram was shuffled with its places."""
+    index, n, average, _, chars = built_index
+    _, words = _texts(600)
+    asked = spark.createDataFrame([(q, words[2 * q : 2 * q + 2]) for q in range(100)], "query_id long, terms array<string>")
+    before = _shuffled(spark)
+    got = keyword.top_batch(index, asked, n, average, 5).collect()
+    written = _shuffled(spark) - before
+    assert len(got) == 500 and written < 3 * chars, (len(got), written, chars)
+    alone = keyword.top(index, words[2:4], n, average, 5).collect()
+    assert sorted((r.rank, r.seq, round(r.score, 9)) for r in got if r.query_id == 1) == [(i, r.seq, round(r.score, 9)) for i, r in enumerate(alone, 1)]
