@@ -114,9 +114,21 @@ def parameter_count(size: Column) -> Column:
     return F.when(s.rlike(found), F.round(F.regexp_extract(s, found, 1).try_cast("double") * unit).cast("long"))
 
 
+def one_decimal(value: Column) -> Column:
+    """A number from 1 with one decimal, rounded by the exact value of the double, a tie to the even digit, as C's printf does; Java rounds its shortest
+    decimal form, ties away from zero. The part behind the point is a whole number of 2 ** -52."""
+    small = F.when((value >= 1) & (value < 2.0**53), value)  # larger ones have nothing behind the point
+    tenfold = ((small - F.floor(small)) * float(1 << 52)).cast("long") * 10
+    digit, rest = F.shiftright(tenfold, 52), tenfold.bitwiseAND(F.lit((1 << 52) - 1))
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (digit % 2 == 1))
+    tenths = F.floor(small) * 10 + digit + F.when(up, 1).otherwise(0)
+    text = tenths.cast("string")
+    return F.coalesce(F.concat(F.left(text, F.length(text) - 1), F.lit("."), F.right(text, F.lit(1))), F.format_string("%.1f", value))
+
+
 def format_bytes(size: Column, unknown: str = "unknown") -> Column:
     mb = F.greatest(F.lit(1), F.floor(size / 1e6 + 0.5)).cast("string")
-    return F.when(size.isNull(), unknown).when(size >= 1e9, F.concat(F.format_string("%.1f", size / 1e9), F.lit(" GB"))).otherwise(F.concat(mb, F.lit(" MB")))
+    return F.when(size.isNull(), unknown).when(size >= 1e9, F.concat(one_decimal(size / 1e9), F.lit(" GB"))).otherwise(F.concat(mb, F.lit(" MB")))
 
 
 def model_memory(weights: Column) -> Column:

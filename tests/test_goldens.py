@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import rules
 from quillspark.functions import text as T
 from quillspark.functions import vector as V
 from quillspark.operators import chunking, documents, search, walk
@@ -259,3 +260,11 @@ def test_fusion_without_weights(spark):
     ranks = spark.createDataFrame([("a", 1)], "id string, rank int")
     assert search.fuse([(ranks, 0.0), (ranks, 0.0)]).count() == 0
     assert [r.id for r in search.fuse([(ranks, 0.0), (ranks, 1.0)]).collect()] == ["a"]
+
+
+def test_sizes_round_as_their_sql(spark):
+    """Ties go to the even digit, and what only looks like a tie in decimals is none."""
+    sizes = [1.25e9, 1.75e9, 1.15e9, 1.05e9, 9.95e9, 9.75e9, 99.95e9, 1e9, 999.95e9, 123456789.25e9, 1e9 - 1, 0.0, 2.0**53 * 1e9]
+    rows = spark.createDataFrame([(float(s),) for s in sizes] + [(None,)], "size double").select(rules.format_bytes(F.col("size")))
+    want = [f"{s / 1e9:.1f} GB" if s >= 1e9 else f"{max(1, int(s / 1e6 + 0.5))} MB" for s in sizes] + ["unknown"]
+    assert [r[0] for r in rows.collect()] == want
