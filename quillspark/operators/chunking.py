@@ -1,8 +1,9 @@
 """From Markdown to chunks: cleaning, sections, sentences, splits by meaning and size, merging of short pieces.
 
-All of it are JVM expressions over one row a document, so nothing is shuffled: texts are cut by a fold over a stack of pieces, sentences
-and short pieces are joined by folds. Only the distance of neighbouring sentences may come from an encoder, a function
-from texts to a matrix that runs in Arrow batches, by default a hashing encoder without a model.
+Cleaning is a chain of JVM expressions. The cuts depend on each other from the beginning of a text to its end: they are small functions over one text in
+Arrow batches, without a shuffle. Each has a form as an expression too, folds over a stack of pieces, which Spark interprets at some thirty
+times the cost. The distance of neighbouring sentences comes from their words or from an encoder, a function
+from texts to a matrix, by default a hashing encoder without a model.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -244,16 +246,27 @@ def word_distance(texts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(texts) - 2), lambda i: far(bag(i), bag(i + 1)))
 
 
-def encoded_distance(encode: Encoder) -> Callable[[Column], Column]:
-    """The same by an encoder: 1 less the cosine of the two vectors, for the nested arrays of a document, in Arrow batches."""
+def neighbours(encode: Encoder | None) -> Callable[[list[str]], list[float]]:
+    """The distance of each text to the next: 1 less the cosine of their vectors, or by their words without an encoder."""
+
+    def by_words(texts) -> list[float]:
+        bags = [set(t.lower().split(" ")) for t in texts]
+        return [1 - len(a & b) / len(a | b) for a, b in zip(bags, bags[1:])]
 
-    def of(texts) -> list[float]:
+    def by_vectors(texts) -> list[float]:
         if len(texts) < 2:
             return []
         v = np.asarray(encode(list(texts)))
         length = np.linalg.norm(v[:-1], axis=1) * np.linalg.norm(v[1:], axis=1)
         return (1 - np.where(length == 0, 0, (v[:-1] * v[1:]).sum(1) / np.where(length == 0, 1, length))).tolist()
 
+    return by_words if encode is None else by_vectors
+
+
+def encoded_distance(encode: Encoder) -> Callable[[Column], Column]:
+    """The same by an encoder for the nested arrays of a document, in Arrow batches."""
+    of = neighbours(encode)
+
     @F.pandas_udf("array<array<array<double>>>")
     def run(documents: pd.Series) -> pd.Series:
         return pd.Series([[[of(part) for part in section] for section in document] for document in documents], dtype=object)
@@ -261,28 +274,119 @@ def encoded_distance(encode: Encoder) -> Callable[[Column], Column]:
     return run
 
 
+_HEADING = re.compile(r"^(#{1,3})[\t\x0b\f\r ]+([^\n]*)", re.MULTILINE)
+_SENTENCE = re.compile(f"[^{SENTENCE_END}]*[{SENTENCE_END}][{SPACE}]*|[^{SENTENCE_END}]+\\Z")
+_CUTS = [re.compile(p) for p in SPLITS]
+_BLANK_LINE = re.compile(f"\n[{SPACE}]*\n")
+
+
+def text_sections(text: str) -> list[tuple[str, str]]:
+    """sections() of one text."""
+    found, path, at, label = [], {}, 0, ""
+    for head in (*_HEADING.finditer(text), None):
+        if body := text[at : head.start() if head else len(text)].strip(SPACES):
+            found.append((label, body))
+        if head:
+            level, at = len(head[1]), head.end()
+            path = {k: v for k, v in path.items() if k < level} | {level: head[2].strip(" ")}
+            label = " > ".join(path.values())
+    return found
+
+
+def text_sentences(text: str) -> list[tuple[str, str]]:
+    """sentences() of one text."""
+    found, gap = [], ""
+    for piece in _SENTENCE.findall(text):
+        if said := piece.strip(SPACES):
+            found.append((said, "\n\n" if _BLANK_LINE.search(gap) else "\n" if "\n" in gap else " "))
+        gap = piece[len(piece.rstrip(SPACES)) :]
+    return found
+
+
+def text_within(text: str, limit: int) -> list[str]:
+    """within() of one text."""
+    todo, done = [text], []
+    while todo:
+        piece = todo.pop()
+        middle = len(piece) // 2
+        if len(piece) <= limit:
+            done.append(piece)
+            continue
+        low = max(0, middle - NEAR_MIDDLE)
+        for pattern in _CUTS:
+            if cut := pattern.search(piece[low : middle + NEAR_MIDDLE]):
+                both = piece[: low + cut.end()].strip(SPACES), piece[low + cut.end() :].strip(SPACES)
+                if all(both):
+                    todo += both[::-1]
+                    break
+        else:
+            done += [p for p in (piece[i : i + limit].strip(SPACES) for i in range(0, len(piece), limit)) if p]
+    return done
+
+
+def text_by_meaning(text: str, far: Callable[[list[str]], list[float]]) -> list[str]:
+    """by_meaning() of one text."""
+    parts = text_sentences(text) if len(text) <= SEMANTIC_LIMIT else []
+    if len(text) > SEMANTIC_LIMIT or len(parts) > MOST_SENTENCES:
+        return text_within(text, CHUNK_LIMIT)
+    if len(parts) < 2:
+        return [said for said, _ in parts]
+    distances = far([said for said, _ in parts])
+    ascending, at = sorted(distances), (len(distances) - 1) * (BREAK_PERCENTILE / 100)
+    low, high = int(at), int(np.ceil(at))
+    limit = ascending[low] + (ascending[high] - ascending[low]) * (at - low)
+    out = [parts[0][0]]
+    for (said, glue), distance in zip(parts[1:], distances):
+        if distance >= limit or len(out[-1]) + len(glue) + len(said) > CHUNK_LIMIT:
+            out.append(said)
+        else:
+            out[-1] += glue + said
+    return out
+
+
+def text_merge_short(pieces: list[str]) -> list[str]:
+    """merge_short() of some pieces."""
+    out, held = [], ""
+    for piece in filter(None, (p.strip(SPACES) for p in pieces)):
+        held = f"{held}\n{piece}" if held else piece
+        if len(held) > SHORT:
+            out.append(held)
+            held = ""
+    if held:
+        out[-1:] = [f"{out[-1]}\n{held}"] if out else [held]
+    return out
+
+
+def text_chunks(text: str, far: Callable[[list[str]], list[float]]) -> list[tuple[str, str]]:
+    """(section label, content) of the chunks of a cleaned text."""
+    out = []
+    for label, body in text_sections(text):
+        pieces = [c for part in text_within(body, SECTION_LIMIT) for c in text_by_meaning(part, far)]
+        out += [(label, c) for c in text_merge_short(pieces) if len(c) >= LEAST]
+    return out
+
+
+#: Documents whose chunks a task hands on at a time.
+DOCUMENTS = 256
+
+
 def chunk_documents(docs: DataFrame, encode: Encoder | None = hashing_encoder) -> DataFrame:
     """docs (doc_id, text) -> doc_id, id, chunk_index, chunk_count, section_label, content. Neighbouring sentences are compared by
     the encoder, or by their words (None). Null texts have no chunks."""
-    section = lambda s: F.struct(s["label"].alias("label"), F.transform(within(s["body"], SECTION_LIMIT), lambda p: F.struct(p.alias("text"), sentences(p).alias("parts"))).alias("parts"))
+    far = neighbours(encode)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, DOCUMENTS):
+                part = whole.slice(lo, DOCUMENTS)
+                rows = [(i, n, len(found), *c) for i, t in enumerate(part.column("_text").to_pylist()) for found in [text_chunks(t, far)] for n, c in enumerate(found)]
+                at, n, count, label, content = zip(*rows) if rows else [()] * 5
+                columns = [part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(count, pa.int32()), pa.array(label, pa.string()), pa.array(content, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk_index", "chunk_count", "section_label", "content"])
+
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", clean(F.col("text")).alias("_text"))
-    rows = rows.select("doc_id", F.transform(sections(F.col("_text")), section).alias("_sections"))
-    compared = lambda p: F.when(is_short(p["text"], p["parts"]), F.transform(p["parts"], lambda s: s["text"])).otherwise(_texts())
-    texts = F.transform("_sections", lambda s: F.transform(s["parts"], compared))
-    if encode is None:
-        rows = rows.withColumn("_far", F.transform(texts, lambda s: F.transform(s, lambda t: F.when(F.size(t) > 1, word_distance(t)).otherwise(F.array().cast("array<double>")))))
-    else:
-        # An encoder must be asked with a column that holds no lambda; a generator keeps the optimizer from folding it in.
-        rows = rows.select("doc_id", "_sections", F.explode(F.array(texts)).alias("_said")).withColumn("_far", encoded_distance(encode)("_said"))
-
-    def chunks(s):
-        pieces = F.transform(F.arrays_zip(s["section"]["parts"].alias("part"), s["far"].alias("far")), lambda p: by_meaning(p["part"]["text"], p["part"]["parts"], p["far"]))
-        return F.transform(F.filter(merge_short(F.flatten(pieces)), lambda c: F.length(c) >= LEAST), lambda c: F.struct(s["section"]["label"].alias("section_label"), c.alias("content")))
-
-    both = F.arrays_zip(F.col("_sections").alias("section"), F.col("_far").alias("far"))
-    rows = rows.select("doc_id", F.flatten(F.transform(both, chunks)).alias("_chunks"))
-    rows = rows.select("doc_id", F.size("_chunks").alias("chunk_count"), F.posexplode("_chunks").alias("chunk_index", "c"))
-    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("::chunk-"), F.col("chunk_index").cast("string")).alias("id"), "chunk_index", "chunk_count", "c.section_label", "c.content")
+    rows = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_index int, chunk_count int, section_label string, content string")
+    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("::chunk-"), F.col("chunk_index").cast("string")).alias("id"), "chunk_index", "chunk_count", "section_label", "content")
 
 
 def packs(texts: list[str], most: int = 4, chars: int = 1800) -> Iterator[list[str]]:
