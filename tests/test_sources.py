@@ -325,6 +325,18 @@ def test_building_the_index_shuffles_nothing_and_is_small(built_index):
     assert shuffled < 2000 and size < 3 * chars, (shuffled, size, chars)
 
 
+def test_a_phrase_is_counted_where_its_span_meets(spark, built_index):
+    """Phrases: the blocks of a span meet packed, not the places of each record."""
+    index, n, average, _, chars = built_index
+    docs, words = _texts(600)
+    records, terms = spark.createDataFrame(docs, "seq long, document string"), [w for w in words if len(w) > 5][:3]
+    before = _shuffled(spark)
+    got = [(r.seq, round(r.score, 9)) for r in keyword.top(index, terms, n, average, 20).collect()]
+    written = _shuffled(spark) - before
+    assert got == [(r.seq, round(r.score, 9)) for r in search.bm25(records, terms, 20).collect()] and len(got) == 20
+    assert written < chars / 8, (written, chars)
+
+
 def test_a_batch_of_queries_shuffles_packed_blocks(spark, built_index):
     """Each hit of each trigram was shuffled with its places."""
     index, n, average, _, chars = built_index
