@@ -337,6 +337,18 @@ def test_a_phrase_is_counted_where_its_span_meets(spark, built_index):
     assert written < chars / 8, (written, chars)
 
 
+def test_spans_of_several_tasks_are_whole(spark):
+    """Records out of order: a span has blocks of each task that met it, and bounds don't add them up."""
+    docs, words = _texts(600)
+    records = spark.createDataFrame(docs, "seq long, document string").repartition(5, "document")
+    index = keyword.index_blocks(records).cache()
+    assert index.groupBy("gram", "span").count().where("count > 1").count() > 0
+    n, average = keyword.lengths(records).agg(F.count("*"), F.avg("dl")).first()
+    for terms in ([words[0][:3], words[1][:3]], [words[2], words[3][:4], words[4][:3]]):
+        want = [(r.seq, round(r.score, 9)) for r in search.bm25(records, terms, 7).collect()]
+        assert [(r.seq, round(r.score, 9)) for r in keyword.top(index, terms, n, average, 7).collect()] == want
+
+
 def test_a_batch_of_queries_shuffles_packed_blocks(spark, built_index):
     """Each hit of each trigram was shuffled with its places."""
     index, n, average, _, chars = built_index
