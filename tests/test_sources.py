@@ -360,3 +360,16 @@ def test_a_batch_of_queries_shuffles_packed_blocks(spark, built_index):
     assert len(got) == 500 and written < 3 * chars, (len(got), written, chars)
     alone = keyword.top(index, words[2:4], n, average, 5).collect()
     assert sorted((r.rank, r.seq, round(r.score, 9)) for r in got if r.query_id == 1) == [(i, r.seq, round(r.score, 9)) for i, r in enumerate(alone, 1)]
+
+
+def test_a_hybrid_batch_shuffles_packed_blocks(spark, built_index):
+    """Vectors and words of a hundred queries: each hit of each trigram was shuffled with its places."""
+    index, n, average, _, chars = built_index
+    _, words = _texts(600)
+    rng = random.Random(1)
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(600)], "seq long, embedding array<float>")
+    asked = spark.createDataFrame([(q, words[2 * q : 2 * q + 2], [rng.random() for _ in range(4)]) for q in range(100)], "query_id long, terms array<string>, embedding array<float>")
+    before = _shuffled(spark)
+    got = keyword.hybrid_batch(index, vectors, asked, n, average, 5).collect()
+    written = _shuffled(spark) - before
+    assert len(got) == 500 and written < 4 * chars, (len(got), written, chars)
