@@ -322,6 +322,14 @@ def test_tasks_of_the_count_hold_a_bounded_share(spark, documents, near_rows, mo
     assert max(n for n, _ in seen) > 300 and all(most <= 1000 for _, most in seen), seen
 
 
+def test_rows_are_dropped_alike_in_small_slabs(documents, near_rows, monkeypatch):
+    for name, value in (("FRAGMENT_ENTRIES", 1000), ("SLAB_PAIRS", 100), ("PAIRS", 30), ("FLUSH", 200), ("HELD", 50)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    names = {c for _, n, c in brute_components([(i, t) for i, t, *_ in near_rows]) if n}
+    empty = {i for i, t, *_ in near_rows if not shingles(t)}
+    assert sorted(r.doc_id for r in jaccard_join.drop_similar(documents(near_rows)).collect()) == sorted(names | empty)
+
+
 def test_dropping_rows_shuffles_no_texts(spark, documents, lonely_rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FRAGMENT_ENTRIES", 1000)
     monkeypatch.setattr(jaccard_join.join_small, "__defaults__", ("inner", 5))
